@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_column(df: DataFrame, name: str, kind: DataType) -> StructType:
+    """The schema of df with one more column."""
+    return StructType([*df.schema.fields, StructField(name, kind)])
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key") -> DataFrame:
     """docs with a unique, non-null long `key` in ascending order of id_col.
 
