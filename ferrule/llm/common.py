@@ -36,17 +36,20 @@ def with_column(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key") -> DataFrame:
+def plain_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether ids are unique and not null: one scan of the id column finds out."""
+    return docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key", plain: bool | None = None) -> DataFrame:
     """docs with a unique, non-null long `key` in ascending order of id_col.
 
-    Where ids are unique and not null the id is the key (one scan of the id column finds out).
-    Otherwise rows are ordered by id (nulls first) and then by all other columns, and numbered;
-    the numbered table is written, so that every later read sees the same keys.
+    Where ids are unique and not null the id is the key. Otherwise rows are ordered by id (nulls first) and then by
+    all other columns, and numbered; the numbered table is written, so that every later read sees the same keys.
     """
-    odd = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
-    if odd.isEmpty():
+    if plain_ids(docs, id_col) if plain is None else plain:
         return docs.withColumn(key, F.col(id_col).cast("long"))
-    order = [id_col, *(c for c, t in docs.dtypes if c != id_col and not t.startswith("map"))]
+    order = [id_col, *(c for c, t in docs.dtypes if c != id_col and "map<" not in t)]
     ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
 

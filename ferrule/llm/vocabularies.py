@@ -39,21 +39,26 @@ class Ragged:
 
 
 class Cached:
-    """encode(piece) -> ids for many pieces, most of which come again. Holds at most `limit` pieces, then starts anew."""
+    """encode(piece) -> ids for many pieces, most of which come again.
 
-    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    Remembers between `limit` and twice as many pieces: those seen since the last but one time the newer half was full.
+    """
+
+    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 300_000):
+        self.encode, self.limit, self.new, self.old = encode, limit, {}, {}
 
     def __call__(self, pieces: list[bytes]) -> Ragged:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, encode, out = self.known, self.encode, []
+        out = []
         for p in pieces:
-            ids = known.get(p)
+            ids = self.new.get(p)
             if ids is None:
-                ids = np.array(encode(p), np.int32).tobytes()
+                ids = self.old.get(p)
+                if ids is None:
+                    ids = np.array(self.encode(p), np.int32).tobytes()
                 if len(p) <= 64:
-                    known[p] = ids
+                    if len(self.new) >= self.limit:
+                        self.old, self.new = self.new, {}
+                    self.new[p] = ids
             out.append(ids)
         return Ragged(out)
 
