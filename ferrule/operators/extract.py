@@ -106,7 +106,8 @@ def images(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     og = F.regexp_extract_all(html, F.lit(r"(?is)<meta[^>]*(?:property|name)=[\"'](?:og:image|twitter:image)[\"'][^>]*content=[\"']([^\"']+)"), F.lit(1))
     img = F.regexp_extract_all(html, F.lit(r"(?is)<img[^>]*\ssrc=[\"']([^\"']+)"), F.lit(1))
     ld = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), lambda j: F.regexp_extract_all(j, F.lit(r"\"image\"\s*:\s*\[?\s*\"([^\"]+)\""), F.lit(1))))
-    each = [F.transform(a, lambda u, m=m: F.struct(F.lit(m).alias("method"), u.alias("url"))) for m, a in (("jsonld", ld), ("og", og), ("html", img))]
+    found = lambda method: lambda u: F.struct(F.lit(method).alias("method"), u.alias("url"))
+    each = [F.transform(a, found(m)) for m, a in (("jsonld", ld), ("og", og), ("html", img))]
     return pages.select(F.col(id_col).alias("id"), F.posexplode(F.concat(*each)).alias("image_no", "i")).select("id", "image_no", "i.method", "i.url")
 
 

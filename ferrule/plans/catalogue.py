@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import urls
 from ..operators import classify, compare, crawl, extract, gates, images, ingest, search
+from ..sources.shared import checkpointed
 from ..sources.tables import parts, specs, table
 
 QUERY = "blue bolt Brand#1"
@@ -209,7 +210,7 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     edges = crawl.link_edges(p, extract.links(p, "page_id"))
     seeds = p.filter("page_id % 20 = 0").select(urls.normalized(F.col("url")).alias("url"))
-    out = crawl.frontier(seeds, edges, 3, lambda df: df.checkpoint())
+    out = crawl.frontier(seeds, edges, 3, checkpointed)
     return out.withColumn("depth", long("depth"))
 
 
