@@ -16,21 +16,30 @@ def blank(c: Column) -> Column:
     return c.isNull() | (trimmed(c) == "")
 
 
-def causes(**conditions: Column) -> Column:
+def causes(conditions: dict[str, Column]) -> Column:
     """Names of the conditions that hold, in order."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())))
 
 
 def part_gate(number: Column, maker: Column, role: Column, evidence: Column, page: Column, rule: Column, specs: Column, specs_without: Column) -> Column:
     """struct(status, causes): rejected if anything basic is missing, incomplete without specs or if none has evidence."""
-    basic = causes(missing_part_number=blank(number), missing_manufacturer=blank(maker), missing_role=blank(role), missing_evidence=blank(evidence), missing_page=F.coalesce(page < 1, F.lit(True)), missing_rule=blank(rule))
-    later = causes(no_specifications=F.coalesce(specs, F.lit(0)) == 0, specs_without_evidence=(F.coalesce(specs, F.lit(0)) > 0) & (specs_without >= specs))
+    basic = causes({
+        "missing part_number": blank(number), "missing manufacturer_name": blank(maker), "part_number_role_not_demonstrated": F.coalesce(role != "PART_NUMBER", F.lit(True)),
+        "part_number_evidence_missing": blank(evidence), "part_number_page_missing": F.coalesce(page < 1, F.lit(True)), "part_number_rule_missing": blank(rule),
+    })
+    n = F.coalesce(specs, F.lit(0))
+    later = causes({"no specifications extracted from document": n == 0, "all specifications lack complete evidence": (n > 0) & (specs_without >= n)})
     status = F.when(F.size(basic) > 0, "rejected").when(F.size(later) > 0, "incomplete").otherwise("published")
     return F.struct(status.alias("status"), F.when(F.size(basic) > 0, basic).otherwise(later).alias("causes"))
 
 
-def spec_gate(value: Column, evidence: Column, page: Column, website: Column, role: Column, context: Column) -> Column:
-    why = causes(missing_value=blank(value), missing_evidence=blank(evidence), missing_page=~website & F.coalesce(page < 1, F.lit(True)), not_technical=role != "technical", document_context=context.isin("document", "graph"))
+def spec_gate(value: Column, evidence: Column, page: Column, website: Column, role: Column, attribute: Column, documents: list[str], graph: str) -> Column:
+    """struct(pass, causes); documents: attributes that describe a document, graph: pattern of graph or page context."""
+    why = causes({
+        "empty original_value": blank(value), "missing evidence_text": blank(evidence), "missing evidence_locator": ~website & F.coalesce(page < 1, F.lit(True)),
+        "technical_specification_role_not_demonstrated": F.coalesce(role != "TECHNICAL_SPECIFICATION", F.lit(True)), "non_technical_document_attribute": F.lower(trimmed(attribute)).isin(*documents),
+        "graph_or_document_context": attribute.rlike(graph) | value.rlike(graph),
+    })
     return F.struct((F.size(why) == 0).alias("pass"), why.alias("causes"))
 
 
@@ -67,7 +76,7 @@ def induced_grammar(docs: DataFrame, family: str, doc_id: str, token: str) -> Da
 
 def evidence_errors(segments: Column) -> Column:
     """Errors of segments array<struct<segment_id, token, evidence_class, document_id, page>>; none means the contract holds."""
-    bad = lambda s: causes(segment_id=blank(s["segment_id"]), token=blank(s["token"]), evidence_class=~F.coalesce(s["evidence_class"].isin(*CLASSES), F.lit(False)), document_id=blank(s["document_id"]), page=F.coalesce(s["page"] < 1, F.lit(True)))
+    bad = lambda s: causes({"segment_id": blank(s["segment_id"]), "token": blank(s["token"]), "evidence_class": ~F.coalesce(s["evidence_class"].isin(*CLASSES), F.lit(False)), "document_id": blank(s["document_id"]), "page": F.coalesce(s["page"] < 1, F.lit(True))})
     each = F.flatten(F.transform(segments, lambda s, i: F.transform(bad(s), lambda e: F.concat(F.lit("segment["), i.cast("string"), F.lit("]."), e))))
     ids = F.filter(F.transform(segments, lambda s: s["segment_id"]), lambda x: x.isNotNull())
     twice = F.when(F.size(F.array_distinct(ids)) < F.size(ids), F.array(F.lit("duplicate_segment_id"))).otherwise(F.array().cast("array<string>"))

@@ -292,7 +292,7 @@ def weakest_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    g = gates.part_gate(F.col("p_name"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")), F.lit("part"), F.when(F.col("p_partkey") % 4 != 0, F.lit("e")), F.col("p_size") - 3, F.lit("r"), F.col("p_size") % 3, F.col("p_size") % 2)
+    g = gates.part_gate(F.col("p_name"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")), F.lit("PART_NUMBER"), F.when(F.col("p_partkey") % 4 != 0, F.lit("e")), F.col("p_size") - 3, F.lit("r"), F.col("p_size") % 3, F.col("p_size") % 2)
     return p.select(F.col("p_partkey").alias("part_id"), g["status"].alias("status"), F.array_join(g["causes"], ",").alias("causes"))
 
 

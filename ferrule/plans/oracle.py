@@ -163,8 +163,8 @@ def oracle_sql() -> dict[str, str]:
         "select category, best as format, count(*) filter (train) as n_train, count(*) filter (not train and format = best) as tp, count(*) filter (not train and format <> best) as fn, case when count(*) filter (not train and format = best) > 0 then 'active' else 'candidate' end as status from f join b using (category) group by 1, 2",
         "weakest_class": "with c as (select l_orderkey as order_id, case when l_linenumber <= 3 then l_linenumber - 1 when l_linenumber < 7 then 3 when l_quantity < 49 then 4 end as r from lineitem) "
         "select order_id, case when count(*) = count(r) then ['cross_validated', 'grammar_validated', 'literal_occurrence', 'inferred', 'unknown'][max(r) + 1] end as weakest from c group by 1",
-        "gate_causes": "with g as (select p_partkey as part_id, array_to_string(list_filter([case when p_partkey % 5 = 0 then 'missing_manufacturer' end, case when p_partkey % 4 = 0 then 'missing_evidence' end, case when p_size - 3 < 1 then 'missing_page' end], lambda x: x is not null), ',') as basic, "
-        "case when p_size % 3 = 0 then 'no_specifications' when p_size % 2 >= p_size % 3 then 'specs_without_evidence' else '' end as later from part) "
+        "gate_causes": "with g as (select p_partkey as part_id, array_to_string(list_filter([case when p_partkey % 5 = 0 then 'missing manufacturer_name' end, case when p_partkey % 4 = 0 then 'part_number_evidence_missing' end, case when p_size - 3 < 1 then 'part_number_page_missing' end], lambda x: x is not null), ',') as basic, "
+        "case when p_size % 3 = 0 then 'no specifications extracted from document' when p_size % 2 >= p_size % 3 then 'all specifications lack complete evidence' else '' end as later from part) "
         "select part_id, case when basic <> '' then 'rejected' when later <> '' then 'incomplete' else 'published' end as status, case when basic <> '' then basic else later end as causes from g",
         "image_candidates": "select p_partkey as part_id, 'jsonld' as method, 'https://img.example.com/a/' || (p_partkey % 7) || '.jpg' as url, (100 + case when contains(p_name, 'widget') and contains(p_name, 'blue') then 40 when contains(p_name, 'widget') then 25 when contains(p_name, 'blue') then 20 else 0 end)::bigint as score from part",
     }

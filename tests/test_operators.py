@@ -173,3 +173,49 @@ def test_streaming_ingestion(spark, tmp_path):
     put([(1, at + datetime.timedelta(1), "c"), (2, at - datetime.timedelta(1), "old"), (3, at, "d")])
     go()
     assert {r.k: r.v for r in current(spark, str(tmp_path / "state"), schema).collect()} == {1: "c", 2: "b", 3: "d"}
+
+
+V = dict(context="valve|sensor", blocked="recipe", excluded_hosts=r"(?:^|\.)tube\.", corporate_hard="annual report", corporate_soft="about us", product="products", datasheet="data ?sheet", family="series", buy="buy now", editorial="what is|blog", editorial_url="/blog/")
+
+
+def test_discovery(spark):
+    from ferrule.operators import discovery as d
+
+    v = d.Vocabulary(**V)
+    cols = "ord int, url string, title string, snippet string, manufacturer string, part_number string, n_specs int, provider_score double, is_catalog boolean"
+    rows = [
+        (0, "https://www.acme.com/p/AB-1234.html", "Acme AB-1234 valve", "", "Acme", "", 0, 0.1, False),
+        (1, "https://shop.sells.com/x", "Valve series", "buy now", "Acme", "", 0, 0.9, False),
+        (2, "https://x.org/blog/what", "What is a valve", "", "", "", 0, 0.5, False),
+        (3, "https://acmesupply.com/a.pdf", "valve", "", "Acme", "", 0, 0.2, True),
+        (4, "https://v.tube.com/", "valve", "", "", "", 0, 0.2, False),
+        (5, "https://acme.de/about", "About us", "annual report valve", "Acme", "", 0, 0.2, False),
+    ]
+    df = spark.createDataFrame(rows, cols)
+    policies = spark.createDataFrame([("acme", "official", "acme.com"), ("acme", "authorized_distributor", "partner.com")], "maker_key string, kind string, domain string")
+    sourced = d.with_source(df, policies, ["sells.com"])
+    assert {r.ord: r.source_type for r in sourced.collect()} == {0: "official", 1: "distributor", 2: "web_discovery", 3: "web_discovery", 4: "web_discovery", 5: "official"}
+    out = d.ranked(sourced.filter(d.relevant(v, "valve", False)), F.lit(1), v)
+    assert [(r.ord, r.content_type, r.tier) for r in out.collect()] == [(0, "product_page", 5), (3, "datasheet", 5), (1, "distributor_listing", 4), (2, "article_editorial", 1)]
+    found = spark.createDataFrame([(3, "B-2", 1), (3, "A-1", 0)], "ord int, part_number string, position int")
+    assert sorted((r.ord, r.part_number) for r in d.expanded(df, found).collect() if r.ord >= 3) == [(3, "A-1"), (3, "B-2"), (4, ""), (5, "")]
+
+
+def test_identity(spark):
+    from ferrule.operators import discovery as d
+
+    docs = spark.createDataFrame([(1, "Ball valve AB-12 XY9Z", "Part number: ab12; P/N: Q-77 by ACME", None), (2, "thing", "", " H1 "), (3, "motor", "acme drive", "")], "doc_id long, title string, text string, part_hint string")
+    got = {r.doc_id: r for r in d.identities(docs, ["Acme"], {"valve": "valve", "motor": "motor|drive"}).collect()}
+    assert got[1].part_numbers == ["ab12", "Q-77", "XY9Z"] and got[1].manufacturer == "Acme" and got[1].category == "valve"
+    assert (got[2].part_numbers, got[2].category, got[2].identified) == (["H1"], "general", True)
+    assert got[3].identified and not got[3].part_numbers
+    cols = "url string, title string, snippet string, source_type string, manufacturer string, part_number string, identity_manufacturer string, identity_part_number string"
+    rows = [("https://acme.com", "x", "", "official", "Acme", "VREF2", None, None), ("https://b.com", "valve", "", "web", "valve", "ABC", None, "Z9"), ("https://b.com", "acme", "", "web", "acme", "ISO-9", "Real", None), ("u", "", "", "web", "Z9", "Z-9", None, None)]
+    out = d.cleaned_identity(spark.createDataFrame(rows, cols), "acme", ["valve"]).collect()
+    assert [(r.manufacturer, r.part_number) for r in out] == [("Acme", ""), ("", "Z9"), ("Real", ""), ("", "Z-9")]
+    role = spark.createDataFrame([("Part Number", "X1", "", True), ("part number", "X1", "", False), ("Revision", "B", "", True), ("", "5 V", "", False), ("", "X1", "document number 3", False), ("device", "X1", "", False)], "l string, v string, c string, b boolean")
+    r = role.select(d.identifier_role(F.col("l"), F.col("v"), F.col("c"), F.col("b"), ["part number"], "revision|serial", "document (?:number|no)").alias("r")).collect()
+    assert [x.r.role for x in r] == ["PART_NUMBER", "IDENTIFIER_CANDIDATE", "DOCUMENT_REFERENCE", "ELECTRICAL_VALUE", "DOCUMENT_REFERENCE", "IDENTIFIER_CANDIDATE"]
+    spec = spark.createDataFrame([("Supply voltage", "24 V"), ("Price", "24 V"), ("Valve function", "5/2"), ("Voltage", "high"), ("", "1")], "a string, v string")
+    ok = spec.select(d.technical_spec(F.col("a"), F.col("v"), "^(?:price|stock)$", ["valve function"], "voltage|current", ["v", "a"]).alias("s")).collect()
+    assert [x.s.ok for x in ok] == [True, False, True, False, False]
