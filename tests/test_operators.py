@@ -219,3 +219,40 @@ def test_identity(spark):
     spec = spark.createDataFrame([("Supply voltage", "24 V"), ("Price", "24 V"), ("Valve function", "5/2"), ("Voltage", "high"), ("", "1")], "a string, v string")
     ok = spec.select(d.technical_spec(F.col("a"), F.col("v"), "^(?:price|stock)$", ["valve function"], "voltage|current", ["v", "a"]).alias("s")).collect()
     assert [x.s.ok for x in ok] == [True, False, True, False, False]
+
+
+def test_readers(spark):
+    from ferrule.operators import readers as r
+
+    docs = spark.createDataFrame([(1, "25mm Piston and M10x1.5 Rod, G 1/8 Port; 25 mm Piston; 3 foo Bar")], "doc_id long, text string")
+    assert {(x.attribute, x.value) for x in r.value_first_pairs(docs, "doc_id").collect()} >= {("Port", "G 1/8"), ("Rod", "M10x1.5"), ("Piston", "25 mm")}
+    q = spark.createDataFrame([("DIN 1343) 330 l/min",), ("7",), ("x",)], "x string").select(r.quantity(F.col("x")).alias("q")).collect()
+    assert [tuple(x.q) for x in q] == [(330.0, "l/min"), (7.0, None), (None, None)]
+    sheet = spark.createDataFrame([(1, "Stroke\nShare\n25 mm\nWeight  3 kg\n123456\nx\nADN-20\n123457\n999999\nADN-30")], "doc_id long, text string")
+    rows = extract.lines(sheet, "doc_id")
+    assert ("Stroke", "25 mm") in [(x.attribute, x.value) for x in r.next_line_pairs(rows).collect()]
+    assert [(x.attribute, x.value) for x in r.spaced_pairs(rows).collect()] == [("Weight", "3 kg")]
+    assert sorted((x.part_number, x.type_code) for x in r.catalogue_pairs(rows, "adn").collect()) == [("123456", "ADN-20"), ("999999", "ADN-30")]
+    cells = spark.createDataFrame([(1, 0, list("abcdefghi")), (1, 1, ["a"])], "id long, row_no int, cells array<string>")
+    assert [x.cells for x in r.strided(cells).orderBy("group").collect()] == [list("abcd"), list("efgh")]
+
+
+def test_triage_and_part_numbers(spark):
+    from ferrule.operators import readers as r
+
+    good = "the valve of the line is rated for 20 mm and 15 bar " * 6
+    pages = spark.createDataFrame([(1, 1, good, False, False), (2, 1, "", False, False), (3, 1, good + "how to order", False, False), (4, 1, "Model the", True, True), (5, 1, "zxq wvk " * 50, False, False), (6, 1, "the plain of it " * 30, False, False)], "doc long, page int, text string, has_model boolean, has_specs boolean")
+    got = {x.doc: x.kind for x in r.triage(pages, ["the", "of", "is", "for"], r"\d+ (?:mm|bar)", "how to order").collect()}
+    assert got == {1: "possible_product_catalog", 2: "text_extraction_failed", 3: "configurator", 4: "simple_datasheet", 5: "text_extraction_failed", 6: "unclassified_review"}
+    pages = spark.createDataFrame([(1, 1, "LM324 amplifier\nPart number: LM324B\nLM324 again"), (1, 2, "LM324"), (2, 1, "XY12 device\nXY12"), (2, 2, "XY12 of\nRevision\nB2C"), (3, 1, "ZZ9X")], "doc long, page int, text string")
+    found = r.candidates(pages, ["part number"], ["revision"], ["device"])
+    by = {(x.doc, x.page, x.line_no, x.token): x for x in found.collect()}
+    assert by[1, 1, 1, "LM324B"].label == "part number" and by[1, 1, 1, "LM324B"].same_line and by[2, 2, 2, "B2C"].exclusive
+    role = F.when((F.col("label_type") == "positive") & (F.col("same_line") | F.col("exclusive")), "PART_NUMBER").otherwise("UNKNOWN")
+    grammars = spark.createDataFrame([(3, "AANA")], "doc long, format string")
+    assert sorted(tuple(x) for x in r.chosen(found, role, grammars).collect()) == [(1, "LM324B", "explicit_part_number"), (2, "XY12", "contextual_identity_corroborated"), (3, "ZZ9X", "active_grammar")]
+    cells = spark.createDataFrame([(1, 1, 0, 1, "A-1"), (1, 1, 0, 1, "a1"), (1, 1, 0, 2, "B1"), (1, 1, 0, 2, "C1"), (1, 2, 0, 1, "A 1")], "doc long, page int, table int, row int, token string")
+    assert [(x.page, x.row) for x in r.ordered_parts(cells).collect()] == [(1, 1)]
+    specs = spark.createDataFrame([(1, "Gain", "3", "B, K versions"), (1, "Offset", "1", "A version"), (1, "Rate", "2", "LM 324 BIDR")], "doc long, attribute string, value string, context string")
+    parts = spark.createDataFrame([(1, "LM324BIDR", "")], "doc long, token string, marking string")
+    assert sorted(x.attribute for x in r.applicable_specs(specs, parts).collect()) == ["Gain", "Rate"]
