@@ -256,3 +256,27 @@ def test_triage_and_part_numbers(spark):
     specs = spark.createDataFrame([(1, "Gain", "3", "B, K versions"), (1, "Offset", "1", "A version"), (1, "Rate", "2", "LM 324 BIDR")], "doc long, attribute string, value string, context string")
     parts = spark.createDataFrame([(1, "LM324BIDR", "")], "doc long, token string, marking string")
     assert sorted(x.attribute for x in r.applicable_specs(specs, parts).collect()) == ["Gain", "Rate"]
+
+
+def test_gateway_modes(spark):
+    from ferrule.plans import gateway as g
+
+    rows = [(i, f"AB-{i}", f"AB{i}", "Acme", "valve" if i < 5 else "motor", "thing", None, "verified" if i != 3 else "rejected") for i in range(1, 8)]
+    p = spark.createDataFrame(rows, "part_id long, part_number string, part_key string, manufacturer string, category string, description string, archived_at timestamp, status string")
+    s = spark.createDataFrame([(i, "size", str(i % 2)) for i in range(1, 8)] + [(1, "name", "x"), (2, "name", "x")], "part_id long, property string, value string")
+    assert [r.part_id for r in g.search_mode(p, "ab-2").collect()] == [2]
+    assert {r.provenance for r in g.search_mode(p.limit(0), "ab", fallback=p).collect()} == {"fallback"}
+    assert [(r.part_id, r.has_more) for r in g.browse_mode(p, "valve", 2).collect()] == [(1, True), (2, True)]
+    assert [r.part_id for r in g.browse_mode(p, "valve", 2, 2).collect()] == [4]
+    assert {r.candidate_id: r.state for r in g.compare_mode(p, s, "ab-1").collect()} == {2: "review", 3: "review"}
+    assert {r.candidate_id: (r.equal, r.different, r.missing) for r in g.selection_mode(p, s, [1, 2, 3]).collect()} == {2: (1, 1, 0), 3: (1, 0, 1)}
+    with pytest.raises(ValueError):
+        g.selection_mode(p, s, [1, 1])
+    assert [(r.part_id, r.equal, r.score) for r in g.reference_mode(p, s, "valve", {"size": "1", "name": "X", " ": "y"}).collect()][:2] == [(1, 2, 100), (3, 1, 100)]
+    areas = spark.createDataFrame([("valve", "fluid")], "category string, area string")
+    assert g.area_mode(p, areas, "fluid", 3).count() == 3
+    assert [(r.use_case, r.n_parts) for r in g.use_cases_mode(spark.createDataFrame([("u", "valve"), ("u", "none")], "use_case string, category string"), p).collect()] == [("u", 4)]
+    images_ = spark.createDataFrame([(1, "a", False, None, None), (1, "b", True, None, None)], "part_id long, url string, is_primary boolean, verified_at timestamp, created_at timestamp")
+    one = g.part_mode(p, 1, images_, spark.createDataFrame([("valve", "Valves")], "category string, family_name string")).first()
+    assert (one.image_url, one.family_name) == ("b", "Valves")
+    assert g.known_part(p, "a b/3").first().part_id == 3
