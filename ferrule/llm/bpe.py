@@ -7,6 +7,7 @@ read off backwards. Appends go on from the stored tokens, and after an edit only
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from . import words as w
-from .common import with_column
-from .vocabularies import Cached, distinct, path, ranks
+from .common import light, with_column
+from .vocabularies import Ragged, distinct, path, ranks
+from .words import mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pairs whose validity is remembered at once.
-PAIRS = 600_000
+PAIRS = 50_000
+#: The same, as arrays (9 bytes a pair).
+MANY_PAIRS = 3_000_000
+#: Bytes of the pieces that are encoded many at once.
+LONGEST = 16
 
 
 class Vocabulary:
@@ -112,23 +118,148 @@ class Prefixes:
         return out[::-1]
 
 
+class Tables:
+    """The tokens as sorted arrays by length, for many pieces at once.
+
+    The last 8 and the up to 8 bytes before them are held as numbers, so equality is exact; longer tokens are left to
+    Prefixes, as are pieces in which they could occur.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.by_length = v, {}
+        for k in range(1, LONGEST + 1):
+            own = [(int.from_bytes(t[-8:], "big"), int.from_bytes(t[:-8], "big"), i) for t, i in v.ranks.items() if len(t) == k and v.alone(i)]
+            own.sort()
+            if own:
+                low, high, ids = (np.array(x, np.uint64) for x in zip(*own, strict=True))
+                key = low if k <= 8 else mix(low ^ mix(high))
+                order = np.argsort(key, kind="stable")
+                self.by_length[k] = key[order], low[order], high[order], ids[order].astype(np.int64)
+        self.pairs, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def follow(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether each pair (a << 20 | b) of tokens is the encoding of its bytes."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
+        ok = np.zeros(len(pairs), bool)
+        ok[known] = self.valid[at[known]]
+        if not known.all():
+            new, back = np.unique(pairs[~known], return_inverse=True)
+            found = np.array([self.v.follows(int(p) >> 20, int(p) & 0xFFFFF) for p in new])
+            ok[~known] = found[back]
+            if len(self.pairs) > MANY_PAIRS:
+                self.pairs, self.valid = self.pairs[:0], self.valid[:0]
+            every = np.concatenate([self.pairs, new])
+            order = np.argsort(every, kind="stable")
+            self.pairs, self.valid = every[order], np.concatenate([self.valid, found])[order]
+        return ok
+
+    def last_tokens(self, data: np.ndarray) -> np.ndarray:
+        """n x width array of the last token of every prefix, for n pieces padded to a width of LONGEST at most.
+
+        What comes after a piece's end doesn't matter to its own prefixes.
+        """
+        n, width = data.shape
+        low = np.zeros((width + 1, n), np.uint64)
+        for i in range(width):
+            low[i + 1] = (low[i] << np.uint64(8)) | data[:, i]
+        last = np.full((width + 1, n), -1, np.int64)
+        for end in range(1, width + 1):
+            open_ = np.arange(n)
+            for k in range(end, 0, -1):
+                if k not in self.by_length or not len(open_):
+                    continue
+                keys, lows, highs, ids = self.by_length[k]
+                a = low[end][open_] & np.uint64((1 << 8 * min(k, 8)) - 1)
+                b = low[end - 8][open_] & np.uint64((1 << 8 * (k - 8)) - 1) if k > 8 else np.zeros(len(open_), np.uint64)
+                key = a if k <= 8 else mix(a ^ mix(b))
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = np.flatnonzero((lows[at] == a) & (highs[at] == b))
+                if not len(hit):
+                    continue
+                token, rows = ids[at[hit]], open_[hit]
+                if end > k:
+                    before = last[end - k][rows]
+                    ok = before >= 0
+                    ok[ok] = self.follow(before[ok] << 20 | token[ok])
+                    token, rows, hit = token[ok], rows[ok], hit[ok]
+                last[end][rows] = token
+                open_ = np.delete(open_, hit)
+        return last[1:].T
+
+    def encode(self, pieces: list[bytes]) -> Ragged:
+        """Ids of each piece; one that is a token gets that."""
+        out: list[bytes] = [b""] * len(pieces)
+        v, sizes = self.v, np.fromiter(map(len, pieces), np.int64, len(pieces))
+        whole = np.fromiter((v.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        short = np.flatnonzero((whole < 0) & (sizes <= LONGEST))
+        for i in np.flatnonzero(whole >= 0):
+            out[i] = int(whole[i]).to_bytes(4, "little")
+        for i in np.flatnonzero((whole < 0) & (sizes > LONGEST)):
+            out[i] = np.array(Prefixes(v, pieces[i]).ids(), np.int32).tobytes()
+        lengths = np.array([len(v.bytes.get(i, b"")) for i in range(max(v.bytes) + 1)])
+        short = short[np.argsort(sizes[short], kind="stable")]
+        for part in np.array_split(short, max(1, len(short) // 20_000)) if len(short) else []:
+            width = int(sizes[part[-1]])
+            data = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in part), np.uint8).reshape(-1, width)
+            last = self.last_tokens(data)
+            # backwards from each piece's end
+            at, rows, steps = sizes[part].copy(), np.arange(len(part)), []
+            while len(rows):
+                token = last[rows, at[rows] - 1]
+                steps.append((rows, token))
+                at[rows] -= lengths[token]
+                rows = rows[at[rows] > 0]
+            row, token = np.concatenate([r for r, _ in steps]), np.concatenate([t for _, t in steps])
+            step = np.concatenate([np.full(len(r), i) for i, (r, _) in enumerate(steps)])
+            order = np.lexsort((-step, row))
+            ids, edge = token[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))])
+            for j, i in enumerate(part):
+                out[i] = ids[edge[j] : edge[j + 1]].tobytes()
+        return Ragged(out)
+
+
 @lru_cache(4)
 def vocabulary(file: str) -> Vocabulary:
     return Vocabulary(ranks(file))
 
 
 @lru_cache(4)
-def _encoder(file: str, pattern: str) -> Cached:
-    v, split = vocabulary(file), regex.compile(pattern)
-
-    def encode_piece(piece: bytes) -> list[int]:
-        whole = v.ranks.get(piece)
-        return [whole] if whole is not None else Prefixes(v, piece).ids()
-
-    def encode(chunk: bytes) -> list[int]:
-        return [i for p in split.findall(chunk.decode()) for i in encode_piece(p.encode())]
-
-    return Cached(encode)
+def _tables(file: str) -> Tables:
+    return Tables(vocabulary(file))
+
+
+def encoded(buf: np.ndarray, bounds: np.ndarray, file: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and their bounds: distinct chunks are split, distinct pieces encoded once."""
+    cuts, counts = chunk_bounds(buf, bounds)
+    chunks, at = distinct(buf, cuts)
+    split, number, places, sizes = regex.compile(pattern), {}, [], []
+    for c in chunks:
+        found = split.findall(c.decode())
+        sizes.append(len(found))
+        places += [number.setdefault(p, len(number)) for p in found]
+    ids = _tables(file).encode([p.encode() for p in number])
+    values, each = ids.take(np.array(places, np.int64))
+    edge = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
+    of_chunk = Ragged.of(values, edge)
+    out, sizes_ = of_chunk.take(at)
+    return out, np.concatenate([[0], np.cumsum(sizes_)])[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def byte_table(file: str) -> pa.LargeBinaryArray:
+    """The bytes of every id; null where there is none."""
+    known = vocabulary(file).bytes
+    return pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
+
+
+def decoded(ids: pa.Array, table: pa.LargeBinaryArray) -> tuple[pa.Buffer, np.ndarray]:
+    """Bytes of the ids end to end, and the bounds of each id's."""
+    data = table.take(ids)
+    if data.null_count:
+        raise ValueError("ids outside the vocabulary")
+    if not len(ids):
+        return pa.py_buffer(b""), np.zeros(1, np.int64)
+    return data.buffers()[2], np.frombuffer(data.buffers()[1], np.int64)[: len(ids) + 1]
 
 
 def chunk_bounds(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,17 +287,12 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", file:
     import public_tokenizers
 
     file, pattern = file or path(VOCABULARY), pattern or public_tokenizers.PATTERN
-    kept = docs.drop(ids_col)
+    kept = light(docs).drop(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _encoder(file, pattern)
         for block in w.blocks(batches, text_col):
-            buf, bounds = w.buffer(block.column(text_col))
-            cuts, counts = chunk_bounds(buf, bounds)
-            pieces, at = distinct(buf, cuts)
-            values, sizes = code(pieces).take(at)
-            total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-            ids = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(values))
+            values, edge = encoded(*w.buffer(block.column(text_col)), file, pattern)
+            ids = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([*block.columns, ids], names=[*block.schema.names, ids_col])
 
     return kept.mapInArrow(run, with_column(kept, ids_col, ArrayType(IntegerType())))
@@ -177,31 +303,41 @@ def decode(encoded: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded",
     file, kept = file or path(VOCABULARY), encoded.drop(bytes_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(file).bytes
-        table = pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
+        table = byte_table(file)
         for batch in batches:
             lists = batch.column(ids_col)
-            ids = lists.flatten()
-            data = table.take(ids)
-            if data.null_count:
-                raise ValueError("ids outside the vocabulary")
-            bounds = np.frombuffer(data.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
             sizes = lists.value_lengths().fill_null(0).to_numpy()
-            own = bounds[np.concatenate([[0], np.cumsum(sizes)])]
-            buf = data.buffers()[2] if len(ids) else pa.py_buffer(b"")
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(own.astype(np.int64)), buf]).cast(pa.binary())
+            data, edge = decoded(lists.flatten(), table)
+            own = edge[np.concatenate([[0], np.cumsum(sizes)])]
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(own.astype(np.int64)), data]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, bytes_col])
 
     return kept.mapInArrow(run, with_column(kept, bytes_col, BinaryType()))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_tokens, digest of the decimal ids joined by a space, digest of the decoded bytes."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded = decode(encode(rows).drop("text"))
-    return coded.select(
-        F.col("doc_id").alias(id_col),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Per row: id_col, n_tokens, ids_sha256 of the decimal ids joined by a space, decoded_sha256 of the decoded bytes.
+
+    What encode() and decode() do with a block, without carrying the ids to Spark and back in between. Null and empty
+    texts have no tokens; ids of rows stay as they are, null or repeated; other columns of docs are ignored.
+    """
+    import public_tokenizers
+
+    file, pattern = path(VOCABULARY), public_tokenizers.PATTERN
+    rows = light(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(file)
+        decimal = pa.array([f"{i} ".encode() for i in range(len(table))], pa.large_binary())
+        for block in w.blocks(batches, "text"):
+            values, edge = encoded(*w.buffer(block.column("text")), file, pattern)
+            ids, digests = pa.array(values), []
+            for data, at in (decoded(ids, decimal), decoded(ids, table)):
+                view, own = memoryview(data), at[edge]
+                last = int(data is not None and not digests)  # of the decimals, the space behind the last
+                digests.append([hashlib.sha256(view[a : max(a, b - last)]).hexdigest() for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(edge)), *(pa.array(d, pa.string()) for d in digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("doc_id", id_col)

@@ -27,6 +27,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch between the JVM and Python: rows hold long texts, and several workers share an executor's memory.
+BATCH_BYTES = "8m"
+
+
+def light(df: DataFrame) -> DataFrame:
+    """df, after the session's batches for Python were bounded in bytes (a longer row is a batch of its own)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -47,6 +57,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key", plain: boo
     Where ids are unique and not null the id is the key. Otherwise rows are ordered by id (nulls first) and then by
     all other columns, and numbered; the numbered table is written, so that every later read sees the same keys.
     """
+    light(docs)
     if plain_ids(docs, id_col) if plain is None else plain:
         return docs.withColumn(key, F.col(id_col).cast("long"))
     order = [id_col, *(c for c, t in docs.dtypes if c != id_col and "map<" not in t)]

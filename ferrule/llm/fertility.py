@@ -7,7 +7,6 @@ no band. Simple counts (words, symbols, repeated lines and words) reject texts b
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -16,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words as w
-from .vocabularies import distinct, path
+from .common import light, with_column
+from .vocabularies import Ragged, distinct, path, ranks
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.tiktoken"
@@ -64,37 +65,27 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 class _Encoders:
-    """Pieces of words and their counts under both vocabularies, remembered between blocks."""
+    """Pieces of words and their number under both vocabularies."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self):
         import sentencepiece
         import tiktoken
-
         from public_tokenizers import PATTERN
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path(PIECES))
-        with open(path(BYTES), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path(BYTES)), special_tokens={})
+        self.line = self.bytes.encode_single_token("\n")
         self.fallback = np.array([self.pieces.IsByte(i) for i in range(self.pieces.GetPieceSize())])
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def __call__(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """Of each word: its piece ids (int32) and its number of byte-level tokens with a space before it."""
-        out, missing = [self.new.get(x) or self.old.get(x) for x in words], []
-        for i, x in enumerate(out):
-            if x is None:
-                missing.append(i)
-        if missing:
-            texts = [words[i].decode() for i in missing]
-            for i, text, ids in zip(missing, texts, self.pieces.encode(texts, num_threads=1), strict=True):
-                out[i] = (np.array(ids, np.int32).tobytes(), len(self.bytes.encode_ordinary(" " + text)))
-        for x, found in zip(words, out, strict=True):
-            if len(x) <= 64:
-                if len(self.new) >= self.limit:
-                    self.old, self.new = self.new, {}
-                self.new[x] = found
-        return [a for a, _ in out], np.array([b for _, b in out], np.int64)
+
+    def __call__(self, words: list[bytes]) -> tuple[Ragged, np.ndarray, np.ndarray]:
+        """Of each word: piece ids, how many of them are bytes, and how many byte-level tokens it has behind a space."""
+        texts = [x.decode() for x in words]
+        ids = Ragged([np.array(x, np.int32).tobytes() for x in self.pieces.encode(texts, num_threads=1)]) if texts else Ragged([])
+        fallback = np.diff(np.concatenate([[0], np.cumsum(self.fallback[ids.values])])[ids.bounds])
+        # words hold no line ends, and a line end before a space is a token of its own
+        every = np.array(self.bytes.encode_ordinary("".join(f" {x}\n" for x in texts)), np.int64)
+        ends = np.flatnonzero(every == self.line)
+        return ids, fallback, np.diff(np.concatenate([[-1], ends])) - 1
 
 
 @lru_cache(1)
@@ -171,14 +162,10 @@ def _measures(buf: np.ndarray, bounds: np.ndarray, langs: list[str | None]) -> l
     words, word = distinct(data, np.concatenate([[0], np.cumsum(ends - starts)]))
     at = np.concatenate([[0], np.cumsum(counts)])
     chars = _per_text(solid & ((buf & 0xC0) != 0x80), bounds)
-    ids, byte_tokens = _encoders()(words)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    tokens = _per_text(sizes[word], at)
-    fallback = np.fromiter((int(_encoders().fallback[np.frombuffer(x, np.int32)].sum()) for x in ids), np.int64, len(ids))
+    ids, fallback, byte_tokens = _encoders()(words)
+    tokens = _per_text(ids.sizes[word], at)
     # entropy: the tokens of each text, counted
-    from .vocabularies import Ragged
-
-    values, _ = Ragged(ids).take(word) if len(word) else (np.zeros(0, np.int32), None)
+    values, _ = ids.take(word)
     text = np.repeat(np.arange(n), tokens)
     key = np.sort(text * (1 << 20) + values)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -211,7 +198,10 @@ def _measures(buf: np.ndarray, bounds: np.ndarray, langs: list[str | None]) -> l
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """docs with one struct column `_fertility` of all measures. Null texts count as empty."""
     lang = F.col(lang_col) if lang_col else F.lit(None)
-    rows = docs.withColumn("_band", F.lower(lang.cast("string")))
+    band = "_band"
+    while band in docs.columns:
+        band += "_"
+    rows = docs.withColumn(band, F.lower(lang.cast("string")))
     kept = [c for c in docs.columns if c != "_fertility"]
     names = [x.split()[0] for x in FIELDS.split(", ")]
     types = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in FIELDS.split(", ")]
@@ -219,15 +209,11 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str | None = "la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in w.blocks(batches, text_col):
             buf, bounds = w.buffer(block.column(text_col))
-            columns = _measures(buf, bounds, block.column("_band").to_pylist())
+            columns = _measures(buf, bounds, block.column(band).to_pylist())
             struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in kept), struct], names=[*kept, "_fertility"])
 
-    from pyspark.sql.types import StructType
-
-    from .common import with_column
-
-    return rows.mapInArrow(run, with_column(docs.select(*kept), "_fertility", StructType.fromDDL(FIELDS)))
+    return light(rows).mapInArrow(run, with_column(docs.select(*kept), "_fertility", StructType.fromDDL(FIELDS)))
 
 
 def base_failed() -> F.Column:

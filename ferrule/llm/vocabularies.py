@@ -32,8 +32,16 @@ class Ragged:
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
 
+    @classmethod
+    def of(cls, values: np.ndarray, bounds: np.ndarray) -> Ragged:
+        out = cls([])
+        out.values, out.bounds, out.sizes = values, bounds, np.diff(bounds)
+        return out
+
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the arrays `at` end to end, and the size of each."""
+        if not len(at):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         lists = pa.LargeListArray.from_arrays(pa.array(self.bounds), pa.array(self.values))
         return lists.take(pa.array(at)).flatten().to_numpy(), self.sizes[at]
 
@@ -44,7 +52,7 @@ class Cached:
     Remembers between `limit` and twice as many pieces: those seen since the last but one time the newer half was full.
     """
 
-    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 120_000):
         self.encode, self.limit, self.new, self.old = encode, limit, {}, {}
 
     def __call__(self, pieces: list[bytes]) -> Ragged:

@@ -6,6 +6,8 @@ bijective mixer, so that the hash of any run of words comes from two prefix sums
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `limit` bytes of text, or of one row."""
     for batch in batches:
         n = batch.num_rows
@@ -59,6 +61,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             to = min(n, max(to, at + 1))
             yield batch.slice(at, to - at)
             at = to
+    released()
+
+
+def released() -> None:
+    """Give freed memory back: workers wait for their next task beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
