@@ -8,8 +8,9 @@ and only up to the time by which all registers of the text are filled.
 
 Bands of registers give candidate pairs, and the bags themselves decide: only pairs whose exact weighted Jaccard
 reaches the threshold are linked. Equal bags are one class from the start. Inside a bucket all are compared with its
-smallest member first; only members of a bucket that this left in different classes are then compared with each other,
-in tiles.
+smallest member first. Members of a bucket that this left in different classes get a finer signature and are compared in
+tiles: first each with the most alike of another class, and then, where classes still differ, all that the finer
+signature doesn't rule out. The members of a bucket's largest class aren't compared with each other.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ REGISTERS = 128
 ROWS = 4
 #: Candidates whose signatures agree less than this many standard deviations below the threshold are no candidates.
 DEVIATIONS = 6
+#: The same for the finer signatures (a byte a register), held only for texts of buckets with several classes.
+FINE_REGISTERS = 1024
+FINE_DEVIATIONS = 5
 TILE = 256
-SEED = np.uint64(0x5851F42D4C957F2D)
+SEED = 0x5851F42D4C957F2D
 
 
 def bags(hashes: np.ndarray, counts: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,10 +78,10 @@ def signatures(text: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int, r
         time, k = np.zeros(len(at)), 0
         while len(at):
             k += 1
-            h = w.mix(seed[at] + np.uint64(k) * SEED)
+            h = w.mix(seed[at] + np.uint64(k * SEED % (1 << 64)))
             time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / length[at]
             early = time <= until[text[at]]
-            at, time, h = at[early], time[early], w.mix(h[early] ^ SEED)
+            at, time, h = at[early], time[early], w.mix(h[early] ^ np.uint64(SEED))
             place = start[at] + 1 + ((h >> np.uint64(32)).astype(np.float64) / (1 << 32) * length[at]).astype(np.int64)
             inside = place <= weight[at]
             register = (h[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64) % registers
@@ -159,29 +163,73 @@ def _agreeing(least: int):
     return run
 
 
-def _across(least: int):
-    """Of two tiles of a bucket: pairs of different components whose brief signatures agree in `least` registers."""
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in w.blocks(batches, "text"):
+        buf, bounds = w.buffer(block.column("text"))
+        starts, ends, counts = w.spans(buf, bounds)
+        least = signatures(*bags(w.word_hashes(buf, starts, ends), counts), len(counts), FINE_REGISTERS)
+        fine = (w.mix(least) >> np.uint64(56)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([block.column("_key"), pa.array([x.tobytes() for x in fine], pa.binary())], names=["key", "fine"])
+
+
+def _across(least: int, best: bool):
+    """Of two tiles of a bucket: pairs of different classes whose fine signatures agree in `least` registers; if best, only
+    the most alike of each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out = [np.zeros((2, 0), np.int64)]
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                left, right = row["left"], row["right"]
-                keys = [np.array([m["key"] for m in side]) for side in (left, right)]
-                comps = [np.array([m["component"] for m in side]) for side in (left, right)]
-                brief = [np.frombuffer(b"".join(m["brief"] for m in side), "<u2").reshape(len(side), -1) for side in (left, right)]
+                (left, ours, a), (right, theirs, b) = ((np.array([m["key"] for m in side]), np.array([m["component"] for m in side]), np.frombuffer(b"".join(m["fine"] for m in side), np.uint8).reshape(len(side), -1)) for side in (row["left"], row["right"]))
+                agree = np.zeros((len(left), len(right)), np.int32)
                 for j in range(len(left)):
-                    other = np.flatnonzero((comps[1] != comps[0][j]) & ((keys[1] > keys[0][j]) | (row["one"] != row["two"])))
-                    near = other[(brief[1][other] == brief[0][j]).sum(1) >= least]
-                    if len(near):
-                        out.append(np.stack([np.minimum(keys[0][j], keys[1][near]), np.maximum(keys[0][j], keys[1][near])]))
-            found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+                    other = np.flatnonzero((theirs != ours[j]) & ((right > left[j]) | (row["one"] != row["two"])))
+                    agree[j, other] = np.count_nonzero(b[other] == a[j], axis=1)
+                near = agree >= least
+                if best:
+                    near &= (agree == agree.max(1, keepdims=True)) | (agree == agree.max(0, keepdims=True))
+                x, y = np.nonzero(near)
+                out.append(np.stack([np.minimum(left[x], right[y]), np.maximum(left[x], right[y])]))
+            found = np.unique(np.concatenate(out, 1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     return run
 
 
+def _placed(members: DataFrame, component: DataFrame) -> DataFrame:
+    """The members (bucket, key) of buckets that hold several classes, with their class."""
+    placed = members.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return placed.join(several, "bucket").select("bucket", "key", "component")
+
+
+def _candidates(placed: DataFrame, fine: DataFrame, least: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different classes. Members of its largest class get tiles below zero."""
+    sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"))
+    tile = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TILE))
+    tiled = placed.join(sizes, "bucket").join(fine, "key").withColumn("tile", F.when(F.col("component") == F.col("main.component"), -1 - tile).otherwise(tile))
+    tiles = saved(tiled.groupBy("bucket", "tile").agg(F.collect_list(F.struct("key", "component", "fine")).alias("members")), "tiles")
+    one = tiles.select("bucket", F.col("tile").alias("one"), F.col("members").alias("left"))
+    two = tiles.filter("tile >= 0").select("bucket", F.col("tile").alias("two"), F.col("members").alias("right"))
+    return one.join(two, "bucket").filter("one <= two").select("one", "two", "left", "right").mapInArrow(_across(least, best), "a long, b long").distinct()
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (id, component) after more links (a, b)."""
+    of = lambda x: component.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    merged = components(joined).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    ids = component.select("id").unionByName(links.select(F.col("a").alias("id"))).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    known = ids.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return saved(known.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
+
+
+def _least(registers: int, threshold: float, deviations: float) -> int:
+    """Registers that a pair at the threshold agrees in, less so many standard deviations."""
+    return int(np.floor(registers * threshold - deviations * np.sqrt(registers * threshold * (1 - threshold))))
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) of keys whose bags are similar enough."""
     ends = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
@@ -199,7 +247,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts and texts without words link with nothing. With null or repeated ids every row counts as its own, numbered in
     order of id (nulls first) and text, and class_id is such a number. Other columns of docs are ignored.
 
-    A pair at the threshold is missed with a probability of about 5e-8 by the bands and 1e-9 by the comparison of
+    A pair at the threshold is missed with a probability of about 5e-8 by the bands and 3e-7 by the comparison of
     signatures; no pair below it is linked.
     """
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -217,29 +265,23 @@ def classified(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = saved(banded.join(full, "bucket"), "buckets")
     brief = signed.select("key", "brief")
     side = lambda x: brief.select(F.col("key").alias(x), F.col("brief").alias(f"brief_{x}"))
-    least = int(np.floor(REGISTERS * threshold - DEVIATIONS * np.sqrt(REGISTERS * threshold * (1 - threshold))))
     stars = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    stars = saved(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(least), "a long, b long"), "stars")
-    component = saved(components(_linked(stars, rows, threshold)), "components")
-
-    # what is left: buckets whose members are in different components
-    placed = members.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    tiled = placed.join(open_, "bucket").join(brief, "key").withColumn("tile", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TILE)))
-    tiles = tiled.groupBy("bucket", "tile").agg(F.collect_list(F.struct("key", "component", "brief")).alias("members"))
-    tiles = saved(tiles, "tiles")
-    one = tiles.select("bucket", F.col("tile").alias("one"), F.col("members").alias("left"))
-    two = tiles.select("bucket", F.col("tile").alias("two"), F.col("members").alias("right"))
-    pairs = one.join(two, "bucket").filter("one <= two").select("one", "two", "left", "right").mapInArrow(_across(least), "a long, b long").distinct()
-    pairs = saved(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = _linked(pairs, rows, threshold)
-        of = lambda x: component.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
-        joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
-        merged = components(joined).select(F.col("id").alias("component"), F.col("component").alias("root"))
-        ids = component.select("id").unionByName(links.select(F.col("a").alias("id"))).unionByName(links.select(F.col("b").alias("id"))).distinct()
-        known = ids.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        component = saved(known.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
+    agreeing = _agreeing(_least(REGISTERS, threshold, DEVIATIONS))
+    tried = saved(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long"), "stars")
+    component = saved(components(_linked(tried, rows, threshold)), "components")
+
+    # what is left: buckets whose members are in different classes
+    placed = saved(_placed(members.select("bucket", "key"), component), "several")
+    unsettled = placed.select(F.col("key").alias("_key")).distinct()
+    fine = saved(rows.select("_key", "text").join(unsettled, "_key", "left_semi").mapInArrow(_fine, "key long, fine binary"), "fine")
+    least = _least(FINE_REGISTERS, threshold, FINE_DEVIATIONS)
+    for best in (True, False):
+        pairs = saved(_candidates(placed, fine, least, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty() and not (links := _linked(pairs, rows, threshold)).isEmpty():
+            component = _merged(component, links)
+        if best:
+            tried = tried.unionByName(pairs)
+            placed = saved(_placed(placed.select("bucket", "key"), component), "several")
     of_bag = same.join(component, same["key"] == component["id"], "left").select("digest1", "digest2", F.coalesce("component", "key").alias("class_id"))
     found = signed.select("key", "digest1", "digest2").join(of_bag, ["digest1", "digest2"]).select(F.col("key").alias("_key"), "class_id")
     return rows.select("_key").join(found, "_key", "left").select("_key", F.coalesce("class_id", "_key").alias("class_id"))
