@@ -83,3 +83,22 @@ def test_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(None, None, None), (1, "a", None), (1, "a", None)], "doc_id long, text string, lang string")
     assert [r.kept for r in judged(df).collect()] == [False] * 3
     assert judged(df.limit(0)).count() == 0 and kept(df.limit(0)).columns == df.columns
+
+
+def test_limits_of_the_table_reject_laden_prose(spark):
+    rng = random.Random(9)
+    ends = ["", "er", "ing", "ed", "ly", "tion", "ness", "s"]
+    words = ["".join(rng.choice(["th", "on", "re", "an", "in", "he", "st", "nd", "wh", "ou"]) for _ in range(rng.randint(1, 3))) + rng.choice(ends) for _ in range(4000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    clean = [" ".join(prose(rng.randint(120, 360))) + "." for _ in range(300)]
+    symbols = [" ".join(x + rng.choice(["&&&", "%%%", "$$$", "###", ""]) for x in prose(140)) for _ in range(8)]
+    pipes = [" | ".join(prose(140)) for _ in range(8)]
+    # many copies of one text don't set the limits
+    copies = [clean[0]] * 300
+    rows = [(i, t, "en") for i, t in enumerate([*clean, *symbols, *pipes, *copies])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    verdict = {r.doc_id: (r.base_failed, r.kept) for r in judged(df).collect()}
+    assert not any(b for b, _ in verdict.values())
+    assert sum(verdict[i][1] for i in range(300)) >= 296
+    assert not any(verdict[i][1] for i in range(300, 316))
+    assert {r.doc_id for r in kept(df.withColumn("_limits", df.doc_id)).collect()} == {i for i, (_, k) in verdict.items() if k}
