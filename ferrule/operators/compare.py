@@ -147,12 +147,19 @@ def verdict(states: DataFrame) -> DataFrame:
 
 
 def same_family_pairs(parts: DataFrame, bases: DataFrame, limit: int) -> DataFrame:
-    """For a stated set of bases, the first `limit` parts of their family by part number, without the base itself."""
+    """For a stated set of bases, the first `limit` parts of their family by part number, without the base itself.
+
+    part_id is unique in both. Each family is ranked once and keeps limit + 1 parts, which is one more than a base can need;
+    Spark cuts the rank before the shuffle, so a large family costs no more than a small one.
+    """
+    order = Window.partitionBy("category").orderBy("part_number", "part_id")
+    top = parts.select("category", "part_id", "part_number").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit + 1)
+    families = top.groupBy(F.col("category").alias("candidate_family")).agg(F.sort_array(F.collect_list(F.struct("n", "part_id", "part_number"))).alias("first"))
     left = bases.select(F.col("part_id").alias("base_id"), F.col("category").alias("base_family"), F.col("part_number").alias("base_number"))
-    right = parts.select(F.col("part_id").alias("candidate_id"), F.col("category").alias("candidate_family"), F.col("part_number").alias("candidate_number"))
-    rows = left.join(right, (F.col("base_family") == F.col("candidate_family")) & (F.col("base_id") != F.col("candidate_id")))
-    order = Window.partitionBy("base_id").orderBy("candidate_number")
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+    rows = left.join(families, F.col("base_family") == F.col("candidate_family"))
+    others = F.slice(F.filter("first", lambda c: c["part_id"] != F.col("base_id")), 1, limit)
+    rows = rows.withColumn("c", F.explode(others))
+    return rows.select("base_id", "base_family", "base_number", F.col("c.part_id").alias("candidate_id"), "candidate_family", F.col("c.part_number").alias("candidate_number"))
 
 
 def first_level(levels: Column) -> Column:

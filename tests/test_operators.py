@@ -280,3 +280,16 @@ def test_gateway_modes(spark):
     one = g.part_mode(p, 1, images_, spark.createDataFrame([("valve", "Valves")], "category string, family_name string")).first()
     assert (one.image_url, one.family_name) == ("b", "Valves")
     assert g.known_part(p, "a b/3").first().part_id == 3
+
+
+def test_family_pairs_rank_a_family_once(spark):
+    rows = [(i, f"P{(i * 37) % 400:03d}", "hot" if i % 3 else f"f{i % 20}") for i in range(400)] + [(900, "Z", "alone"), (901, "Y", None)]
+    parts = spark.createDataFrame(rows, "part_id long, part_number string, category string")
+    out = compare.same_family_pairs(parts, parts, 3)
+    want = {(i, c) for i, _, f in rows for c in [c for n, c in sorted((n, c) for c, n, g in rows if f and g == f and c != i)[:3]]}
+    got = [(r.base_id, r.candidate_id) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # no base is joined with each part of its family
+    assert max(r.candidates for r in out.groupBy("base_id").agg(F.count("*").alias("candidates")).collect()) == 3
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 1 and "NOT" not in joins[0]
