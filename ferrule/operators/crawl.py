@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +40,29 @@ def in_scope(url: Column, root: Column, max_depth: int, include: str | None = No
     return ok & ~url.rlike(exclude) if exclude else ok
 
 
-def frontier(seeds: DataFrame, edges: DataFrame, rounds: int, checkpoint) -> DataFrame:
-    """url, depth: pages reached from the seeds (url) over edges (src, dst) within `rounds` steps, at their least depth.
+def frontier(seeds: DataFrame, edges: DataFrame, rounds: int | None, checkpoint: Callable[[DataFrame], DataFrame], admitted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """url, depth: pages reached from the seeds (url) over edges (src, dst), at their least number of steps.
 
-    A round joins only the last round's new pages and drops those known by an anti-join; checkpoint(df) writes each
-    round, so the plan doesn't grow with depth.
+    It ends with the first round that adds no page, or after `rounds` steps if that isn't None. admitted(url, seed) says
+    whether a crawl from the seed takes the page, and is asked of seeds too; a crawl goes on from its seed's links in any
+    case. A round joins only the last round's new pages and drops those known by an anti-join; checkpoint(df) writes
+    each round, so the plan doesn't grow with depth.
     """
-    known = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    new = known
-    for depth in range(1, rounds + 1):
-        step = new.join(edges, new["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct().join(known, "url", "left_anti")
+    ok = admitted or (lambda url, seed: F.lit(True))
+    # with no condition that depends on the seed, all seeds are one crawl
+    starts = seeds.filter("url is not null").select("url", (F.col("url") if admitted else F.lit("")).alias("seed")).distinct()
+    new = checkpoint(starts.withColumn("depth", F.lit(0)))
+    known = checkpoint(new.filter(ok(F.col("url"), F.col("seed"))))
+    depth = 0
+    while rounds is None or depth < rounds:
+        depth += 1
+        step = new.join(edges, new["url"] == edges["src"]).select(F.col("dst").alias("url"), "seed").distinct()
+        step = step.filter(ok(F.col("url"), F.col("seed"))).join(known, ["url", "seed"], "left_anti")
         new = checkpoint(step.withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         known = checkpoint(known.unionByName(new))
-    return known
+    return known.groupBy("url").agg(F.min("depth").alias("depth"))
 
 
 def link_edges(pages: DataFrame, links: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ TERMS = [
 AREAS = [("news", 0, 35), ("story", 1, 35), ("report", 2, 35)]
 ALIASES = [("widget", "body"), ("small widget", "small_body"), ("bolt", "fastener"), ("ring", "seal"), ("large gear wheel assembly", "drive"), ("blue", "colour")]
 ROBOTS = [("disallow", "/en/"), ("allow", "/en/6"), ("disallow", "/fr/8"), ("allow", "/fr/825"), ("disallow", "/de/1"), ("allow", "/de/1")]
+#: Path parts below the seed's that a crawl goes down: the reference's default.
+MAX_DEPTH = 5
 AREA_DOMAIN = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "UNUSED"]
 COMMON = ["the", "of", "and", "de", "la", "der", "que", "is", "in", "to"]
 
@@ -208,9 +210,15 @@ def robots_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    edges = crawl.link_edges(p, extract.links(p, "page_id"))
+    edges = checkpointed(crawl.link_edges(p, extract.links(p, "page_id")))
     seeds = p.filter("page_id % 20 = 0").select(urls.normalized(F.col("url")).alias("url"))
-    out = crawl.frontier(seeds, edges, 3, checkpointed)
+    every = edges.select(F.col("dst").alias("url")).union(seeds).filter("url is not null").distinct()
+    rules = every.select(urls.host(F.col("url")).alias("host")).distinct().crossJoin(F.broadcast(spark.createDataFrame(ROBOTS, "kind string, path string")))
+    allowed = crawl.robots_allowed(every, rules, "url").filter("allowed")
+    edges = checkpointed(edges.join(allowed.select(F.col("url").alias("dst")), "dst", "left_semi"))
+    # a seed that robots forbid isn't reported, but its links are followed, as in the reference
+    out = crawl.frontier(seeds, edges, None, checkpointed, lambda url, seed: crawl.in_scope(url, seed, MAX_DEPTH))
+    out = out.join(allowed.select("url"), "url", "left_semi")
     return out.withColumn("depth", long("depth"))
 
 

@@ -293,3 +293,25 @@ def test_family_pairs_rank_a_family_once(spark):
     assert max(r.candidates for r in out.groupBy("base_id").agg(F.count("*").alias("candidates")).collect()) == 3
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert len(joins) == 1 and "NOT" not in joins[0]
+
+
+def _site(spark, folder):
+    root = "https://h.example.com/fr"
+    urls_ = [root, *(f"{root}/p{i}" for i in range(1, 11))]
+    deep = f"{root}/a/b/c/d/e"
+    more = {3: [f"{deep}", f"{deep}/f", "https://other.example.com/fr/x", "https://h.example.com/es/x", f"{root}/logo.png"], 10: [root, f"{root}/8/x"]}
+    href = lambda i: "".join(f'<a href="{u}">x</a>' for u in [*urls_[i + 1 : i + 2], *more.get(i, [])])
+    rows = [(20 if i == 0 else i, u, f"<html>{href(i)}</html>") for i, u in enumerate(urls_)]
+    # robots forbid /fr/8 for all hosts; a page behind it is reached by no other way
+    rows += [(31, "https://h.example.com/fr/8/x", f'<a href="{root}/lost">x</a>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return {u: i for i, u in enumerate(urls_)} | {deep: 4}
+
+
+def test_frontier_reaches_the_end_of_a_chain(spark, tmp_path):
+    from ferrule.plans.catalogue import crawl_frontier
+
+    want = _site(spark, tmp_path)
+    assert {r.url: r.depth for r in crawl_frontier(spark, str(tmp_path)).collect()} == want
+    edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(10)], "src string, dst string")
+    assert {r.url: r.depth for r in crawl.frontier(spark.createDataFrame([("u0",)], "url string"), edges, None, checkpointed).collect()} == {f"u{i}": i for i in range(11)}
