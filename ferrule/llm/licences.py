@@ -7,6 +7,9 @@ DataFrame functions; the known digests are a small table.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,11 @@ KNOWN = {
     "MIT-notice": "Released under the MIT License.",
     "CC0-1.0": "Released under CC0 1.0.",
 }
+#: Lines that stand above a licence whose text has no title of its own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "Unlicense": ("The Unlicense", "Unlicense"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+}
 #: Lines that name a holder or a year: "Copyright ...", "(c) 2020 ...", "All rights reserved".
 COPYRIGHT_LINE = r"(^|\n)[^\pL\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
@@ -63,9 +71,32 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def reference_texts() -> list[tuple[str, str]]:
+    """(licence, text) of whole licences: the files of licence_texts, MIT and ISC, each with and without its title, with
+    and without what follows its terms or numbers its clauses, and with each paragraph as lines and as one line."""
+    whole = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
+    whole |= {name: KNOWN[name] for name in ("MIT", "ISC")}
+    out = []
+    for name, text in sorted(whole.items()):
+        text = text.strip("\n")
+        forms = {text, re.split("(?<=END OF TERMS AND CONDITIONS)", text)[0]}
+        if name.startswith("BSD"):
+            forms.add(re.sub(r"(?m)^\d\. ", "", text))
+        if name in TITLES:
+            forms |= {f"{title}\n\n{x}" for title in TITLES[name] for x in forms}
+        else:
+            forms |= {x.split("\n\n", 1)[1] for x in forms}
+        # a line that starts with "copyright" drops out of the canonical form, so line ends inside paragraphs matter
+        forms |= {"\n\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", form)) for form in forms}
+        out += [(name, form) for form in sorted(forms)]
+    return out
+
+
 def known_digests(spark: SparkSession, licences: dict[str, str] | None = None) -> DataFrame:
-    """(licence, digest) of known texts; of texts with the same form the first name in order stays."""
-    rows = spark.createDataFrame(list((KNOWN if licences is None else licences).items()), "licence string, text string")
+    """(licence, digest) of known texts, or of the reference texts and notices; of texts with the same form the first name
+    in order stays."""
+    texts = [*KNOWN.items(), *reference_texts()] if licences is None else list(licences.items())
+    rows = spark.createDataFrame(texts, "licence string, text string")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence")).select("licence", "digest")
 
 
