@@ -24,6 +24,8 @@ ROLES = ("system", "user", "assistant")
 #: State 2 * role: first line of a turn; 2 * role + 1: further line.
 STATES = 2 * len(ROLES)
 BLOCK = 64
+#: Place of rows without one: behind all others.
+LAST = (1 << 62) - 1
 #: Markers by which transcripts name a speaker.
 MARKERS = {
     "system": ("system", "sys", "instruction", "instructions", "context"),
@@ -98,13 +100,31 @@ class Model:
 def blocks(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", role_col: str | None = None) -> DataFrame:
     """Pieces of transcripts in blocks of up to BLOCK consecutive places: conv, block, items (place, text, role).
 
-    Repeated rows are one piece; pieces of the same place are ordered by text. A null place comes last.
+    Repeated rows with a turn are one piece; pieces of the same place are ordered by text. Rows with a null turn come last, all
+    of them, in blocks of BLOCK rows.
     """
     role = F.lower(F.col(role_col)) if role_col else F.lit(None).cast("string")
-    place = F.col(order_col).cast("long")
-    rows = turns.select(F.col(id_col).alias("conv"), F.coalesce(place, F.lit((1 << 62) - 1)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), role.alias("role")).distinct()
-    rows = rows.withColumn("block", F.floor(F.col("place") / BLOCK))
-    return rows.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("place", "text", "role"))).alias("items"))
+    every = turns.select(F.col(id_col).alias("conv"), F.col(order_col).cast("long").alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), role.alias("role"))
+    rows = every.filter("place is not null").distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
+    out = rows.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("place", "text", "role"))).alias("items"))
+    late = every.filter("place is null")
+    return out if late.isEmpty() else out.unionByName(_late_blocks(late))
+
+
+def _late_blocks(late: DataFrame) -> DataFrame:
+    """Blocks of rows without a place. Equal rows are counted, and rows numbered inside their range partition first, then
+    by the counts of the partitions before it; so no task holds all rows of a conversation."""
+    counted = late.groupBy("conv", "text", "role").agg(F.count("*").alias("n"))
+    ranged = saved(counted.repartitionByRange("conv", "text", "role").withColumn("part", F.spark_partition_id()), "late")
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")
+    offsets = ranged.groupBy("conv", "part").agg(F.sum("n").alias("n")).select(F.col("conv").alias("c"), F.col("part").alias("p"), before.alias("offset"))
+    inside = F.sum("n").over(Window.partitionBy("conv", "part").orderBy("text", "role")) - F.col("n")
+    rows = ranged.withColumn("inside", inside).join(offsets, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    rows = rows.withColumn("at", F.col("offset") + F.col("inside"))
+    rows = rows.withColumn("b", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("n") - 1) / BLOCK))))
+    copies = F.least(F.col("at") + F.col("n"), (F.col("b") + 1) * BLOCK) - F.greatest(F.col("at"), F.col("b") * BLOCK)
+    items = F.array_repeat(F.struct(F.lit(LAST).alias("place"), "text", "role"), copies.cast("int"))
+    return rows.groupBy("conv", (F.col("b") + LAST // BLOCK).alias("block")).agg(F.sort_array(F.flatten(F.collect_list(items))).alias("items"))
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -228,7 +248,7 @@ def parse_conversations(conversations: DataFrame) -> DataFrame:
 
     Returns per block of up to 64 places of a conversation: conv_id, block, n_lines, n_turns begun, n_right (lines
     whose role was recovered), roles (of the turns begun) and rendered_sha256 of the canonical form. Rows repeated in all
-    of conv_id, turn, role and text count once; a null turn comes last, a null text is an empty line, a null or unknown
+    of conv_id, turn, role and text count once, unless turn is null; a null turn comes last, a null text is an empty line, a null or unknown
     role counts as not recovered and isn't learnt from. Rows with a null conv_id are one conversation. Other columns
     are ignored.
     """

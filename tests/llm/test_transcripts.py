@@ -67,3 +67,14 @@ def test_rendering_and_odd_rows(spark):
     decoded = spark.createDataFrame([(1, 0, ["user", "user", "assistant"], [True, False, True], ["hi", "there", "yes"])], "conv long, block long, roles array<string>, begins array<boolean>, lines array<string>")
     assert t.rendered(decoded).collect()[0].text == "<|user|>\nhi\nthere\n<|assistant|>\nyes"
     assert t.parse_conversations(df.limit(0)).count() == 0
+
+
+def test_rows_without_a_turn_all_stay_in_bounded_blocks(spark):
+    rows = [(1, 0, "user", "hi"), *[(1, None, "assistant", "ok")] * 200, *[(1, None, "user", f"t{i}") for i in range(100)], *[(None, None, "user", "ok")] * 70, (2, 3, "user", "x"), (2, 3, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    held = t.blocks(df, role_col="role").collect()
+    assert max(len(b["items"]) for b in held) <= t.BLOCK
+    inside = lambda conv: [i.text for b in sorted(held, key=lambda b: b.block) if b.conv == conv for i in b["items"]]
+    assert inside(1) == ["hi", *["ok"] * 200, *sorted(f"t{i}" for i in range(100))]
+    assert inside(None) == ["ok"] * 70 and inside(2) == ["x"]
+    assert sum(r.n_lines for r in t.parse_conversations(df).collect()) == 1 + 200 + 100 + 70 + 1
