@@ -35,11 +35,12 @@ def source_totals(docs: DataFrame, source_col: str, tokens: Column) -> DataFrame
 
 def weights(totals: DataFrame, exponent: float) -> DataFrame:
     """totals with share and weight (share ** exponent, normalised). Sources without tokens have weight 0."""
-    everything = Window.partitionBy()
-    share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(everything)), F.lit(0.0))
+    total = totals.agg(F.sum("tokens")).first()[0]
+    share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.lit(total).cast("long")), F.lit(0.0))
     powered = F.when(F.col("tokens") > 0, F.pow("share", F.lit(exponent))).otherwise(0.0)
     rows = totals.withColumn("share", share).withColumn("powered", powered)
-    return rows.withColumn("weight", F.coalesce(F.try_divide("powered", F.sum("powered").over(everything)), F.lit(0.0))).drop("powered")
+    z = rows.agg(F.sum("powered")).first()[0]
+    return rows.withColumn("weight", F.coalesce(F.try_divide("powered", F.lit(z).cast("double")), F.lit(0.0))).drop("powered")
 
 
 def _flatness(totals: DataFrame, exponent: float) -> tuple[float, float]:
@@ -87,7 +88,7 @@ def plan(rows: DataFrame, target_entropy: float | None, max_repetition: float |
     totals = saved(source_totals(rows, "source", F.col("n")), "sources")
     alpha = exponent(totals, target_entropy, max_repetition)
     weighted = weights(totals, alpha).withColumn("exponent", F.lit(alpha))
-    whole = F.max(F.try_divide(F.col("tokens").cast("double"), F.col("weight"))).over(Window.partitionBy())
+    whole = F.lit(weighted.agg(F.max(F.try_divide(F.col("tokens").cast("double"), F.col("weight")))).first()[0]).cast("double")
     target = F.col("weight") * (F.lit(float(budget)) if budget is not None else whole)
     # rounded to whole tokens, so that a source taken once is taken whole
     weighted = weighted.withColumn("target", F.coalesce(F.round(target), F.lit(0.0)).cast("long"))

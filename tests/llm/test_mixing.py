@@ -74,3 +74,16 @@ def test_clashing_names_and_empty_table(spark):
     df = corpus(spark).withColumn("epoch", F.lit("x")).withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
     assert m.mixed(df).columns == ["doc_id", "text", "source", "key", "row", "epoch", "block", "place"]
     assert m.mixed(df.limit(0)).count() == 0
+
+
+def test_weights_put_no_table_in_one_task(spark):
+    from ferrule.llm import mixing
+
+    totals = spark.createDataFrame([("a", 30, 1), ("b", 10, 1), ("c", 0, 1), (None, 60, 1)], "source string, tokens long, docs long")
+    out = mixing.weights(totals, 0.5)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    z = 0.3**0.5 + 0.1**0.5 + 0.6**0.5
+    got = {r.source: (r.share, r.weight) for r in out.collect()}
+    want = {"a": (0.3, 0.3**0.5 / z), "b": (0.1, 0.1**0.5 / z), "c": (0.0, 0.0), None: (0.6, 0.6**0.5 / z)}
+    assert all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert mixing.weights(totals.limit(0), 0.5).count() == 0
