@@ -6,11 +6,17 @@ signature's registers. A register keeps the first time of a point whose place is
 register with the probability of their weighted Jaccard similarity (BagMinHash). Points are generated in order of time
 and only up to the time by which all registers of the text are filled.
 
-Bands of registers give candidate pairs, and the bags themselves decide: only pairs whose exact weighted Jaccard
-reaches the threshold are linked. Equal bags are one class from the start. Inside a bucket all are compared with its
-smallest member first. Members of a bucket that this left in different classes get a finer signature and are compared in
-tiles: first each with the most alike of another class, and then, where classes still differ, all that the finer
-signature doesn't rule out. The members of a bucket's largest class aren't compared with each other.
+Bands of registers give buckets, and the bags themselves decide: only pairs whose exact weighted Jaccard reaches the
+threshold are linked. Equal bags are one class from the start. Inside a bucket all are first compared with its smallest
+member. Of what this leaves in different classes, buckets of a few members are compared pair by pair. The others don't
+compare members with each other: each member is compared with the bucket's hub and kept as its difference from it. With
+M and A the weight that a bag lacks of the hub and has beyond it, H the hub's weight and c what two differences have in
+common, two bags reach the threshold t just if
+
+    M1 + t A1 + M2 + t A2 <= (1 - t) H + (1 + t) c
+
+so two bags that aren't both near the hub must share much of their differences, and an index of each difference's rarest
+parts (prefix filter) finds all such pairs: random edits of one text share next to nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
@@ -31,10 +37,10 @@ REGISTERS = 128
 ROWS = 4
 #: Candidates whose signatures agree less than this many standard deviations below the threshold are no candidates.
 DEVIATIONS = 6
-#: The same for the finer signatures (a byte a register), held only for texts of buckets with several classes.
-FINE_REGISTERS = 1024
-FINE_DEVIATIONS = 5
-TILE = 256
+#: Buckets of up to so many members are compared pair by pair.
+FEW = 16
+#: Slack of comparisons in double precision.
+SLACK = 1e-12
 SEED = 0x5851F42D4C957F2D
 
 
@@ -43,14 +49,16 @@ def bags(hashes: np.ndarray, counts: np.ndarray, k: int = SHINGLE) -> tuple[np.n
 
     A text of one to k - 1 words has one shingle, all its words.
     """
-    runs = w.Runs(hashes, w.BASES[1])
-    gram = runs.grams(k)
+    gram = w.grams(hashes, k)
     text = np.repeat(np.arange(len(counts)), counts)
     fits = text[: len(gram)] == text[k - 1 :] if len(gram) else np.zeros(0, bool)
     before = np.cumsum(counts) - counts
     short = np.flatnonzero((counts > 0) & (counts < k))
-    text = np.concatenate([text[: len(gram)][fits], short])
-    gram = np.concatenate([gram[fits], runs.of(before[short], before[short] + counts[short])])
+    whole = w.mix(counts[short].astype(np.uint64))
+    for i in range(k - 1):
+        has = counts[short] > i
+        whole[has] = w.combined(whole[has], hashes[before[short][has] + i])
+    text, gram = np.concatenate([text[: len(gram)][fits], short]), np.concatenate([gram[fits], whole])
     order = np.lexsort((gram, text))
     text, gram = text[order], gram[order]
     new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])])) if len(gram) else np.zeros(0, np.int64)
@@ -139,60 +147,76 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+def _column(batch: pa.RecordBatch, name: str, kind: str) -> list[np.ndarray]:
+    """The binary column's values as arrays."""
+    data, bounds = w.buffer(batch.column(name))
+    return [data[a:b].view(kind) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """The bags of both ends of each row."""
+    ga, wa, gb, wb = (_column(batch, c, k) for c, k in (("grams_a", "<u8"), ("weights_a", "<u4"), ("grams_b", "<u8"), ("weights_b", "<u4")))
+    return zip(zip(ga, wa, strict=True), zip(gb, wb, strict=True), strict=True)
+
+
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for ga, wa, gb, wb in zip(*(batch.column(c).to_pylist() for c in ("grams_a", "weights_a", "grams_b", "weights_b")), strict=True):
-                a, b = (np.frombuffer(ga, np.uint64), np.frombuffer(wa, "<u4")), (np.frombuffer(gb, np.uint64), np.frombuffer(wb, "<u4"))
-                ok.append(jaccard(a, b) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+            ok = pa.array([jaccard(a, b) >= threshold - SLACK for a, b in _pairs(batch)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def _agreeing(least: int):
-    """Of pairs with their brief signatures: those that agree in `least` registers."""
+DIFFERENCE = "hub long, key long, near boolean, cost double, size long, small long, large long, parts array<long>"
+
+
+def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[bool, float, int, int, int, np.ndarray]:
+    """How a bag differs from a hub: whether it reaches the threshold with it, M + t A, M + A, for how many of its rarest parts it
+    has to be found as the end of a pair that costs less, and as the other (0: it can't be that), and the parts, one for each unit of weight."""
+    grams = np.union1d(hub[0], bag[0])
+    change = np.zeros(len(grams), np.int64)
+    change[np.searchsorted(grams, bag[0])] += bag[1]
+    change[np.searchsorted(grams, hub[0])] -= hub[1]
+    at = np.flatnonzero(change)
+    amount = np.abs(change[at])
+    beyond, size = int(change[change > 0].sum()), int(amount.sum())
+    lacking, total, own = size - beyond, int(hub[1].sum()), int(bag[1].sum())
+    common = total - lacking
+    near = common / (total + own - common) >= threshold - SLACK
+    cost, room = lacking + threshold * beyond, (1 - threshold) * total
+    # what two differences must share at least: see the module's text, with the other end's cost as small as it can be
+    small = (cost if near else max(cost, 2 * cost - room)) / (1 + threshold)
+    prefix = lambda shared: min(size, max(0, size - int(np.ceil(max(shared, 0) - 1e-6)) + 1))
+    nth = np.arange(size) - np.repeat(np.cumsum(amount) - amount, amount)
+    side = np.where(change[at] > 0, np.uint64(w.BASES[1]), np.uint64(w.BASES[2]))
+    parts = w.mix(np.repeat(w.mix(grams[at] ^ side), amount) + nth.astype(np.uint64))
+    return near, cost, size, prefix(small), 0 if near else prefix(cost - room), parts
+
+
+def _differing(threshold: float):
+    """Of pairs a (the hub) and b: their differences. Keys of equal bags don't come, so no difference is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("brief_a", "brief_b")]
-            ok = pa.array((both[0] == both[1]).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+            found = [difference(a, b, threshold) for a, b in _pairs(batch)]
+            sizes = np.array([len(x[-1]) for x in found], np.int64)
+            parts = np.concatenate([np.zeros(0, np.uint64), *(x[-1] for x in found)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(parts))
+            plain = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *plain, lists], names=["hub", "key", "near", "cost", "size", "small", "large", "parts"])
 
     return run
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in w.blocks(batches, "text"):
-        buf, bounds = w.buffer(block.column("text"))
-        starts, ends, counts = w.spans(buf, bounds)
-        least = signatures(*bags(w.word_hashes(buf, starts, ends), counts), len(counts), FINE_REGISTERS)
-        fine = (w.mix(least) >> np.uint64(56)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([block.column("_key"), pa.array([x.tobytes() for x in fine], pa.binary())], names=["key", "fine"])
-
-
-def _across(least: int, best: bool):
-    """Of two tiles of a bucket: pairs of different classes whose fine signatures agree in `least` registers; if best, only
-    the most alike of each member."""
+def _agreeing(least: int):
+    """Of pairs with their brief signatures: those that agree in `least` registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros((2, 0), np.int64)]
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                (left, ours, a), (right, theirs, b) = ((np.array([m["key"] for m in side]), np.array([m["component"] for m in side]), np.frombuffer(b"".join(m["fine"] for m in side), np.uint8).reshape(len(side), -1)) for side in (row["left"], row["right"]))
-                agree = np.zeros((len(left), len(right)), np.int32)
-                for j in range(len(left)):
-                    other = np.flatnonzero((theirs != ours[j]) & ((right > left[j]) | (row["one"] != row["two"])))
-                    agree[j, other] = np.count_nonzero(b[other] == a[j], axis=1)
-                near = agree >= least
-                if best:
-                    near &= (agree == agree.max(1, keepdims=True)) | (agree == agree.max(0, keepdims=True))
-                x, y = np.nonzero(near)
-                out.append(np.stack([np.minimum(left[x], right[y]), np.maximum(left[x], right[y])]))
-            found = np.unique(np.concatenate(out, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("brief_a", "brief_b")]
+            ok = pa.array((both[0] == both[1]).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -204,15 +228,37 @@ def _placed(members: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(several, "bucket").select("bucket", "key", "component")
 
 
-def _candidates(placed: DataFrame, fine: DataFrame, least: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of members of a bucket in different classes. Members of its largest class get tiles below zero."""
-    sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"))
-    tile = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TILE))
-    tiled = placed.join(sizes, "bucket").join(fine, "key").withColumn("tile", F.when(F.col("component") == F.col("main.component"), -1 - tile).otherwise(tile))
-    tiles = saved(tiled.groupBy("bucket", "tile").agg(F.collect_list(F.struct("key", "component", "fine")).alias("members")), "tiles")
-    one = tiles.select("bucket", F.col("tile").alias("one"), F.col("members").alias("left"))
-    two = tiles.filter("tile >= 0").select("bucket", F.col("tile").alias("two"), F.col("members").alias("right"))
-    return one.join(two, "bucket").filter("one <= two").select("one", "two", "left", "right").mapInArrow(_across(least, best), "a long, b long").distinct()
+def _hubs(large: DataFrame) -> DataFrame:
+    """(hub, key): every member of large buckets with the hub of each of its buckets, once.
+
+    A bucket's hub is the leader of its largest class, and a class is led by the member that meets most others in
+    such buckets: a text from which the others differ little shares most buckets.
+    """
+    sizes = large.groupBy("bucket", "component").count()
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("component"), F.sum("count").alias("n"))
+    reach = large.join(main.select("bucket", "n"), "bucket").groupBy("component", "key").agg(F.sum("n").alias("reach"))
+    leaders = reach.groupBy("component").agg(F.max_by("key", F.struct("reach", "key")).alias("hub"))
+    return large.join(main.join(leaders, "component").select("bucket", "hub"), "bucket").filter("key <> hub").select("hub", "key").distinct()
+
+
+def _sharing(differences: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that have the same hub and a part in common among those for which each is indexed.
+
+    Parts are ordered by how many of the hub's members have them; those seen in one class only come first, and no pair needs them.
+    """
+    classed = differences.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    far = differences.filter("large > 0").select("hub").distinct()
+    held = saved(classed.join(far, "hub", "left_semi").select("hub", "key", "component", "cost", "size", "small", "large", F.explode("parts").alias("part")), "parts")
+    shared = held.groupBy("hub", "part").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("hub", "part", "n")
+    live = held.join(shared, ["hub", "part"])
+    mine = Window.partitionBy("hub", "key")
+    # a text's parts are no more than its words and the hub's
+    place = F.row_number().over(mine.orderBy("n", "part")) + F.col("size") - F.count("*").over(mine)
+    placed = saved(live.withColumn("place", place).filter("place <= small or place <= large").select("hub", "part", "key", "component", "cost", "place", "small", "large"), "prefixes")
+    one = placed.filter("place <= small").select("hub", "part", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("cost").alias("ex"))
+    two = placed.filter("place <= large").select("hub", "part", F.col("key").alias("y"), F.col("component").alias("cy"), F.col("cost").alias("ey"))
+    met = one.join(two, ["hub", "part"]).filter("cx <> cy and (ex < ey or (ex = ey and x < y))")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -230,13 +276,17 @@ def _least(registers: int, threshold: float, deviations: float) -> int:
     return int(np.floor(registers * threshold - deviations * np.sqrt(registers * threshold * (1 - threshold))))
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose bags are similar enough."""
+def _with_bags(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys with the bags of both."""
     ends = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
     held = saved(rows.select("_key", "text").join(ends, "_key", "left_semi").mapInArrow(_bagged, "key long, grams binary, weights binary"), "bags")
     side = lambda x: held.select(F.col("key").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("weights").alias(f"weights_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return saved(both.mapInArrow(_verified(threshold), "a long, b long"), "linked")
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose bags are similar enough."""
+    return saved(_with_bags(pairs, rows).mapInArrow(_verified(threshold), "a long, b long"), "linked")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -247,8 +297,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts and texts without words link with nothing. With null or repeated ids every row counts as its own, numbered in
     order of id (nulls first) and text, and class_id is such a number. Other columns of docs are ignored.
 
-    A pair at the threshold is missed with a probability of about 5e-8 by the bands and 3e-7 by the comparison of
-    signatures; no pair below it is linked.
+    A pair at the threshold is missed with a probability of about 5e-8 by the bands and less than 1e-8 by the comparison of
+    brief signatures; inside buckets nothing is missed, and no pair below the threshold is linked.
     """
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     out = classified(rows, threshold)
@@ -272,16 +322,19 @@ def classified(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # what is left: buckets whose members are in different classes
     placed = saved(_placed(members.select("bucket", "key"), component), "several")
-    unsettled = placed.select(F.col("key").alias("_key")).distinct()
-    fine = saved(rows.select("_key", "text").join(unsettled, "_key", "left_semi").mapInArrow(_fine, "key long, fine binary"), "fine")
-    least = _least(FINE_REGISTERS, threshold, FINE_DEVIATIONS)
-    for best in (True, False):
-        pairs = saved(_candidates(placed, fine, least, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty() and not (links := _linked(pairs, rows, threshold)).isEmpty():
-            component = _merged(component, links)
-        if best:
-            tried = tried.unionByName(pairs)
-            placed = saved(_placed(placed.select("bucket", "key"), component), "several")
+    size = placed.groupBy("bucket").agg(F.count("*").alias("n"))
+    few, large = (saved(placed.join(size.filter(which), "bucket").select("bucket", "key", "component"), "several") for which in (F.col("n") <= FEW, F.col("n") > FEW))
+    one = few.select("bucket", F.col("key").alias("a"), F.col("component").alias("one"))
+    two = few.select("bucket", F.col("key").alias("b"), F.col("component").alias("two"))
+    close = one.join(two, "bucket").filter("a < b and one <> two").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    close = saved(close.join(side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long"), "close")
+    pairs = _hubs(large).select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    differences = saved(_with_bags(saved(pairs, "hubs"), rows).mapInArrow(_differing(threshold), DIFFERENCE), "differences")
+    ends = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    component = _merged(component, _linked(close, rows, threshold).unionByName(ends(differences.filter("near"), "hub", "key")))
+    met = saved(_sharing(differences, component).join(tried, ["a", "b"], "left_anti"), "met")
+    met = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long")
+    component = _merged(component, _linked(saved(met, "close"), rows, threshold))
     of_bag = same.join(component, same["key"] == component["id"], "left").select("digest1", "digest2", F.coalesce("component", "key").alias("class_id"))
     found = signed.select("key", "digest1", "digest2").join(of_bag, ["digest1", "digest2"]).select(F.col("key").alias("_key"), "class_id")
     return rows.select("_key").join(found, "_key", "left").select("_key", F.coalesce("class_id", "_key").alias("class_id"))

@@ -11,9 +11,11 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ferrule-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,7 +26,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote, once all that reads them is itself written."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of a batch between the JVM and Python: rows hold long texts, and several workers share an executor's memory.
@@ -83,7 +94,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = large.unionByName(least.filter("m < hi").select("hi", F.col("m").alias("lo"))).distinct()
         m = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(m, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        links = saved(small.unionByName(m.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct(), "links")
+        old, links = links, saved(small.unionByName(m.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct(), "links")
+        forgotten(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break

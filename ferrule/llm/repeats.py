@@ -1,247 +1,55 @@
-"""Exact repeats of `window` consecutive words, found from content-selected positions.
-
-For every window of `window` words the leftmost least k-gram inside it is its minimiser. Consecutive windows
-with the same minimiser form a segment, so two equal windows always share their minimiser's k-gram, whatever
-surrounds them. Three facts give the result without a row for each window:
-
-1. a segment whose words also occur as a segment earlier holds repeated windows only;
-2. a window of a first segment can have an earlier copy only in another first segment with the same k-gram;
-3. so only k-grams seen in two different segments need window rows, mostly at the edges of shared passages.
-
-Segments are sorted by k-gram and content in one shuffle; copies inside a block of texts are resolved there
-and don't enter the shuffle under their k-gram, so that a passage held by a third of the texts sends one row a
-block. Texts are shuffled once by key; those with windows still open are kept aside for the last join.
-
-Windows are compared by 128-bit hashes of their words, segments by a 64-bit hash beside that of the k-gram.
-"""
+"""Content-selected positions: minimisers of all windows of consecutive words."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
 
 from . import words as w
-from .common import saved
 
-POSITION = np.uint64((1 << 28) - 1)
+#: A place and the upper bits of its k-gram's hash share 64 bits; longer word sequences are taken in parts.
+MOST_WORDS = (1 << 28) - 1
 
 
-def minimisers(hashes: np.ndarray, counts: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Segments of a block of texts: text index, first window start, last window start, minimiser position, k-grams.
+def minimisers(hashes: np.ndarray, counts: np.ndarray, window: int, k: int, most: int = MOST_WORDS) -> tuple[np.ndarray, ...]:
+    """Segments of a block of texts, which are runs of windows with the same minimiser: text index, first window start, last
+    window start, minimiser position, k-grams.
 
-    Positions count words from the block's start.
+    The minimiser of a window is the leftmost least of its k-grams, so equal windows have it at equal offsets, whatever
+    surrounds them. Positions count words from the block's start. Of more than `most` words, segments end at multiples of it too.
     """
-    n, width = len(hashes), window - k + 1
-    gram = w.Runs(hashes, w.BASES[1]).grams(k)
-    empty = np.zeros(0, np.int64)
+    gram = w.grams(hashes, k)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    step, parts = most - window, []
+    for low in range(0, max(1, len(hashes) - window + 1), step):
+        high = min(low + step + window - 1, len(hashes))
+        found = _minimisers(gram[low : max(low, high - k + 1)], np.diff(np.clip(edges, low, high)), high - low, window, k)
+        parts.append([found[0], *(x + low for x in found[1:])])
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), gram
+
+
+def _minimisers(gram: np.ndarray, counts: np.ndarray, n: int, window: int, k: int) -> tuple[np.ndarray, ...]:
+    place, width, empty = np.uint64(MOST_WORDS), window - k + 1, np.zeros(0, np.int64)
     if n < window:
-        return empty, empty, empty, empty, gram
-    if n > int(POSITION):
-        raise ValueError(f"a text of {n} words is longer than {int(POSITION)}")
-    low = (gram & ~POSITION) | np.arange(len(gram), dtype=np.uint64)
+        return empty, empty, empty, empty
+    low = (gram & ~place) | np.arange(len(gram), dtype=np.uint64)
     size = 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < width:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-    at = (low[: n - window + 1] & POSITION).astype(np.int64)
+    at = (low[: n - window + 1] & place).astype(np.int64)
     text = np.repeat(np.arange(len(counts)), counts)
     start = np.arange(n - window + 1)
     fits = text[: n - window + 1] == text[window - 1 :]
     start, at, text = start[fits], at[fits], text[: n - window + 1][fits]
     if not len(start):
-        return empty, empty, empty, empty, gram
+        return empty, empty, empty, empty
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    return text[new], start[new], start[np.concatenate([new[1:], [len(start)]]) - 1], at[new], gram
-
-
-SEGMENTS = "gram long, content long, _key long, start int, windows int, source_key long, source_start int"
-
-
-def _segments(window: int, k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in w.blocks(batches, "text"):
-            buf, bounds = w.buffer(block.column("text"))
-            starts, ends, counts = w.spans(buf, bounds)
-            hashes = w.word_hashes(buf, starts, ends)
-            text, first, last, at, gram = minimisers(hashes, counts, window, k)
-            if not len(text):
-                continue
-            before = np.cumsum(counts) - counts
-            keys = block.column("_key").to_numpy()[text]
-            gram, content = gram[at], w.Runs(hashes, w.BASES[2]).of(first, last + window)
-            start = (first - before[text]).astype(np.int32)
-            order = np.lexsort((start, keys, content, gram))
-            same = np.concatenate([[False], (gram[order[1:]] == gram[order[:-1]]) & (content[order[1:]] == content[order[:-1]])])
-            head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            source_key, source_start = np.full(len(text), -1), np.full(len(text), -1, np.int32)
-            copy = order[same]
-            source_key[copy], source_start[copy] = keys[head[same]], start[head[same]]
-            # a copy inside this block is settled: it goes to a partition of its own choice, not to its k-gram's
-            gram[copy] = w.mix(keys[copy].astype(np.uint64) * np.uint64(w.BASES[1]) + start[copy].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(keys), pa.array(start), pa.array((last - first + 1).astype(np.int32)), pa.array(source_key), pa.array(source_start)],
-                names=["gram", "content", "_key", "start", "windows", "source_key", "source_start"],
-            )
-
-    return run
-
-
-def flagged(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Per text (_key) its segments that repeat (source_start >= 0) or may share windows (source_start < 0)."""
-    rows = docs.select("_key", "text").mapInArrow(_segments(window, k), SEGMENTS)
-    place = F.struct(F.col("_key").alias("key"), "start")
-    # local copies sit alone under a mixed k-gram; the neighbours of the others in sorted order are their copies
-    by_content = Window.partitionBy("gram", "content").orderBy("_key", "start")
-    by_gram = Window.partitionBy("gram")
-    rows = rows.withColumn("least", F.first(place).over(by_content)).withColumn("many", F.min("content").over(by_gram) != F.max("content").over(by_gram))
-    earlier = (F.col("least.key") != F.col("_key")) | (F.col("least.start") != F.col("start"))
-    local = F.col("source_start") >= 0
-    rows = rows.filter(local | earlier | F.col("many")).select(
-        "_key",
-        F.struct(
-            "start",
-            "windows",
-            F.when(local, F.col("source_key")).when(earlier, F.col("least.key")).otherwise(F.lit(-1)).alias("source_key"),
-            F.when(local, F.col("source_start")).when(earlier, F.col("least.start")).otherwise(F.lit(-1)).alias("source_start"),
-        ).alias("s"),
-    )
-    return rows.groupBy("_key").agg(F.collect_list("s").alias("segments"))
-
-
-class Text:
-    """A text's bytes, word bounds and repeated windows (start, source key, source start), sorted by start."""
-
-    def __init__(self, data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, repeats: np.ndarray, window: int):
-        self.data, self.starts, self.ends, self.repeats, self.window = data, starts, ends, repeats, window
-
-    def covered(self) -> np.ndarray:
-        """Of each word: whether a repeated window covers it."""
-        edge = np.zeros(len(self.starts) + 1, np.int64)
-        np.add.at(edge, self.repeats[:, 0], 1)
-        np.add.at(edge, self.repeats[:, 0] + self.window, -1)
-        return np.cumsum(edge[:-1]) > 0
-
-    def factors(self) -> list[tuple[int, int, int, int]]:
-        """Greedy factors (start, words, source key, source start): repeated windows whose sources follow each other."""
-        r = self.repeats
-        if not len(r):
-            return []
-        new = np.flatnonzero(np.concatenate([[True], (r[1:, 0] != r[:-1, 0] + 1) | (r[1:, 1] != r[:-1, 1]) | (r[1:, 2] != r[:-1, 2] + 1)]))
-        last = np.concatenate([new[1:], [len(r)]]) - 1
-        return [(int(r[a, 0]), int(r[b, 0] - r[a, 0] + self.window), int(r[a, 1]), int(r[a, 2])) for a, b in zip(new, last, strict=True)]
-
-
-def _expanded(segments: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated windows (n x 3) and starts of open windows."""
-    if not segments:
-        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-    s = np.array([(x["start"], x["windows"], x["source_key"], x["source_start"]) for x in segments], np.int64)
-    s = s[np.argsort(s[:, 0], kind="stable")]
-    step = np.arange(s[:, 1].sum()) - np.repeat(np.cumsum(s[:, 1]) - s[:, 1], s[:, 1])
-    each = np.repeat(s, s[:, 1], axis=0)
-    done = each[:, 3] >= 0
-    at = each[:, 0] + step
-    return np.stack([at, each[:, 2], each[:, 3] + step], 1)[done], at[~done]
-
-
-OPEN = "_key long, open array<struct<high: long, low: long, start: int>>, known binary"
-
-
-def deduplicated(docs: DataFrame, window: int, k: int, finish: Callable[[Text], tuple], result: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """finish() of every text with all its repeated windows.
-
-    docs needs a unique `_key` and `text`; its other columns come along. finish(Text) returns a tuple of the
-    fields in `result` (as a DDL string) and `fields` (as Arrow types).
-
-    A window is repeated if the same words also start at a smaller (_key, start). Its source is the smallest
-    such place among those compared, an earlier one in any case.
-    """
-    extra = [c for c in docs.columns if c not in ("_key", "text")]
-    joined = docs.join(flagged(docs, window, k), "_key", "left")
-    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema) if extra else ""
-    schema = ", ".join(x for x in (OPEN, "text string", result, passed) if x)
-    open_type = pa.list_(pa.struct([("high", pa.int64()), ("low", pa.int64()), ("start", pa.int32())]))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in w.blocks(batches, "text"):
-            buf, bounds = w.buffer(block.column("text"))
-            starts, ends, counts = w.spans(buf, bounds)
-            before = np.cumsum(counts) - counts
-            keys = block.column("_key").to_numpy()
-            found = [_expanded(x) for x in block.column("segments").to_pylist()]
-            opened = [x[1] for x in found]
-            sizes = np.array([len(x) for x in opened])
-            if sizes.sum():
-                hashes = w.word_hashes(buf, starts, ends)
-                at = np.concatenate([x + b for x, b in zip(opened, before, strict=True)])
-                high, low = w.Runs(hashes, w.BASES[1]).of(at, at + window), w.Runs(hashes, w.BASES[2]).of(at, at + window)
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                start = at - before[text]
-                order = np.lexsort((start, keys[text], low, high))
-                same = np.concatenate([[False], (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])])
-                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-                copy = order[same]
-                source = np.full((len(at), 3), -1)
-                source[copy] = np.stack([start[copy], keys[text[head[same]]], start[head[same]]], 1)
-            out: list[list] = [[] for _ in range(3 + len(fields))]
-            edge = np.concatenate([[0], np.cumsum(sizes)])
-            for i in range(len(keys)):
-                known, rest, data = found[i][0], None, buf[bounds[i] : bounds[i + 1]].data
-                if sizes[i]:
-                    a, b = edge[i], edge[i + 1]
-                    done = source[a:b, 0] >= 0
-                    if done.any():
-                        known = np.concatenate([known, source[a:b][done]])
-                        known = known[np.argsort(known[:, 0], kind="stable")]
-                    rest = np.flatnonzero(~done) + a
-                if rest is not None and len(rest):
-                    out[0].append([{"high": h, "low": g, "start": s} for h, g, s in zip(high[rest].view(np.int64).tolist(), low[rest].view(np.int64).tolist(), start[rest].tolist(), strict=True)])
-                    out[1].append(known.astype(np.int64).tobytes())
-                    out[2].append(bytes(data).decode())
-                    done_fields: tuple = (None,) * len(fields)
-                else:
-                    out[0].append(None)
-                    out[1].append(None)
-                    out[2].append(None)
-                    mine = slice(before[i], before[i] + counts[i])
-                    done_fields = finish(Text(data, starts[mine] - bounds[i], ends[mine] - bounds[i], known, window))
-                for x, v in zip(out[3:], done_fields, strict=True):
-                    x.append(v)
-            types = [open_type, pa.binary(), pa.string(), *(t for _, t in fields)]
-            arrays = [block.column("_key"), *(pa.array(x, t) for x, t in zip(out, types, strict=True)), *(block.column(c) for c in extra)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_key", "open", "known", "text", *(n for n, _ in fields), *extra])
-
-    settled = saved(joined.select("_key", "text", "segments", *extra).mapInArrow(settle, schema), "settled")
-    rows = settled.filter("open is not null").select("_key", F.explode("open").alias("o")).select("_key", "o.*")
-    same_words = Window.partitionBy("high", "low").orderBy("_key", "start")
-    least = rows.withColumn("least", F.first(F.struct(F.col("_key").alias("key"), "start")).over(same_words))
-    late = least.filter((F.col("least.key") != F.col("_key")) | (F.col("least.start") != F.col("start")))
-    late = late.groupBy("_key").agg(F.collect_list(F.struct("start", F.col("least.key").alias("key"), F.col("least.start").alias("from"))).alias("late"))
-    ends_schema = ", ".join(x for x in ("_key long", result, passed) if x)
-    names = [n for n, _ in fields]
+    return text[new], start[new], start[np.concatenate([new[1:], [len(start)]]) - 1], at[new]
 
-    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in w.blocks(batches, "text"):
-            buf, bounds = w.buffer(block.column("text"))
-            starts, ends, counts = w.spans(buf, bounds)
-            before = np.cumsum(counts) - counts
-            out: list[list] = [[] for _ in fields]
-            for i, (known, more) in enumerate(zip(block.column("known").to_pylist(), block.column("late").to_pylist(), strict=True)):
-                repeats = np.frombuffer(known, np.int64).reshape(-1, 3)
-                if more:
-                    repeats = np.concatenate([repeats, np.array([(x["start"], x["key"], x["from"]) for x in more], np.int64)])
-                    repeats = repeats[np.argsort(repeats[:, 0], kind="stable")]
-                mine = slice(before[i], before[i] + counts[i])
-                values = finish(Text(buf[bounds[i] : bounds[i + 1]].data, starts[mine] - bounds[i], ends[mine] - bounds[i], repeats, window))
-                for x, v in zip(out, values, strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([block.column("_key"), *(pa.array(x, t) for x, (_, t) in zip(out, fields, strict=True)), *(block.column(c) for c in extra)], names=["_key", *names, *extra])
 
-    last = settled.filter("open is not null").select("_key", "text", "known", *extra).join(late, "_key", "left").mapInArrow(end, ends_schema)
-    return settled.filter("open is null").select("_key", *names, *extra).unionByName(last)
+def ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of so many places each: the row of every place, and its number in the row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

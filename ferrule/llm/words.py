@@ -1,41 +1,25 @@
 """Vectorised words and word hashes of Arrow text columns.
 
-A word is a run of `[^\\x20\\x09-\\x0D]`. Hashes are polynomials over random tables modulo 2^64, finished by a
-bijective mixer, so that the hash of any run of words comes from two prefix sums. Nulls count as empty texts.
+A word is a run of `[^\\x20\\x09-\\x0D]`. Hashes go through a bijective mixer after every eight bytes and wherever two
+runs of words are put together, so none is a linear function of its parts. Nulls count as empty texts.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-#: Bytes hashed at once: the arrays stay in the processor's cache.
-CHUNK = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-BYTE_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-@lru_cache(8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = (1 << bits) + 1
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        a = np.full(n, b, np.uint64)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2^64 for i in 0..n."""
-    return _powers(base, max(16, n.bit_length()))
+#: Words of more bytes are hashed one by one.
+LONG = 256
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,6 +68,11 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def only(values: pa.Array, where: np.ndarray) -> pa.Array:
+    """The values where `where` holds, null elsewhere."""
+    return values.take(pa.array(np.arange(len(values)), mask=~where))
+
+
 def spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and how many each text has."""
     n = len(buf)
@@ -101,37 +90,43 @@ def spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.diff(at)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), np.uint64)
-    at, n = 0, len(starts)
-    while at < n:
-        low = starts[at]
-        to = max(int(np.searchsorted(ends, low + CHUNK, "right")), at + 1)
-        high = ends[to - 1]
-        power, inverse = powers(BASES[0], int(high - low))
-        value = BYTE_TABLE[buf[low:high]]
-        value *= power[: high - low]
-        prefix = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(value, out=prefix[1:])
-        s = starts[at:to] - low
-        out[at:to] = (prefix[ends[at:to] - low] - prefix[s]) * inverse[s]
-        at = to
-    return mix(out)
-
-
-class Runs:
-    """Hashes of any runs of consecutive words, by prefix sums over their word hashes."""
-
-    def __init__(self, hashes: np.ndarray, base: int):
-        power, self.inverse = powers(base, len(hashes))
-        self.prefix = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * power[: len(hashes)], out=self.prefix[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
-
-    def grams(self, k: int) -> np.ndarray:
-        """Of every k consecutive words."""
-        n = len(self.prefix) - k
-        return mix((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes at a time, mixed in between. Seeds give independent hashes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lanes = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).data, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(BASES[seed % 3] * (2 * seed + 1) % (1 << 64)))
+    rows, at, left = slice(None), starts, size
+    while True:
+        out[rows] = mix((out[rows] ^ (lanes[at] & MASKS[np.minimum(left, 8)])) * np.uint64(BASES[0]))
+        more = (left > 8) & (left <= LONG) if isinstance(rows, slice) else left > 8
+        if not more.any():
+            break
+        rows = np.flatnonzero(more) if isinstance(rows, slice) else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]].data, digest_size=8, salt=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def combined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of the runs that are `first` followed by `second`, from the hashes of both."""
+    return mix(first * np.uint64(BASES[1]) + second * np.uint64(BASES[2]))
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k consecutive words, put together from runs of 1, 2, 4, ... words."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, run, size = None, 0, hashes, 1
+    while True:
+        if k & size:
+            part = run[done : done + n]
+            out = part if out is None else combined(out, part)
+            done += size
+        if size * 2 > k:
+            return out
+        run, size = combined(run[:-size], run[size:]), size * 2

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from ferrule.llm.bagminhash import REGISTERS, bags, classes, jaccard, representatives, signatures
+from ferrule.llm.bagminhash import FEW, REGISTERS, bags, classes, difference, jaccard, representatives, signatures
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -84,3 +84,48 @@ def test_representatives_and_odd_rows(spark):
     assert classes(df).count() == 4
     assert classes(df.limit(0)).count() == 0 and representatives(df.limit(0)).count() == 0
     assert bags(np.zeros(0, np.uint64), np.zeros(2, np.int64))[0].size == 0 and REGISTERS == 128
+
+
+def test_large_buckets_equal_brute_force(spark):
+    """Near copies at about the threshold, in groups with several variants, many more than are compared pair by pair."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(3):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        variants = [base] + [base[:60] + [rng.choice(vocabulary) for _ in range(25)] + base[85:] for _ in range(2)]
+        for _ in range(5 * FEW):
+            words = list(rng.choice(variants))
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 8])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words[: rng.choice([120, 120, 110, 90])])))
+    got = {r.doc_id: r.class_id for r in classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+    assert len(set(got.values())) > 20
+
+
+def test_differences_tell_which_pairs_are_similar():
+    rng = np.random.default_rng(3)
+    grams = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    for _ in range(300):
+        draw = [rng.integers(0, 4, 60) * (rng.random(60) < 0.9) for _ in range(1)]
+        draw += [np.where(rng.random(60) < 0.15, rng.integers(0, 4, 60), draw[0]) for _ in range(2)]
+        hub, one, two = ((grams[d > 0], d[d > 0]) for d in draw)
+        (near1, cost1, size1, small1, large1, parts1), (near2, cost2, size2, small2, large2, parts2) = (difference(hub, x, 0.8) for x in (one, two))
+        shared = len(np.intersect1d(parts1, parts2))
+        similar = jaccard(one, two) >= 0.8 - 1e-12
+        assert (cost1 + cost2 <= 0.2 * hub[1].sum() + 1.8 * shared + 1e-9) == similar
+        assert size1 == len(set(parts1.tolist())) and near1 == (jaccard(hub, one) >= 0.8 - 1e-12)
+        if similar and not (near1 and near2) and size1 and size2:
+            # found by the prefixes, in any order of the parts
+            (small, a), (large, b) = ((small1, parts1), (large2, parts2)) if cost1 <= cost2 else ((small2, parts2), (large1, parts1))
+            assert np.intersect1d(np.sort(a)[:small], np.sort(b)[:large]).size
+
+
+def test_different_long_words_share_nothing(spark):
+    letters = lambda n, one, two: "".join(two if bin(i).count("1") % 2 else one for i in range(n))
+    rows = [(1, " ".join(letters(1024, "a", "b") + str(i) for i in range(10))), (2, " ".join(letters(1024, "b", "a") + str(i) for i in range(10)))]
+    assert [r.kept for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [True, True]
+    long = "x" * 3_000_000
+    rows = [(1, f"{long} a b c d e"), (2, f"{long} a b c d e"), (3, "y " * 400_000)]
+    assert sorted(r.class_id for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 1, 3]

@@ -94,3 +94,40 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in parse(df).collect()) == [(0, 0), (0, 30), (7, 30), (7, 30), (8, 0)]
     empty = df.limit(0)
     assert parse(empty).count() == 0 and repeated_spans(empty).count() == 0 and without_repeats(empty).count() == 0
+
+
+def alternating(n, first, second):
+    """The first n letters of the Thue-Morse sequence over two letters."""
+    return "".join(second if bin(i).count("1") % 2 else first for i in range(n))
+
+
+def test_long_words_that_differ_are_told_apart(spark):
+    for shared in (19, 49):
+        rest = [f"s{i}" for i in range(shared)]
+        df = spark.createDataFrame([(1, " ".join([alternating(1024, "a", "b"), *rest])), (2, " ".join([alternating(1024, "b", "a"), *rest]))], "doc_id long, text string")
+        if shared == 19:
+            assert [r.n_removed for r in parse(df).collect()] == [0, 0]
+        assert [r.n_removed for r in repeated_spans(df).collect()] == [0, 0]
+    same = spark.createDataFrame([(1, " ".join(["x" * 5000, *rest])), (2, " ".join(["x" * 5000, *rest]))], "doc_id long, text string")
+    assert sorted(r.n_removed for r in repeated_spans(same).collect()) == [0, 50]
+
+
+def test_extra_columns_stay_and_one_partition_or_many_give_the_same(spark):
+    rows = corpus(7, 60)
+    df = spark.createDataFrame([(k, t, i, "x") for i, (k, t) in enumerate(rows)], "doc_id long, text string, gram int, runs string")
+    got = {r.doc_id: r for r in without_repeats(df.repartition(1)).collect()}
+    assert {(r.doc_id, r.gram, r.runs) for r in got.values()} == {(k, i, "x") for i, (k, _) in enumerate(rows)}
+    spread = {r.doc_id: r.text for r in without_repeats(df.repartition(13)).collect()}
+    assert spread == {k: r.text for k, r in got.items()}
+
+
+def test_minimisers_in_parts():
+    import numpy as np
+
+    from ferrule.llm.repeats import minimisers
+
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
+    counts = np.array([120, 0, 10, 370])
+    whole, parts = minimisers(hashes, counts, 20, 5), minimisers(hashes, counts, 20, 5, most=64)
+    at = lambda found: {(int(t), a): int(m) for t, f, e, m in zip(*found[:4]) for a in range(int(f), int(e) + 1)}
+    assert at(whole) == at(parts) and len(at(whole)) == 101 + 351
