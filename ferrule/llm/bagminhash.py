@@ -168,11 +168,11 @@ def _verified(threshold: float):
     return run
 
 
-DIFFERENCE = "hub long, key long, near boolean, cost double, size long, small long, large long, parts array<long>"
+DIFFERENCE = "hub long, key long, near boolean, cost double, room double, size long, small long, large long, parts array<long>"
 
 
-def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[bool, float, int, int, int, np.ndarray]:
-    """How a bag differs from a hub: whether it reaches the threshold with it, M + t A, M + A, for how many of its rarest parts it
+def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[bool, float, float, int, int, int, np.ndarray]:
+    """How a bag differs from a hub: whether it reaches the threshold with it, M + t A, (1 - t) H, M + A, for how many of its rarest parts it
     has to be found as the end of a pair that costs less, and as the other (0: it can't be that), and the parts, one for each unit of weight."""
     grams = np.union1d(hub[0], bag[0])
     change = np.zeros(len(grams), np.int64)
@@ -191,7 +191,7 @@ def difference(hub: tuple[np.ndarray, np.ndarray], bag: tuple[np.ndarray, np.nda
     nth = np.arange(size) - np.repeat(np.cumsum(amount) - amount, amount)
     side = np.where(change[at] > 0, np.uint64(w.BASES[1]), np.uint64(w.BASES[2]))
     parts = w.mix(np.repeat(w.mix(grams[at] ^ side), amount) + nth.astype(np.uint64))
-    return near, cost, size, prefix(small), 0 if near else prefix(cost - room), parts
+    return near, cost, room, size, prefix(small), 0 if near else prefix(cost - room), parts
 
 
 def _differing(threshold: float):
@@ -203,8 +203,8 @@ def _differing(threshold: float):
             sizes = np.array([len(x[-1]) for x in found], np.int64)
             parts = np.concatenate([np.zeros(0, np.uint64), *(x[-1] for x in found)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(parts))
-            plain = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *plain, lists], names=["hub", "key", "near", "cost", "size", "small", "large", "parts"])
+            plain = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *plain, lists], names=["hub", "key", "near", "cost", "room", "size", "small", "large", "parts"])
 
     return run
 
@@ -241,23 +241,27 @@ def _hubs(large: DataFrame) -> DataFrame:
     return large.join(main.join(leaders, "component").select("bucket", "hub"), "bucket").filter("key <> hub").select("hub", "key").distinct()
 
 
-def _sharing(differences: DataFrame, component: DataFrame) -> DataFrame:
+def _sharing(differences: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different classes that have the same hub and a part in common among those for which each is indexed.
 
     Parts are ordered by how many of the hub's members have them; those seen in one class only come first, and no pair needs them.
+    A pair must still be able to share enough from the common part on, as the first one of a similar pair is. The end that
+    costs less can't share more than it has, which bounds its cost from below.
     """
     classed = differences.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     far = differences.filter("large > 0").select("hub").distinct()
-    held = saved(classed.join(far, "hub", "left_semi").select("hub", "key", "component", "cost", "size", "small", "large", F.explode("parts").alias("part")), "parts")
+    held = saved(classed.join(far, "hub", "left_semi").select("hub", "key", "component", "cost", "room", "size", "small", "large", F.explode("parts").alias("part")), "parts")
     shared = held.groupBy("hub", "part").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("hub", "part", "n")
     live = held.join(shared, ["hub", "part"])
     mine = Window.partitionBy("hub", "key")
     # a text's parts are no more than its words and the hub's
     place = F.row_number().over(mine.orderBy("n", "part")) + F.col("size") - F.count("*").over(mine)
-    placed = saved(live.withColumn("place", place).filter("place <= small or place <= large").select("hub", "part", "key", "component", "cost", "place", "small", "large"), "prefixes")
-    one = placed.filter("place <= small").select("hub", "part", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("cost").alias("ex"))
-    two = placed.filter("place <= large").select("hub", "part", F.col("key").alias("y"), F.col("component").alias("cy"), F.col("cost").alias("ey"))
-    met = one.join(two, ["hub", "part"]).filter("cx <> cy and (ex < ey or (ex = ey and x < y))")
+    placed = live.withColumn("place", place).filter("place <= small or place <= large")
+    placed = saved(placed.select("hub", "part", "key", "component", "cost", "room", (F.col("size") - F.col("place")).alias("rest"), (F.col("place") <= F.col("small")).alias("one"), (F.col("place") <= F.col("large")).alias("two")), "prefixes")
+    side = lambda end, x: placed.filter(end).select("hub", "part", "room", F.col("key").alias(x), F.col("component").alias(f"c{x}"), F.col("cost").alias(f"e{x}"), F.col("rest").alias(f"r{x}"))
+    one, two = side("one", "x"), side("two", "y").drop("room")
+    enough = F.expr(f"1 + least(rx, ry) >= (ex + ey - room) / {1 + threshold} - 1e-6 and ex >= {threshold} * (ey - room) - 1e-6")
+    met = one.join(two, (one["hub"] == two["hub"]) & (one["part"] == two["part"]) & F.expr("cx <> cy and (ex < ey or (ex = ey and x < y))") & enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -332,7 +336,7 @@ def classified(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     differences = saved(_with_bags(saved(pairs, "hubs"), rows).mapInArrow(_differing(threshold), DIFFERENCE), "differences")
     ends = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     component = _merged(component, _linked(close, rows, threshold).unionByName(ends(differences.filter("near"), "hub", "key")))
-    met = saved(_sharing(differences, component).join(tried, ["a", "b"], "left_anti"), "met")
+    met = saved(_sharing(differences, component, threshold).join(tried, ["a", "b"], "left_anti"), "met")
     met = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long")
     component = _merged(component, _linked(saved(met, "close"), rows, threshold))
     of_bag = same.join(component, same["key"] == component["id"], "left").select("digest1", "digest2", F.coalesce("component", "key").alias("class_id"))

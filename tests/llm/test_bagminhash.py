@@ -111,10 +111,10 @@ def test_differences_tell_which_pairs_are_similar():
         draw = [rng.integers(0, 4, 60) * (rng.random(60) < 0.9) for _ in range(1)]
         draw += [np.where(rng.random(60) < 0.15, rng.integers(0, 4, 60), draw[0]) for _ in range(2)]
         hub, one, two = ((grams[d > 0], d[d > 0]) for d in draw)
-        (near1, cost1, size1, small1, large1, parts1), (near2, cost2, size2, small2, large2, parts2) = (difference(hub, x, 0.8) for x in (one, two))
+        (near1, cost1, room, size1, small1, large1, parts1), (near2, cost2, _, size2, small2, large2, parts2) = (difference(hub, x, 0.8) for x in (one, two))
         shared = len(np.intersect1d(parts1, parts2))
         similar = jaccard(one, two) >= 0.8 - 1e-12
-        assert (cost1 + cost2 <= 0.2 * hub[1].sum() + 1.8 * shared + 1e-9) == similar
+        assert (cost1 + cost2 <= room + 1.8 * shared + 1e-9) == similar
         assert size1 == len(set(parts1.tolist())) and near1 == (jaccard(hub, one) >= 0.8 - 1e-12)
         if similar and not (near1 and near2) and size1 and size2:
             # found by the prefixes, in any order of the parts
