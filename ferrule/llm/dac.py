@@ -10,6 +10,7 @@ levels, bitmaps and rank directories. Spark's writer commits it, so a lost execu
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +31,12 @@ END = 1
 #: Tokens after which a segment ends with its document.
 SEGMENT = 1 << 19
 DIRECTORY = 512
+#: Positions looked up in one go.
+AT_ONCE = 1 << 16
+#: Parts are as many as tasks write; up to so many rows of 16 bytes are broadcast, more are joined by a shuffle.
+BROADCAST_PARTS = 1 << 20
 LEVEL = pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("ranks", pa.binary())])
-SCHEMA = "part int, seq int, n_tokens long, n_docs int, doc_ids binary, doc_bounds binary, levels array<struct<chunks: binary, bitmap: binary, ranks: binary>>"
+SCHEMA = "part int, seq int, inside long, n_tokens long, n_docs int, doc_ids binary, doc_bounds binary, levels array<struct<chunks: binary, bitmap: binary, ranks: binary>>"
 
 
 def coded(ids: np.ndarray) -> list[dict]:
@@ -54,38 +59,34 @@ class Codes:
     """Reads ids out of their levels."""
 
     def __init__(self, levels: list[dict]):
-        self.levels = [(np.frombuffer(x["chunks"], np.uint8), np.frombuffer(x["bitmap"], np.uint8), np.frombuffer(x["ranks"], "<u4")) for x in levels]
+        self.levels = []
+        for x in levels:
+            bitmap = np.frombuffer(x["bitmap"], np.uint8)
+            lanes = np.concatenate([bitmap, np.zeros(-len(bitmap) % (DIRECTORY // 8), np.uint8)]).view("<u8")
+            inside = np.bitwise_count(lanes).reshape(-1, DIRECTORY // 64).astype(np.uint32)
+            inside = (np.cumsum(inside, 1) - inside).astype(np.uint16).reshape(-1)
+            self.levels.append((np.frombuffer(x["chunks"], np.uint8), lanes, np.frombuffer(x["ranks"], "<u4"), inside))
 
     def __len__(self) -> int:
         return len(self.levels[0][0])
 
     def rank(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Bits set before each position."""
-        _, bitmap, ranks = self.levels[level]
-        block = at // DIRECTORY
-        out = ranks[block].astype(np.int64)
-        low = block * (DIRECTORY // 8)
-        for step in range(DIRECTORY // 8):
-            byte = low + step
-            whole = byte < at // 8
-            if not whole.any():
-                break
-            out[whole] += np.bitwise_count(bitmap[byte[whole]])
-        part = at % 8
-        held = np.flatnonzero(part)
-        out[held] += np.bitwise_count(bitmap[at[held] // 8] & ((1 << part[held]) - 1).astype(np.uint8))
-        return out
+        """Bits set before each position: the directory's count, that of whole lanes of 64 bits after it, and part of one lane."""
+        _, lanes, ranks, inside = self.levels[level]
+        lane = at >> 6
+        below = lanes[lane] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return ranks[at // DIRECTORY].astype(np.int64) + inside[lane] + np.bitwise_count(below)
 
     def at(self, positions: np.ndarray) -> np.ndarray:
-        """The ids at any positions."""
+        """The ids at any positions, without decoding any others."""
         at, out, open_ = np.asarray(positions, np.int64), None, None
-        for level, (chunks, bitmap, _) in enumerate(self.levels):
+        for level, (chunks, lanes, _, _) in enumerate(self.levels):
             value = chunks[at].astype(np.uint32) << np.uint32(8 * level)
             if out is None:
                 out, open_ = value, np.arange(len(at))
             else:
                 out[open_] |= value
-            more = (bitmap[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0
+            more = (lanes[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
             if not more.any():
                 break
             at, open_ = self.rank(level, at[more]), open_[more]
@@ -95,34 +96,64 @@ class Codes:
         """All ids, level by level."""
         out, open_ = self.levels[0][0].astype(np.uint32), np.arange(len(self))
         for level in range(1, len(self.levels)):
-            more = np.unpackbits(self.levels[level - 1][1], count=len(open_), bitorder="little").astype(bool)
+            more = np.unpackbits(self.levels[level - 1][1].view(np.uint8), count=len(open_), bitorder="little").astype(bool)
             open_ = open_[more]
             out[open_] |= self.levels[level][0].astype(np.uint32) << np.uint32(8 * level)
         return out
 
 
+#: The rules of the vocabulary file that the cutting of words below follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Letters beyond ASCII whose normal form, lower case and bytes need no table: Latin-1 and Latin Extended-A, but for I with a dot.
+LATIN = "\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f"
+
+
 @lru_cache(2)
 def _encoder(file: str) -> Cached:
-    """Ids of a word without ASCII white space. In this vocabulary nothing crosses white space."""
-    from tokenizers import Tokenizer
+    """Ids of a word without ASCII white space. In this vocabulary nothing crosses white space.
+
+    Words of ASCII and Latin letters are cut up here as the file's own rules say, and the library's model encodes the
+    pieces; other words go to the library whole. A file with other rules is refused.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(file)
+    with open(file, "rb") as f:
+        rules = json.load(f)
+    if rules["normalizer"] != NORMALIZER or rules["pre_tokenizer"] != PRE_TOKENIZER:
+        raise ValueError(f"{file} has other rules than {VOCABULARY}: words can't be encoded one by one")
     model, known = whole.model, {}
-    split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-    plain = regex.compile(rb"[!-~]+")
+    split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+")
+    plain = regex.compile(rf"[!-~{LATIN}]+")
+    # how the model spells the bytes of UTF-8
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    wide = {chr(i): as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x180)}
+    table = str.maketrans(wide)
 
     def piece(text: str) -> list[int]:
         ids = known.get(text)
         if ids is None:
             if len(known) > 200_000:
                 known.clear()
-            ids = known[text] = [t.id for t in model.tokenize(text)]
+            ids = known[text] = [t.id for t in model.tokenize(text if text.isascii() else text.translate(table))]
         return ids
 
     def word(data: bytes) -> list[int]:
-        if plain.fullmatch(data) and b"<|" not in data:
-            return [i for p in split.findall(data.decode().lower()) for i in piece(p)]
-        return whole.encode(data.decode(), add_special_tokens=False).ids
+        if data.isalpha():
+            return piece(data.lower().decode())
+        if data[:-1].isalpha() and data[-1:] in b".,;:":
+            return [*piece(data[:-1].lower().decode()), *piece(data[-1:].decode())]
+        text = data.decode()
+        if plain.fullmatch(text) and "<|" not in text:
+            return [i for p in split.findall(text.lower()) for i in piece(p)]
+        return whole.encode(text, add_special_tokens=False).ids
 
     return Cached(word)
 
@@ -137,14 +168,14 @@ def _segments(rows: DataFrame, file: str, end: int) -> DataFrame:
     rows = rows.select("_key", "text").repartitionByRange("_key").sortWithinPartitions("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, seq, held = _encoder(file), TaskContext.get().partitionId(), 0, []
+        code, part, seq, written, held = _encoder(file), TaskContext.get().partitionId(), 0, 0, []
 
         def segment() -> pa.RecordBatch:
             ids, sizes = np.concatenate([x for x, _, _ in held]), np.concatenate([x for _, x, _ in held])
             bounds = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
             keys = np.concatenate([x for _, _, x in held]).astype("<i8")
-            row = {"part": [part], "seq": [seq], "n_tokens": [len(ids)], "n_docs": [len(keys)], "doc_ids": [keys.tobytes()], "doc_bounds": [bounds.tobytes()], "levels": [coded(ids)]}
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(LEVEL)]
+            row = {"part": [part], "seq": [seq], "inside": [written], "n_tokens": [len(ids)], "n_docs": [len(keys)], "doc_ids": [keys.tobytes()], "doc_bounds": [bounds.tobytes()], "levels": [coded(ids)]}
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(LEVEL)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for block in w.blocks(batches, "text"):
@@ -158,7 +189,7 @@ def _segments(rows: DataFrame, file: str, end: int) -> DataFrame:
             held.append((ids, np.diff(np.concatenate([[0], total])) + 1, block.column("_key").to_numpy()))
             if sum(len(x) for x, _, _ in held) >= SEGMENT:
                 yield segment()
-                seq, held = seq + 1, []
+                seq, written, held = seq + 1, written + sum(len(x) for x, _, _ in held), []
         if held:
             yield segment()
 
@@ -171,12 +202,13 @@ def write(docs: DataFrame, target: str, **options) -> None:
 
 
 def placed(files: DataFrame) -> DataFrame:
-    """The segments with `first`, the number of tokens before each: a sum over parts, then one inside each part."""
+    """The segments with `first`, the number of tokens before each. Each segment knows those before it in its part, so only a
+    row a part, which is a task that wrote, has to be summed up and joined; the codes stay where they are."""
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    index = files.select("part", "seq", "n_tokens").withColumn("inside", inside).join(parts, "part")
-    return files.join(index.select("part", "seq", (F.col("before") + F.col("inside")).alias("first")), ["part", "seq"])
+    parts = saved(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "parts")
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
+    return files.join(parts, "part").withColumn("first", F.col("before") + F.col("inside")).drop("before")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -191,11 +223,17 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per segment: keys, first token and bounds of its documents, and their ids, looked up at their positions."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            bounds = np.frombuffer(row["doc_bounds"], "<i8")
-            yield np.frombuffer(row["doc_ids"], "<i8"), row["first"] + bounds[:-1], bounds, Codes(row["levels"]).all()
+        for row in _segment_rows(batch):
+            bounds, codes = np.frombuffer(row["doc_bounds"], "<i8"), Codes(row["levels"])
+            ids = np.concatenate([np.zeros(0, np.uint32), *(codes.at(np.arange(i, min(i + AT_ONCE, len(codes)))) for i in range(0, len(codes), AT_ONCE))])
+            yield np.frombuffer(row["doc_ids"], "<i8"), row["first"] + bounds[:-1], bounds, ids
+
+
+def _segment_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A segment at a time: it is some megabytes in a few values."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
 
 
 def tokens_at(files: DataFrame, positions: list[int]) -> DataFrame:
@@ -204,8 +242,7 @@ def tokens_at(files: DataFrame, positions: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in _segment_rows(batch):
                 mine = wanted[np.searchsorted(wanted, row["first"]) : np.searchsorted(wanted, row["first"] + row["n_tokens"])]
                 if len(mine):
                     ids = Codes(row["levels"]).at(mine - row["first"]).astype(np.int64)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from . import words as w
+
 
 def path(name: str) -> str:
     """Where the installed public vocabulary file is."""
@@ -62,7 +65,7 @@ class Cached:
             if ids is None:
                 ids = self.old.get(p)
                 if ids is None:
-                    ids = np.array(self.encode(p), np.int32).tobytes()
+                    ids = array("i", self.encode(p)).tobytes()
                 if len(p) <= 64:
                     if len(self.new) >= self.limit:
                         self.old, self.new = self.new, {}
@@ -72,9 +75,16 @@ class Cached:
 
 
 def distinct(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Distinct byte strings among data[bounds[i]:bounds[i + 1]], and the index of each."""
+    """Distinct byte strings among data[bounds[i]:bounds[i + 1]], and the index of each. Told apart by 128-bit hashes."""
     if len(bounds) < 2:
         return [], np.zeros(0, np.int64)
-    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = pieces.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    starts, ends = bounds[:-1], bounds[1:]
+    one, two = (w.word_hashes(data, starts, ends, seed) for seed in (0, 1))
+    _, first, at = np.unique(one, return_index=True, return_inverse=True)
+    if (two[first][at] != two).any():
+        order = np.lexsort((two, one))
+        new = np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
+        first, at = order[new], np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], at
