@@ -140,7 +140,7 @@ def _encoder(file: str) -> Cached:
     def piece(text: str) -> list[int]:
         ids = known.get(text)
         if ids is None:
-            if len(known) > 200_000:
+            if len(known) > 400_000:
                 known.clear()
             ids = known[text] = [t.id for t in model.tokenize(text if text.isascii() else text.translate(table))]
         return ids
@@ -155,7 +155,7 @@ def _encoder(file: str) -> Cached:
             return [i for p in split.findall(text.lower()) for i in piece(p)]
         return whole.encode(text, add_special_tokens=False).ids
 
-    return Cached(word)
+    return Cached(word, 250_000)
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None, end: int = END) -> DataFrame:
