@@ -2,7 +2,8 @@
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the signed axis nearest to
 it. Two independent hashes make a bucket of a table. A vector is stored in its own bucket of each table and looked up
-there and in the buckets next in line (multiprobe); every candidate pair is verified by its cosine in double precision.
+there and in the buckets next in line (multiprobe). Vectors that meet are compared by 128 signs of their rotations first,
+inside the join, so that only pairs at about the threshold are made; each is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ TABLES = 12
 PROBES = 8
 #: Axes of each hash that probes may use.
 AXES = 4
+#: Signs of random projections; a pair at the threshold differs in more than its share plus so many standard deviations with 1e-9.
+SIGNS = 128
+DEVIATIONS = 6
 
 
 @lru_cache(4)
@@ -69,6 +73,22 @@ def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.nda
     return out
 
 
+@lru_cache(8)
+def _planes(width: int) -> np.ndarray:
+    return np.random.default_rng(width).standard_normal((width, SIGNS))
+
+
+def signs(x: np.ndarray) -> np.ndarray:
+    """n x 2 numbers whose bits are the sides of random planes that the vectors lie on."""
+    return np.packbits(x @ _planes(x.shape[1]) > 0, axis=1).view("<i8")
+
+
+def most_apart(threshold: float) -> int:
+    """Signs in which a pair at the threshold may differ."""
+    share = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return int(np.ceil(SIGNS * share + DEVIATIONS * np.sqrt(SIGNS * share * (1 - share))))
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column("vector").value_lengths().to_numpy()
@@ -76,13 +96,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.filter(pa.array(sizes == width))
             x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
             x = x / np.abs(x).max(1, keepdims=True)
-            found = buckets(x / np.linalg.norm(x, axis=1, keepdims=True))
+            found, side = buckets(x / np.linalg.norm(x, axis=1, keepdims=True)), signs(x)
             # label, width and bucket in one number
             label = part.column("label").to_numpy().astype(np.int64).view(np.uint64)[:, None, None]
             code = w.mix(w.mix(label * np.uint64(w.BASES[0]) + np.uint64(width)) + found.astype(np.uint64)).view(np.int64)
             n, tables, probes = code.shape
             lists = lambda c: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (c.size // max(n, 1))), pa.array(c.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("key"), lists(np.ascontiguousarray(code[:, :, 0])), lists(np.ascontiguousarray(code[:, :, 1:]))], names=["key", "own", "others"])
+            columns = [part.column("key"), pa.array(side[:, 0]), pa.array(side[:, 1]), lists(np.ascontiguousarray(code[:, :, 0])), lists(np.ascontiguousarray(code[:, :, 1:]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "one", "two", "own", "others"])
 
 
 def _near(threshold: float):
@@ -95,6 +116,8 @@ def _near(threshold: float):
                 for width in np.unique(sizes):
                     rows = np.flatnonzero(sizes == width)
                     a, b = (part.column(c).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) for c in ("va", "vb"))
+                    # by powers of two, which change no digit, so that no square is too large or too small
+                    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
                     ok[rows] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))) >= threshold
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
@@ -115,10 +138,11 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     good = rows.filter(F.coalesce(usable, F.lit(False)))
     same = saved(good.groupBy("label", "vector").agg(F.min("_key").alias("key"), F.count("*").alias("copies")), "vectors")
-    hashed = saved(same.select("key", "label", "vector").mapInArrow(_hashed, "key long, own array<long>, others array<long>"), "hashes")
-    own = hashed.select(F.col("key").alias("x"), F.explode("own").alias("bucket"))
-    others = hashed.select(F.col("key").alias("y"), F.explode(F.array_distinct(F.concat("own", "others"))).alias("bucket"))
-    pairs = own.join(others, "bucket").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    hashed = saved(same.select("key", "label", "vector").mapInArrow(_hashed, "key long, one long, two long, own array<long>, others array<long>"), "hashes")
+    own = hashed.select(F.col("key").alias("x"), F.col("one").alias("x1"), F.col("two").alias("x2"), F.explode("own").alias("bucket"))
+    others = hashed.select(F.col("key").alias("y"), F.col("one").alias("y1"), F.col("two").alias("y2"), F.explode(F.array_distinct(F.concat("own", "others"))).alias("bucket"))
+    alike = F.expr(f"x <> y and bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {most_apart(threshold)}")
+    pairs = own.join(others, (own["bucket"] == others["bucket"]) & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda x: same.select(F.col("key").alias(x), F.col("vector").alias(f"v{x}"))
     links = saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(threshold), "a long, b long"), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from ferrule.llm.cross_polytope import buckets, hadamard, linked
+from ferrule.llm.cross_polytope import buckets, hadamard, linked, most_apart, signs
 
 
 def brute(rows, threshold=0.93):
@@ -66,3 +66,25 @@ def test_hadamard_keeps_length_and_odd_tables(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted((r.n_links, r.component_id) for r in linked(df).collect()) == [(2, 0)] * 3 or len({r.component_id for r in linked(df).collect()}) == 1
     assert linked(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [64, 384, 768])
+def test_recall_at_the_threshold_by_width(width):
+    rng = np.random.default_rng(width)
+    n = 3000
+    a = rng.standard_normal((n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.standard_normal((n, width))
+    other -= (other * a).sum(1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * other
+    found_a, found_b = buckets(a), buckets(b)
+    meet = ((found_a[:, :, :1] == found_b).any(2) | (found_b[:, :, :1] == found_a).any(2)).any(1)
+    apart = np.bitwise_count(signs(a).view(np.uint64) ^ signs(b).view(np.uint64)).sum(1)
+    assert (meet & (apart <= most_apart(0.93))).mean() >= 0.99
+
+
+def test_sizes_of_vectors_do_not_matter(spark):
+    rows = [(i, [x * s, y * s, 0.0], 1) for i, (x, y, s) in enumerate([(1.0, 1.0, 1e200), (1.0, 1.01, 1e200), (1.0, 1.0, 1e-200), (1.0, 1.01, 1.0)])]
+    got = linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.n_links for r in got} == {3}
