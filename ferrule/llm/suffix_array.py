@@ -54,6 +54,8 @@ def _retained(docs: DataFrame, window: int, k: int) -> DataFrame:
     """Per text (_key) its minimisers whose k-gram begins several suffixes; lead marks the earliest of a k-gram."""
     rows = docs.select("_key", "text").mapInArrow(_positions(window, k), POSITIONS)
     shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("_key", "place")).alias("least")).filter("n > 1").select("gram", "least")
+    # written, so that the join can be split where a k-gram is in very many texts
+    shared = saved(shared, "shared")
     kept = rows.join(shared, "gram").withColumn("lead", (F.col("least._key") == F.col("_key")) & (F.col("least.place") == F.col("place")))
     return kept.groupBy("_key").agg(F.collect_list(F.struct("gram", "lead", "place", "first", "last")).alias("suffixes"))
 
