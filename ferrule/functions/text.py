@@ -148,3 +148,16 @@ def phrase_positions(tokens_: Column, words: Column) -> Column:
     last = F.size(tokens_) - F.size(words)
     at = F.when((last >= 0) & (F.size(words) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.filter(at, lambda i: F.slice(tokens_, i + 1, F.size(words)) == words)
+
+
+def markdown_cleaned(c: Column) -> Column:
+    """Text without fenced code, Markdown images and links and bare URLs, and without white space around line ends.
+
+    The target of a link may hold brackets, four deep; one that isn't closed goes up to the end of its line.
+    """
+    inner = r"[^()]*+"
+    for _ in range(3):
+        inner = rf"(?:[^()]++|\({inner}\))*+"
+    target = rf"\[[^\]]*\]\s*(?:\({inner}\)|\([^\n]*)"
+    steps = ((r"(?s)```.*?```", " "), ("!" + target, " "), (target, " "), (r"(?i)javascript\s*:|void\s*\(\s*0\s*\)|blob://|data:(?:text|image)/[^\s)]+|(?:https?:)?//[^\s)]+", " "), (r"\s+\n", "\n"), (r"\n\s+", "\n"))
+    return reduce(lambda x, s: F.regexp_replace(x, *s), steps, text(c))

@@ -140,10 +140,17 @@ def visible(counted: DataFrame) -> DataFrame:
     return counted.filter(~((F.col("equal") + F.col("different") > 0) & (F.col("equal") == 0) & (F.col("different") > 0)))
 
 
-def verdict(states: DataFrame) -> DataFrame:
-    """Per base the verdict over its alternatives' display states."""
-    any_ok = F.bool_or(F.col("display") == "compatible")
-    return states.groupBy("base_id").agg(F.when(any_ok, "compatible_found").otherwise("review_required").alias("verdict"), F.count("*").alias("alternatives"))
+def verdict(bases: DataFrame, states: DataFrame, counted: DataFrame) -> DataFrame:
+    """Per base (base_id) the verdict over the display states of its visible alternatives: insufficient without any.
+
+    counted: counts of the pairs; a pair without a row there was not compared and stays visible.
+    """
+    hidden = counted.select("base_id", "candidate_id").join(visible(counted).select("base_id", "candidate_id"), ["base_id", "candidate_id"], "left_anti")
+    shown = states.join(hidden, ["base_id", "candidate_id"], "left_anti")
+    found = shown.groupBy("base_id").agg(F.bool_or(F.col("display") == "compatible").alias("any_ok"), F.count("*").alias("alternatives"))
+    rows = bases.select("base_id").join(found, "base_id", "left")
+    state = F.when(F.col("alternatives").isNull(), "insufficient").when(F.col("any_ok"), "compatible_found").otherwise("review_required")
+    return rows.select("base_id", state.alias("verdict"), F.coalesce("alternatives", F.lit(0)).alias("alternatives"))
 
 
 def same_family_pairs(parts: DataFrame, bases: DataFrame, limit: int) -> DataFrame:

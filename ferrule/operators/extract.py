@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SCRIPTS, entities_decoded, text, visible_text
+from ..functions.text import SCRIPTS, entities_decoded, markdown_cleaned, text, visible_text
 
 #: What can't be an attribute's value or name.
 UNSAFE = r"(?i)!?\[[^\]]*\]\s*\(|javascript\s*:|blob://|data:(?:text|image)/|localhost(?:[:/]|$)|127\.0\.0\.1|(?:https?:)?//"
 NOTHING = ("s/f", "n/a", "none", "null", "undefined")
-UNITS = "mm cm km m n kn bar mpa kpa psi v mv kv a ma ua hz khz mhz w kw mw va kg g mg lb nm µm μm rpm °c °f % l ml ms s db torr pa mbar ips in ft cfm lpm gpm".split()
-LABEL_STARTS = "the a an this these those some any our your its all each every no both such that which what when where how why who from with for and but or nor so yet".split()
-PROSE = "the a an with for and of to in is are includes has have that this which from by at on or as be been was were will would can could should may might must shall do does did not no yes".split()
-TRAILING = "at with of in on for to en de para con por the a an y and or del la el las los".split()
+#: Units behind a number, words that begin no label, words of prose, words that a label drops at its end.
+UNITS = ("mm", "cm", "km", "m", "n", "kn", "bar", "mpa", "kpa", "psi", "v", "mv", "kv", "a", "ma", "ua", "hz", "khz", "mhz", "w", "kw", "mw", "va", "kg", "g", "mg", "lb", "nm", "µm", "μm", "rpm", "°c", "°f", "%", "l", "ml", "ms", "s", "db", "torr", "pa", "mbar", "ips", "in", "ft", "cfm", "lpm", "gpm")
+LABEL_STARTS = ("the", "a", "an", "this", "these", "those", "some", "any", "our", "your", "its", "all", "each", "every", "no", "both", "such", "that", "which", "what", "when", "where", "how", "why", "who", "from", "with", "for", "and", "but", "or", "nor", "so", "yet")
+PROSE = ("the", "a", "an", "with", "for", "and", "of", "to", "in", "is", "are", "includes", "has", "have", "that", "this", "which", "from", "by", "at", "on", "or", "as", "be", "been", "was", "were", "will", "would", "can", "could", "should", "may", "might", "must", "shall", "do", "does", "did", "not", "no", "yes")
+TRAILING = ("at", "with", "of", "in", "on", "for", "to", "en", "de", "para", "con", "por", "the", "a", "an", "y", "and", "or", "del", "la", "el", "las", "los")
+#: Lines that head or surround a data sheet and name no attribute.
+NO_LABELS = (
+    "specifications?", "general", "description", "features", "overview", "details?", "characteristics", "properties", "technical data", "information", "related products?", "see also", "menu", "footer",
+    "copyright", "all rights reserved", "home", "back", "next", "previous", "share", "print", "download", "resources?", "documentation", "support", "contact", "company", "about", "reviews", "comments",
+    "qty", "quantity", "price", "add to cart", "buy now", "in stock", "out of stock", "sku", "model", "series", "brand", "manufacturer", "category", "origin", "warranty", "shipping",
+)
+#: Fixed value: pairs of label and value lines that a document gives at most.
 MOST_ADJACENT = 25
 
 
@@ -28,6 +36,12 @@ def lines(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(kept).alias("line_no", "line"))
 
 
+def bare_lines(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """id, line_no, line: lines of the cleaned text without Markdown's marks, numbered in order; empty ones go."""
+    bare = F.transform(F.split(markdown_cleaned(F.col(text_col)), r"\r?\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\s>*#-]+", ""), r"[*_`]", "")))
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.filter(bare, lambda x: x != "")).alias("line_no", "line"))
+
+
 def colon_pairs(rows: DataFrame) -> DataFrame:
     """attribute, value of lines 'label: value' with a digit in the value, up to six words in the label."""
     pattern = r"^(.{2,55}?)\s*[:：]\s*([^\n:]{1,45})$"
@@ -38,13 +52,14 @@ def colon_pairs(rows: DataFrame) -> DataFrame:
 def adjacent_pairs(rows: DataFrame) -> DataFrame:
     """attribute, value of a short label line without digits and the line after it that starts with a digit.
 
-    The first of equal pairs of a document counts, and up to 25 of a document: more is no data sheet.
+    Lines come from bare_lines. Headings and shop words are no labels. The first of equal pairs of a document counts, and up
+    to 25 of a document: more is no data sheet.
     """
     in_doc = Window.partitionBy("id").orderBy("line_no")
     nxt = F.lead("line").over(in_doc)
     both = rows.withColumn("value", nxt).filter("value is not null")
     words = lambda c: F.size(F.split(c, r"\s+"))
-    label = F.length("line").between(2, 60) & (words("line") <= 5) & ~F.col("line").rlike(r"[0-9]|[.!?]$") & ~F.col("line").rlike(r"(?i)^(?:" + "|".join(LABEL_STARTS) + r")(?![A-Za-z0-9_])")
+    label = F.length("line").between(2, 60) & (words("line") <= 5) & ~F.col("line").rlike(r"[0-9]|[.!?]$") & ~F.col("line").rlike(r"(?i)^(?:" + "|".join(LABEL_STARTS) + r")(?![A-Za-z0-9_])") & ~F.col("line").rlike(r"(?i)^(?:" + "|".join(NO_LABELS) + r")$")
     value = (F.length("value") <= 60) & (words("value") <= 3) & F.col("value").rlike("^[0-9]") & ~F.col("value").rlike("[.!?]$") & ~F.col("value").rlike(r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(PROSE) + r")(?![A-Za-z0-9_])")
     out = both.filter(label & value).select("id", "line_no", F.trim(F.regexp_replace("line", r"[:：-]\s*$", "")).alias("attribute"), F.trim(F.regexp_replace("value", "[,;]$", "")).alias("value"))
     first = first_of(out, ["id", F.lower("attribute"), F.lower("value")], "line_no")

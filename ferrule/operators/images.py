@@ -12,6 +12,15 @@ from ..functions.urls import image_key, usable_image
 BASES = {"jsonld": 100, "part_context": 85, "maker_context": 70, "og": 50, "provider": 30, "html": 20, "markdown": 10}
 REJECTED = r"(?i)logo|icon|favicon|sprite|banner|avatar|placeholder|tracking|pixel|spinner|loading|badge|social|\.(?:svg|ico)(?:[?#]|$)"
 
+#: Fixed value: an image with a side of so many pixels or less in its URL only counts visits.
+TRACKING_PIXELS = 2
+
+
+def tracking(url: Column) -> Column:
+    """Whether the first 'width x height' of a URL is that of a tracking pixel."""
+    side = lambda i: F.regexp_extract(url, r"(\d+)x(\d+)", i).try_cast("decimal(38,0)")
+    return F.coalesce(F.least(side(1), side(2)) <= TRACKING_PIXELS, F.lit(False))
+
 
 def scored(candidates: DataFrame) -> DataFrame:
     """candidates (id, url, method, context, part_number, manufacturer) that can be product images, with score.
@@ -22,7 +31,7 @@ def scored(candidates: DataFrame) -> DataFrame:
     has = lambda c: (alnum_key(F.col(c)) != "") & low.contains(alnum_key(F.col(c)))
     base = F.coalesce(*(F.when(F.col("method") == m, F.lit(s)) for m, s in BASES.items()), F.lit(0))
     bonus = F.when(has("part_number") & has("manufacturer"), 40).when(has("part_number"), 25).when(has("manufacturer"), 20).otherwise(0)
-    rows = candidates.filter(usable_image(F.col("url")) & ~F.concat_ws(" ", "url", "context").rlike(REJECTED))
+    rows = candidates.filter(usable_image(F.col("url")) & ~F.concat_ws(" ", "url", "context").rlike(REJECTED) & ~tracking(F.col("url")))
     return rows.withColumn("score", base + bonus)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import part_key, trimmed
+from ..functions.text import part_key, text, trimmed
 
 #: What each kind of match is worth.
 SCORES = {"exact": 1000, "key": 950, "prefix": 900, "contains": 800, "maker": 700, "maker_part": 600, "all": 650, "number_token": 550, "text_all": 500, "specs": 400, "category_all": 450, "text_some": 300, "category_some": 250, "maker_token": 200}
@@ -103,13 +103,15 @@ def facets(page_rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def suggestions(parts: DataFrame, query: str, most: int = 8) -> DataFrame:
-    """label, score: part numbers that equal or start with the query, then manufacturers; best score per label."""
-    q = query.strip().lower()
-    number, maker = F.lower("part_number"), F.lower("manufacturer")
-    numbers = parts.filter(number.startswith(q)).select(F.col("part_number").alias("label"), F.when(number == q, 300).otherwise(250).alias("score"))
-    makers = parts.select("manufacturer").distinct().select(F.col("manufacturer").alias("label"), F.when(maker.startswith(q), 200).when(maker.contains(q), 80).alias("score"))
-    rows = numbers.unionByName(makers.filter("score is not null"))
-    return rows.groupBy("label").agg(F.max("score").alias("score")).orderBy(F.desc("score"), F.asc("label")).limit(most)
+    """label, type, score: parts whose number equals the query in the form of comparison (300), starts with it (250) or
+    whose manufacturer does (200), and manufacturers that start with it (80). A query under two characters has none."""
+    q, key = query.strip().lower(), part_key(F.lit(query))
+    number, maker = F.lower(text(F.col("part_number"))), F.lower(text(F.col("manufacturer")))
+    worth = F.when((key != "") & (part_key(F.col("part_number")) == key), 300).when(number.startswith(q), 250).when(maker.startswith(q), 200)
+    named = parts.select(F.when(number != "", F.col("part_number")).otherwise(F.col("manufacturer")).alias("label"), F.lit("part").alias("type"), worth.alias("score"))
+    makers = parts.filter(maker.startswith(q)).select(F.col("manufacturer").alias("label"), F.lit("manufacturer").alias("type"), F.lit(80).alias("score"))
+    rows = named.unionByName(makers).filter(F.col("score").isNotNull() & (F.col("label") != "") & F.lit(len(q) >= 2))
+    return rows.groupBy("type", F.lower("label").alias("_l")).agg(F.min("label").alias("label"), F.max("score").alias("score")).drop("_l").orderBy(F.desc("score"), F.asc("label")).limit(most)
 
 
 def relevance(query: str, title: Column, maker: Column, snippet: Column, url: Column) -> Column:

@@ -100,7 +100,7 @@ def search_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.suggestions(parts(spark, sf_dir), "brand#1")
-    return out.select("label", long("score").alias("score"))
+    return out.select("label", "type", long("score").alias("score"))
 
 
 def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +132,9 @@ def spec_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of bases (every twentieth part) with the first three of their family."""
+    """Every part with the first three others of its family."""
     p = parts(spark, sf_dir)
-    return compare.same_family_pairs(p, p.filter("part_id % 20 = 0"), 3)
+    return compare.same_family_pairs(p, p, 3)
 
 
 def compare_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,8 @@ def crossref_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crossref_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.verdict(crossref_state(spark, sf_dir))
+    bases = parts(spark, sf_dir).select(F.col("part_id").alias("base_id"))
+    return compare.verdict(bases, crossref_state(spark, sf_dir), compare.counts(compare_matrix(spark, sf_dir)))
 
 
 def alias_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,7 @@ def pipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.lines(table(spark, sf_dir, "documents"), "doc_id")
+    rows = extract.bare_lines(table(spark, sf_dir, "documents"), "doc_id")
     out = extract.adjacent_pairs(rows)
     return out.select(F.col("id").alias("doc_id"), long("line_no").alias("line_no"), "attribute", "value")
 
@@ -308,7 +309,7 @@ def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     rows = p.select(
         F.col("p_partkey").alias("part_id"),
-        F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.concat(F.lit(u), (F.col("p_partkey") % k).cast("string"), F.lit(".jpg")).alias("url")) for m, u, k in (("jsonld", "https://img.example.com/a/", 7), ("og", "http://cdn.example.org/logo/", 5), ("html", "https://IMG.example.com/A/", 7), ("markdown", "ftp://x/", 3))))).alias("i"),
+        F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.concat(F.lit(u), (F.col("p_partkey") % k).cast("string"), F.lit(".jpg")).alias("url")) for m, u, k in (("jsonld", "https://img.example.com/a/", 7), ("og", "http://cdn.example.org/logo/", 5), ("part_context", "http://cdn.example.org/px/1x1/", 3), ("html", "https://IMG.example.com/A/", 7), ("markdown", "ftp://x/", 3))))).alias("i"),
         F.col("p_name").alias("context"), F.lit("widget").alias("part_number"), F.lit("blue").alias("manufacturer"),
     )
     out = images.best(rows.select(F.col("part_id").alias("id"), "i.method", "i.url", "context", "part_number", "manufacturer"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.extract import LABEL_STARTS, PROSE
+from ..operators.extract import LABEL_STARTS, NO_LABELS, PROSE
 from . import catalogue as q
 
 PARTS = "p as (select p_partkey as part_id, p_brand || '-' || p_partkey as part_number, upper(regexp_replace(p_brand || '-' || p_partkey, '[\\s\\-/_.]', '', 'g')) as part_key, p_brand as manufacturer, p_type as category, p_name as description from part)"
@@ -12,7 +12,7 @@ SPECS = (
 )
 PAIRS = (
     "pr as (select * from (select b.part_id as base_id, b.category as base_family, b.part_number as base_number, c.part_id as candidate_id, c.category as candidate_family, c.part_number as candidate_number, "
-    "row_number() over (partition by b.part_id order by c.part_number) as n from p b join p c on b.category = c.category and b.part_id <> c.part_id where b.part_id % 20 = 0) where n <= 3)"
+    "row_number() over (partition by b.part_id order by c.part_number) as n from p b join p c on b.category = c.category and b.part_id <> c.part_id) where n <= 3)"
 )
 CELLS = (
     "b as (select base_id, candidate_id, property, value from pr join s on s.part_id = base_id), c as (select base_id, candidate_id, property, value from pr join s on s.part_id = candidate_id), "
@@ -57,6 +57,14 @@ SCORES = (
 )
 LINES = "l as (select doc_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') as ls from documents))"
 
+#: Lines without Markdown's links, URLs and marks; no target of a link in the tables holds brackets.
+CLEANED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?s)```.*?```', ' ', 'g'), '!?\\[[^\\]]*\\]\\s*(\\([^()]*\\)|\\([^\\n]*)', ' ', 'g'), '(?i)javascript\\s*:|void\\s*\\(\\s*0\\s*\\)|blob://|data:(text|image)/[^\\s)]+|(https?:)?//[^\\s)]+', ' ', 'g'), '\\s+\\n', '\n', 'g'), '\\n\\s+', '\n', 'g')"
+BARE_LINES = (
+    "l as (select doc_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from (select doc_id, list_filter(list_transform(string_split_regex("
+    + CLEANED.format("text")
+    + ", '\\r?\\n'), lambda x: trim(regexp_replace(regexp_replace(x, '^[\\s>*#-]+', ''), '[*_`]', '', 'g'))), lambda x: x <> '') as ls from documents))"
+)
+
 
 def _search(query: str) -> str:
     """sr: part_id, score, match of the ladder."""
@@ -93,7 +101,7 @@ def oracle_sql() -> dict[str, str]:
         f"fp as (select part_id, 'fnv1a-' || lower(to_hex(list_reduce(list_transform(string_split({FOLD.format('part_number')} || '|' || {FOLD.format('description')} || '|' || {FOLD.format('category')} || '|{{}}', ''), lambda c: ascii(c)::bigint), "
         "lambda h, x: (xor(h, x) * 16777619) % 4294967296, 2166136261::bigint))) as fingerprint from p)"
     )
-    starts, prose = "|".join(LABEL_STARTS), "|".join(PROSE)
+    starts, prose, heads = "|".join(LABEL_STARTS), "|".join(PROSE), "|".join(NO_LABELS)
     return {
         "norm_part_number": f"with {PARTS} select part_id, part_key, length(part_number) between 2 and 40 and regexp_matches(part_number, '^[A-Za-z0-9][A-Za-z0-9\\-/_.]*$') and regexp_matches(part_number, '[0-9]') as looks_like_part, "
         "regexp_replace(regexp_replace(part_number, '[A-Z]', 'A', 'g'), '[0-9]', 'N', 'g') as signature, regexp_replace(lower(part_number), '[^a-z0-9]', '', 'g') as alnum_key from p",
@@ -111,8 +119,8 @@ def oracle_sql() -> dict[str, str]:
         "search_ranked": f"{search} select part_id, part_number, score, match from sr where score > 0 order by score desc, part_number limit 20",
         "search_page": f"with {PARTS}, s as (select part_id, part_number, row_number() over (order by part_number) as n, count(*) over () as c from p where category = 'SMALL') select part_id, part_number, c > 45 as has_more from s where n between 31 and 45",
         "search_facets": f"{search}, top as (select * from sr where score > 0 order by score desc, part_number limit 50) select 'manufacturer' as facet, manufacturer as value, count(*) as n from top group by 2 union all select 'category', category, count(*) from top group by 2",
-        "suggest_topk": f"with {PARTS} select label, max(score)::bigint as score from (select part_number as label, case when lower(part_number) = 'brand#1' then 300 else 250 end as score from p where starts_with(lower(part_number), 'brand#1') "
-        "union all select distinct manufacturer, case when starts_with(lower(manufacturer), 'brand#1') then 200 else 80 end from p where contains(lower(manufacturer), 'brand#1')) group by 1 order by 2 desc, 1 limit 8",
+        "suggest_topk": f"with {PARTS}, r as (select part_number as label, 'part' as type, case when part_key = 'BRAND#1' then 300 when starts_with(lower(part_number), 'brand#1') then 250 when starts_with(lower(manufacturer), 'brand#1') then 200 end as score from p "
+        "union all select distinct manufacturer, 'manufacturer', 80 from p where starts_with(lower(manufacturer), 'brand#1')) select label, type, score::bigint as score from r where score is not null order by score desc, label limit 8",
         "relevance_scores": f"with {PARTS}, w as (select part_id, " + ", ".join(
             f"case when contains(lower(description), '{x}') then 80 when contains(lower(manufacturer), '{x}') then 65 when contains(lower(category), '{x}') then 45 when contains(lower(part_number), '{x}') then 35 else 0 end as {x}" for x in ("blue", "promo")
         ) + " from p) select part_id, (case when blue = 0 or promo = 0 then 0 else blue + promo end)::bigint as relevance from w",
@@ -126,7 +134,8 @@ def oracle_sql() -> dict[str, str]:
         "alternatives_visible": f"{pairs}, {CELLS}, {COUNTS} select base_id, candidate_id, equal, different from counts where not (equal = 0 and different > 0)",
         "rule_eval": f"{pairs}, {RESULTS} select base_id, candidate_id, ord::bigint as ord, property, level, state from rr",
         "crossref_state": f"{pairs}, {RESULTS}, {_decisions()} select base_id, candidate_id, state, {_display()} as display, score, critical_fail, required_fail, missing from dc",
-        "crossref_verdict": f"{pairs}, {RESULTS}, {_decisions()} select base_id, case when bool_or({_display()} = 'compatible') then 'compatible_found' else 'review_required' end as verdict, count(*) as alternatives from dc group by 1",
+        "crossref_verdict": f"{pairs}, {CELLS}, {COUNTS}, {RESULTS}, {_decisions()}, sh as (select dc.*, {_display()} as display from dc left join counts on counts.base_id = dc.base_id and counts.candidate_id = dc.candidate_id where not coalesce(equal = 0 and different > 0, false)), "
+        "f as (select base_id, bool_or(display = 'compatible') as any_ok, count(*) as alternatives from sh group by 1) select part_id as base_id, case when alternatives is null then 'insufficient' when any_ok then 'compatible_found' else 'review_required' end as verdict, coalesce(alternatives, 0) as alternatives from p left join f on base_id = part_id",
         "alias_best_match": f"with al(alias, property) as ({_values(q.ALIASES)}), lb as (select distinct p_name as label from part), "
         "m as (select label, property, case when label = alias then 10000 when contains(label, alias) then 5000 when length(label) >= 8 and contains(alias, label) then 4000 end + length(alias) as score from lb cross join al), "
         "r as (select *, row_number() over (partition by label order by score desc, property) as n from m where score is not null) select label, property, score::bigint as score from r where n = 1",
@@ -143,9 +152,9 @@ def oracle_sql() -> dict[str, str]:
         "kv_lines": f"with {LINES}, m as (select doc_id, line_no, trim(regexp_extract(line, '^(.{{2,55}}?)\\s*[:：]\\s*([^\\n:]{{1,45}})$', 1)) as attribute, trim(regexp_extract(line, '^(.{{2,55}}?)\\s*[:：]\\s*([^\\n:]{{1,45}})$', 2)) as value from l where length(line) <= 140) "
         "select * from m where attribute <> '' and regexp_matches(value, '[0-9]') and len(string_split_regex(attribute, '\\s+')) <= 6",
         "pipe_lines": "select p_partkey as part_id, 0::bigint as line_no, 'size' as attribute, p_size || ' mm' as value from part union all select p_partkey, 2, p_name, p_brand from part",
-        "adjacent_lines": f"with {LINES}, nx as (select *, lead(line) over (partition by doc_id order by line_no) as value from l), "
+        "adjacent_lines": f"with {BARE_LINES}, nx as (select *, lead(line) over (partition by doc_id order by line_no) as value from l), "
         "f as (select doc_id, line_no, trim(regexp_replace(line, '[:：-]\\s*$', '')) as attribute, trim(regexp_replace(value, '[,;]$', '')) as value from nx where value is not null and length(line) between 2 and 60 and len(string_split_regex(line, '\\s+')) <= 5 "
-        f"and not regexp_matches(line, '[0-9]|[.!?]$') and not regexp_matches(line, '(?i)^(?:{starts})([^A-Za-z0-9_]|$)') and length(value) <= 60 and len(string_split_regex(value, '\\s+')) <= 3 and regexp_matches(value, '^[0-9]') and not regexp_matches(value, '[.!?]$') "
+        f"and not regexp_matches(line, '[0-9]|[.!?]$') and not regexp_matches(line, '(?i)^(?:{starts})([^A-Za-z0-9_]|$)') and not regexp_matches(line, '(?i)^(?:{heads})$') and length(value) <= 60 and len(string_split_regex(value, '\\s+')) <= 3 and regexp_matches(value, '^[0-9]') and not regexp_matches(value, '[.!?]$') "
         f"and not regexp_matches(value, '(?i)(^|[^A-Za-z0-9_])(?:{prose})([^A-Za-z0-9_]|$)')), g as (select *, row_number() over (partition by doc_id, lower(attribute), lower(value) order by line_no) as k from f), "
         "r as (select *, row_number() over (partition by doc_id order by line_no) as n from g where k = 1) select doc_id, line_no, attribute, value from r where n <= 25",
         "ordered_distinct": f"with {LINES}, m as (select doc_id, min(line_no) as line_no from l group by doc_id, lower(line)) select doc_id, count(*) as n_lines, sum(line_no)::bigint as sum_positions from m group by 1",
