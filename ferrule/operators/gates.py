@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import djb2
-from ..functions.text import identifier_signature, trimmed
+from ..functions.text import trimmed
 
 #: Evidence classes from strong to weak.
 CLASSES = ("cross_validated", "grammar_validated", "literal_occurrence", "inferred", "unknown")
@@ -58,20 +58,47 @@ def mode_key(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), F.asc(value)))).filter("_r = 1").drop("_r")
 
 
-def induced_grammar(docs: DataFrame, family: str, doc_id: str, token: str) -> DataFrame:
-    """Per family: the format most frequent in the first 60 % of its documents (by id, rounded up, one at least), and how
-    the rest fares: tp and fn. Active if there is a rest and tp > 0. Negative labels aren't held out, so there is no fp.
+def ranked_ids(docs: DataFrame, family: str, doc_id: str, checkpoint) -> DataFrame:
+    """family, doc_id, n: the place of each distinct document in its family by id. Ranges of (family, id) are numbered by
+    themselves and then moved on by the counts of those before them, so a large family is many tasks."""
+    ranged = docs.select(family, doc_id).filter(F.col(family).isNotNull()).distinct().repartitionByRange(family, doc_id)
+    ranged = checkpoint(ranged.withColumn("_part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_part", family).orderBy(doc_id))
+    counts = ranged.groupBy(family, "_part").agg(F.count("*").alias("_c"))
+    before = counts.select(family, "_part", (F.sum("_c").over(Window.partitionBy(family).orderBy("_part")) - F.col("_c")).alias("_before"))
+    return ranged.withColumn("n", inside).join(before, [family, "_part"]).select(family, doc_id, (F.col("n") + F.col("_before")).alias("n"))
+
+
+def induced_grammar(candidates: DataFrame, family: str, doc_id: str, checkpoint) -> DataFrame:
+    """Per family the format of its part numbers, from the first 60 % of its documents (by id, rounded up, one at least),
+    and how the rest fares.
+
+    candidates: family, doc_id, position, format, label_type (positive, negative or none), in_title. If half of the first
+    documents have a positive label, the format is the most frequent under such labels, else the most frequent in titles
+    without a negative label. In each of the rest the first candidate of the format without a negative label is a hit (tp)
+    if its own label is positive, else a miss (fn), as no candidate is; none can be wrong (fp), as the label isn't
+    negative. Active with tp > 0. grammar_hash is of selector, format and negative formats.
     """
-    by_id = Window.partitionBy(family).orderBy(doc_id)
-    sizes = docs.groupBy(family).agg(F.count("*").alias("docs"))
-    rows = docs.join(sizes, family).withColumn("_n", F.row_number().over(by_id)).withColumn("format", identifier_signature(F.col(token)))
-    train = F.col("_n") <= F.greatest(F.lit(1), F.ceil(F.col("docs") * F.lit(0.6)))
-    best = mode_key(rows.filter(train), [family], "format").select(family, F.col("format").alias("best"))
-    out = rows.join(best, family).groupBy(family, "best").agg(
-        F.count_if(train).alias("n_train"), F.count_if(~train & (F.col("format") == F.col("best"))).alias("tp"), F.count_if(~train & (F.col("format") != F.col("best"))).alias("fn")
-    )
-    status = F.when(F.col("tp") > 0, "active").otherwise("candidate")
-    return out.select(family, F.col("best").alias("format"), "n_train", "tp", "fn", status.alias("status"), djb2(F.col("best")).alias("grammar_hash"))
+    n = ranked_ids(candidates, family, doc_id, checkpoint)
+    sizes = n.groupBy(family).agg(F.max("n").alias("docs"))
+    split = sizes.withColumn("_split", F.greatest(F.lit(1), F.ceil(F.col("docs") * F.lit(0.6))))
+    rows = candidates.join(n, [family, doc_id]).join(split, family)
+    train, positive, negative = F.col("n") <= F.col("_split"), F.col("label_type") == "positive", F.col("label_type") == "negative"
+    labelled = rows.filter(train & positive).select(family, doc_id).distinct().groupBy(family).agg(F.count("*").alias("_labelled"))
+    selector = split.join(labelled, family, "left").withColumn("selector", F.when(F.coalesce("_labelled", F.lit(0)) >= F.ceil(F.col("_split") * F.lit(0.5)), "positive_label").otherwise("title_format"))
+    mode = lambda which, name: mode_key(rows.filter(train & which), [family], "format").select(family, F.col("format").alias(name))
+    best = selector.join(mode(positive, "_p"), family, "left").join(mode(F.col("in_title") & ~negative, "_t"), family, "left")
+    best = best.select(family, "docs", "_split", "selector", F.when(F.col("selector") == "positive_label", F.col("_p")).otherwise(F.col("_t")).alias("best"))
+    against = rows.filter(train & negative).groupBy(family).agg(F.array_join(F.sort_array(F.collect_set("format")), ",").alias("negative_formats"))
+    held = rows.join(best.select(family, "best"), family).filter(~train & ~negative & (F.col("format") == F.col("best")))
+    first = held.groupBy(family, doc_id).agg(F.min_by("label_type", "position").alias("label_type"))
+    hits = first.groupBy(family).agg(F.count_if(positive).alias("tp"))
+    out = best.join(hits, family, "left").join(against, family, "left").withColumns({"tp": F.coalesce("tp", F.lit(0)), "negative_formats": F.coalesce("negative_formats", F.lit(""))})
+    code = djb2(F.concat_ws("|", "selector", F.coalesce("best", F.lit("")), "negative_formats"))
+    return out.select(
+        family, "selector", F.coalesce("best", F.lit("")).alias("format"), "negative_formats", F.col("_split").cast("long").alias("n_train"), "tp", F.lit(0).cast("long").alias("fp"),
+        (F.col("docs") - F.col("_split") - F.col("tp")).cast("long").alias("fn"), F.when(F.col("tp") > 0, "active").otherwise("pending").alias("status"), code.alias("grammar_hash"),
+    )
 
 
 def evidence_errors(segments: Column) -> Column:

@@ -290,7 +290,12 @@ def grammar_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grammar_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.induced_grammar(parts(spark, sf_dir), "category", "part_id", "part_number").drop("grammar_hash")
+    p = parts(spark, sf_dir)
+    label = F.when((F.col("part_id") % 3 == 0) | (F.col("category") == "SMALL"), "positive").when(F.col("part_id") % 7 == 1, "negative").otherwise("none")
+    other = F.struct(F.lit(1).alias("position"), t.identifier_signature(F.concat(F.lit("DS"), (F.col("part_id") % 5).cast("string"))).alias("format"), F.when(F.col("part_id") % 4 == 0, "negative").otherwise("none").alias("label_type"), F.lit(False).alias("in_title"))
+    own = F.struct(F.lit(0).alias("position"), t.identifier_signature(F.col("part_number")).alias("format"), label.alias("label_type"), (F.col("part_id") % 2 == 0).alias("in_title"))
+    rows = p.select("category", "part_id", F.explode(F.array(own, other)).alias("c")).select("category", "part_id", "c.*")
+    return gates.induced_grammar(rows, "category", "part_id", checkpointed)
 
 
 def weakest_class(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,9 +167,17 @@ def oracle_sql() -> dict[str, str]:
         "queue_routing": "select event_id, case when user_id % 10 = 0 or event_id % 17 = 0 or event_id % 6 > 3 then 'needs_review' when event_type <> 'error' then 'processing' when event_id % 2 = 0 and event_id % 6 < 3 then 'retry' else 'needs_review' end as state from events",
         "area_counts_domain": f"with d(category) as ({_values([(a,) for a in q.AREA_DOMAIN])}) select category, count(p_partkey) as n from d left join part on p_type = category group by 1",
         "grammar_mode": f"with {PARTS}, f as (select category, regexp_replace(regexp_replace(part_number, '[A-Z]', 'A', 'g'), '[0-9]', 'N', 'g') as format, count(*) as n from p group by 1, 2) select category, format, n from (select *, row_number() over (partition by category order by n desc, format) as k from f) where k = 1",
-        "grammar_holdout": f"with {PARTS}, f as (select category, regexp_replace(regexp_replace(part_number, '[A-Z]', 'A', 'g'), '[0-9]', 'N', 'g') as format, row_number() over (partition by category order by part_id) <= greatest(1, ceil(count(*) over (partition by category) * 0.6::double)) as train from p), "
-        "b as (select category, format as best from (select category, format, row_number() over (partition by category order by count(*) desc, format) as k from f where train group by 1, 2) where k = 1) "
-        "select category, best as format, count(*) filter (train) as n_train, count(*) filter (not train and format = best) as tp, count(*) filter (not train and format <> best) as fn, case when count(*) filter (not train and format = best) > 0 then 'active' else 'candidate' end as status from f join b using (category) group by 1, 2",
+        "grammar_holdout": f"with {PARTS}, n as (select *, row_number() over (partition by category order by part_id) as n, count(*) over (partition by category) as docs from p), m as (select *, greatest(1, ceil(docs * 0.6::double))::bigint as split from n), "
+        "c as (select category, part_id, n, split, 0 as position, regexp_replace(regexp_replace(part_number, '[A-Z]', 'A', 'g'), '[0-9]', 'N', 'g') as format, case when part_id % 3 = 0 or category = 'SMALL' then 'positive' when part_id % 7 = 1 then 'negative' else 'none' end as lt, part_id % 2 = 0 as ti from m "
+        "union all select category, part_id, n, split, 1, 'AAN', case when part_id % 4 = 0 then 'negative' else 'none' end, false from m), "
+        "se as (select category, max(docs) as docs, max(split) as split, count(*) filter (n <= split and (part_id % 3 = 0 or category = 'SMALL')) as lab from m group by 1), "
+        "fo as (select c.category, format, count(*) as k from c join se on se.category = c.category where n <= c.split and case when lab >= ceil(se.split * 0.5::double) then lt = 'positive' else ti and lt <> 'negative' end group by 1, 2), "
+        "be as (select category, format as best from (select *, row_number() over (partition by category order by k desc, format) as r from fo) where r = 1), "
+        "ng as (select category, string_agg(distinct format, ',' order by format) as negs from c where n <= split and lt = 'negative' group by 1), "
+        "hi as (select c.category, part_id, arg_min(lt, position) as lt from c join be on be.category = c.category where n > split and lt <> 'negative' and format = best group by 1, 2), tp as (select category, count(*) filter (lt = 'positive') as tp from hi group by 1), "
+        "r as (select se.category, case when lab >= ceil(split * 0.5::double) then 'positive_label' else 'title_format' end as selector, coalesce(best, '') as format, coalesce(negs, '') as negative_formats, split as n_train, coalesce(tp, 0) as tp, docs, split from se left join be using (category) left join ng using (category) left join tp using (category)) "
+        "select category, selector, format, negative_formats, n_train, tp, 0::bigint as fp, docs - split - tp as fn, case when tp > 0 then 'active' else 'pending' end as status, "
+        "list_reduce(list_transform(string_split(selector || '|' || format || '|' || negative_formats, ''), lambda c: ascii(c)::bigint), lambda h, x: xor((h * 33) % 4294967296, x), 5381::bigint) as grammar_hash from r",
         "weakest_class": "with c as (select l_orderkey as order_id, case when l_linenumber <= 3 then l_linenumber - 1 when l_linenumber < 7 then 3 when l_quantity < 49 then 4 end as r from lineitem) "
         "select order_id, case when count(*) = count(r) then ['cross_validated', 'grammar_validated', 'literal_occurrence', 'inferred', 'unknown'][max(r) + 1] end as weakest from c group by 1",
         "gate_causes": "with g as (select p_partkey as part_id, array_to_string(list_filter([case when p_partkey % 5 = 0 then 'missing manufacturer_name' end, case when p_partkey % 4 = 0 then 'part_number_evidence_missing' end, case when p_size - 3 < 1 then 'part_number_page_missing' end], lambda x: x is not null), ',') as basic, "
