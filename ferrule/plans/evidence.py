@@ -122,7 +122,7 @@ def maker_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def specs_not_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = specs(spark, sf_dir).select("part_id", "property", "value")
-    return records.not_shown(s, s.filter("part_id % 2 = 0").select(F.upper("property").alias("property"), F.concat(F.col("value"), F.lit("!")).alias("value")), ["property", "value"])
+    return records.not_shown(s, s.filter("part_id % 2 = 0 and property <> 'range'").select(F.upper("property").alias("property"), F.concat(F.col("value"), F.lit("!")).alias("value")), ["property", "value"])
 
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ def attached_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gateway.known_part(parts(spark, sf_dir), "brand#13 / 1.0").select("part_id", "part_number")
+    return gateway.known_part(parts(spark, sf_dir), "brand#13 / 0").select("part_id", "part_number")
 
 
 def use_case_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
         "longest_values": f"with {SPECS}, r as (select *, row_number() over (partition by family, property order by length(value) desc, value, part_id) as n from s) select family, property, value, part_id from r where n = 1",
         "queue_head": "select o_orderkey as id, -(o_orderpriority[1]::bigint) as priority from orders order by o_orderpriority[1]::bigint, o_orderdate, o_orderkey limit 25",
         "maker_domains": "select s_name as maker, 'www' || (s_suppkey % 3) || '.example' as domain from supplier union select s_name, 'www0.example' from supplier where s_suppkey % 2 = 0 union select s_name, 'shop.example' from supplier where s_suppkey % 2 = 0",
-        "specs_not_shown": f"with {SPECS}, e as (select distinct property, trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) as v from s where part_id % 2 = 0) "
+        "specs_not_shown": f"with {SPECS}, e as (select distinct property, trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) as v from s where part_id % 2 = 0 and property <> 'range') "
         "select part_id, s.property, value from s left join e on e.property = s.property and e.v = trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) where e.v is null",
         "part_sources": "with x as (select l_partkey as part_id, case when l_suppkey % 4 <> 0 then l_suppkey end as source_id, case when l_suppkey % 4 <> 0 and l_suppkey % 2 = 0 then lower(replace(s_name, '#', '-')) else 'https://x.example/' || (l_suppkey % 7) end as url, "
         "case when l_returnflag = 'R' then 0 else 1 end as o, l_orderkey * 10 + l_linenumber as ord from lineitem left join supplier on s_suppkey = l_suppkey), "
@@ -407,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
         "image_urls": "select p_partkey as part_id, 0::bigint as image_no, 'jsonld' as method, 'https://h.example/ld' || p_partkey || '.jpg' as url from part union all select p_partkey, 1, 'og', 'https://h.example/' || p_partkey || '.jpg' from part union all select p_partkey, 2, 'html', '/a' || p_partkey || '.png' from part",
         "attached_images": "with x as (select l_partkey, l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_quantity as url, row_number() over (partition by l_partkey order by l_returnflag = 'R' desc, case when l_linestatus = 'F' then l_shipdate end desc nulls last, l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 desc, l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_quantity desc) as n from lineitem) "
         "select p_partkey as part_id, url as image_url from part left join x on l_partkey = p_partkey and n = 1",
-        "known_numbers": f"with {PARTS} select part_id, part_number from p where part_key = 'BRAND#1310'",
+        "known_numbers": f"with {PARTS} select part_id, part_number from p where part_key = 'BRAND#130'",
         "use_case_reach": "with c(use_case, category) as (values ('pumps', 'SMALL'), ('pumps', 'LARGE'), ('signs', 'PROMO'), ('none', 'UNUSED')) select use_case, count(p_partkey) as n_parts from c left join part on p_type = category group by 1",
         "industrial_queries": "select p_partkey as part_id, case p_partkey % 4 when 0 then true when 2 then false when 1 then regexp_matches(p_name, 'widget|gear|bolt') else true end as industrial from part",
     }

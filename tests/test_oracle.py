@@ -5,10 +5,11 @@ import math
 import duckdb
 import pytest
 
-from ferrule.plans.catalogue import queries
-from ferrule.plans.oracle import oracle_sql
+from ferrule.plans import catalogue, evidence, oracle
 
 SF = "/root/testdata/sf0.001"
+queries = lambda: catalogue.queries() | evidence.queries()
+oracle_sql = lambda: oracle.oracle_sql() | evidence.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
