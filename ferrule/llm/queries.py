@@ -23,7 +23,7 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(documents(spark, sf_dir), with_text=False)
+    return mixing.mixed(documents(spark, sf_dir))
 
 
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -98,39 +98,33 @@ class Model:
 
 
 def blocks(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", role_col: str | None = None) -> DataFrame:
-    """Pieces of transcripts in blocks of up to BLOCK consecutive places: conv, block, items (place, text, role).
+    """Pieces of transcripts in blocks of BLOCK rows: conv, block, items (place, text, role).
 
-    Repeated rows with a turn are one piece; pieces of the same place are ordered by text. Rows with a null turn come last, all
-    of them, in blocks of BLOCK rows.
+    Rows are in order of their turn, then of text and role; those with a null turn come last, in blocks of their own. Repeated
+    rows with a turn are one piece, and with a null turn as many as they are. Rows are numbered inside their range partition first, then by
+    the counts of the partitions before it, so no task holds all rows of a conversation or of one turn.
     """
     role = F.lower(F.col(role_col)) if role_col else F.lit(None).cast("string")
-    every = turns.select(F.col(id_col).alias("conv"), F.col(order_col).cast("long").alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), role.alias("role"))
-    rows = every.filter("place is not null").distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
-    out = rows.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("place", "text", "role"))).alias("items"))
-    late = every.filter("place is null")
-    return out if late.isEmpty() else out.unionByName(_late_blocks(late))
-
-
-def _late_blocks(late: DataFrame) -> DataFrame:
-    """Blocks of rows without a place. Equal rows are counted, and rows numbered inside their range partition first, then
-    by the counts of the partitions before it; so no task holds all rows of a conversation."""
-    counted = late.groupBy("conv", "text", "role").agg(F.count("*").alias("n"))
-    ranged = saved(counted.repartitionByRange("conv", "text", "role").withColumn("part", F.spark_partition_id()), "late")
-    before = F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")
-    offsets = ranged.groupBy("conv", "part").agg(F.sum("n").alias("n")).select(F.col("conv").alias("c"), F.col("part").alias("p"), before.alias("offset"))
-    inside = F.sum("n").over(Window.partitionBy("conv", "part").orderBy("text", "role")) - F.col("n")
-    rows = ranged.withColumn("inside", inside).join(offsets, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    every = turns.select(F.col(id_col).alias("conv"), F.col(order_col).cast("long").alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), role.alias("role"))
+    counted = every.groupBy("conv", "turn", "text", "role").agg(F.count("*").alias("n"))
+    counted = counted.select("conv", F.coalesce("turn", F.lit(LAST)).alias("place"), F.col("turn").isNull().alias("late"), "text", "role", F.when(F.col("turn").isNull(), F.col("n")).otherwise(1).alias("n"))
+    order = ["late", "place", "text", "role"]
+    ranged = saved(counted.repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id()), "turns")
+    before = F.sum("n").over(Window.partitionBy("conv", "late").orderBy("part")) - F.col("n")
+    offsets = ranged.groupBy("conv", "late", "part").agg(F.sum("n").alias("n")).select(F.col("conv").alias("c"), F.col("late").alias("l"), F.col("part").alias("p"), before.alias("offset"))
+    inside = F.sum("n").over(Window.partitionBy("conv", "late", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    rows = ranged.withColumn("inside", inside).join(offsets, F.col("conv").eqNullSafe(F.col("c")) & (F.col("late") == F.col("l")) & (F.col("part") == F.col("p")))
     rows = rows.withColumn("at", F.col("offset") + F.col("inside"))
-    rows = rows.withColumn("b", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("n") - 1) / BLOCK))))
-    copies = F.least(F.col("at") + F.col("n"), (F.col("b") + 1) * BLOCK) - F.greatest(F.col("at"), F.col("b") * BLOCK)
-    items = F.array_repeat(F.struct(F.lit(LAST).alias("place"), "text", "role"), copies.cast("int"))
-    return rows.groupBy("conv", (F.col("b") + LAST // BLOCK).alias("block")).agg(F.sort_array(F.flatten(F.collect_list(items))).alias("items"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("n") - 1) / BLOCK))))
+    copies = F.least(F.col("at") + F.col("n"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("at"), F.col("block") * BLOCK)
+    items = F.array_repeat(F.struct("place", "text", "role"), copies.cast("int"))
+    block = F.when(F.col("late"), F.col("block") + LAST // BLOCK).otherwise(F.col("block"))
+    return rows.groupBy("conv", block.alias("block")).agg(F.sort_array(F.flatten(F.collect_list(items))).alias("items"))
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Counts of moves and features over all blocks whose pieces hold roles (see blocks).
-
-    Moves from one block to the next aren't counted. The counts are a fixed number of cells, summed by Spark.
+    """Counts of moves and features over all blocks whose pieces hold roles (see blocks), moves from one block to the next
+    included. The counts are a fixed number of cells, summed by Spark.
     """
     sizes = [STATES, STATES * STATES, STATES * len(KINDS), STATES * SHAPES]
     edge = np.concatenate([[0], np.cumsum(sizes)])
@@ -158,8 +152,22 @@ def fit(labelled: DataFrame) -> Model:
         held = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(cells[held])], names=["cell", "n"])
 
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """States of a block's first and last line, null where the role is unknown."""
+        for batch in batches:
+            out = []
+            for items in batch.column("items").to_pylist():
+                first, last = (ROLES.index(items[i]["role"]) if items[i]["role"] in ROLES else None for i in (0, -1))
+                out.append((None if first is None else 2 * first, None if last is None else 2 * last + ("\n" in items[-1]["text"])))
+            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("block"), *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))], names=["conv", "block", "first", "last"])
+
+    ends = labelled.select("conv", "block", "items").mapInArrow(borders, f"conv {labelled.schema['conv'].dataType.simpleString()}, block long, first long, last long")
+    after = ends.select(F.col("conv").alias("c"), (F.col("block") - 1).alias("b"), F.col("first").alias("next")).filter("next is not null")
+    moved = ends.filter("last is not null").join(after, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    between = moved.select((F.lit(int(edge[1])) + F.col("last") * STATES + F.col("next")).alias("cell"), F.lit(1).cast("long").alias("n"))
+
     cells = np.zeros(edge[-1])
-    for row in labelled.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for row in labelled.mapInArrow(count, "cell long, n long").unionByName(between).groupBy("cell").agg(F.sum("n").alias("n")).collect():
         cells[row.cell] = row.n
     start, moves, kinds, shapes = (cells[a:b] for a, b in zip(edge, edge[1:], strict=False))
     return Model(start, moves.reshape(STATES, STATES), kinds.reshape(STATES, -1), shapes.reshape(STATES, -1))
@@ -172,10 +180,9 @@ def _seen(block_first: bool, items: list[dict]) -> tuple[list[str], list[tuple[i
 
 def parsed(pieces: DataFrame, model: Model) -> DataFrame:
     """Decoded blocks (see blocks): conv, block, roles (of every line), begins (whether it starts a turn), lines."""
-    first = F.min("block").over(Window.partitionBy("conv")) == F.col("block")
-    opened = pieces.select(F.col("conv").alias("c"), F.col("block").alias("b")).withColumn("first", F.min("b").over(Window.partitionBy("c")) == F.col("b"))
     same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
-    held = pieces.join(opened, same).drop("c", "b")
+    opened = pieces.groupBy("conv").agg(F.min("block").alias("b")).withColumnRenamed("conv", "c")
+    held = pieces.join(opened, F.col("conv").eqNullSafe(F.col("c"))).withColumn("first", F.col("block") == F.col("b")).drop("c", "b")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,17 +250,23 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", role.alias("role"), F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def _held_out(conv: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held out"), conv), F.lit(5)) == 0
+
+
 def parse_conversations(conversations: DataFrame) -> DataFrame:
-    """Writes the table's conversations as raw transcripts, fits the model to all of them, and parses them again.
+    """Writes the table's conversations as raw transcripts, fits the model to four of five of them (by a hash of the
+    id), and parses them all.
 
-    Returns per block of up to 64 places of a conversation: conv_id, block, n_lines, n_turns begun, n_right (lines
-    whose role was recovered), roles (of the turns begun) and rendered_sha256 of the canonical form. Rows repeated in all
+    Returns per block of up to 64 rows of a conversation: conv_id, block, n_lines, n_turns begun, n_right (lines
+    whose role was recovered), roles (of the turns begun), rendered_sha256 of the canonical form, and held_out (whether the
+    model hasn't seen the conversation: by these rows it is to be judged). Rows repeated in all
     of conv_id, turn, role and text count once, unless turn is null; a null turn comes last, a null text is an empty line, a null or unknown
     role counts as not recovered and isn't learnt from. Rows with a null conv_id are one conversation. Other columns
     are ignored.
     """
     pieces = saved(blocks(raw_transcripts(conversations), role_col="role"), "pieces")
-    model = fit(pieces)
+    model = fit(pieces.filter(~_held_out(F.col("conv"))))
     out = rendered(parsed(pieces, model))
     sizes = F.flatten(F.transform("items", lambda i: F.array_repeat(i["role"], F.size(F.split(i["text"], "\n", -1)))))
     truth = pieces.select(F.col("conv").alias("c"), F.col("block").alias("b"), sizes.alias("truth"))
@@ -268,5 +281,6 @@ def parse_conversations(conversations: DataFrame) -> DataFrame:
         right.alias("n_right"),
         begun.alias("roles"),
         F.sha2("text", 256).alias("rendered_sha256"),
+        _held_out(F.col("conv")).alias("held_out"),
     )
 
