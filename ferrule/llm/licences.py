@@ -53,8 +53,9 @@ TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "Unlicense": ("The Unlicense", "Unlicense"),
     "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
 }
-#: Lines that name a holder or a year: "Copyright ...", "(c) 2020 ...", "All rights reserved".
-COPYRIGHT_LINE = r"(^|\n)[^\pL\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that state a copyright: "Copyright ..." with a year, a sign or a blank to fill in, "(c) ...", "All rights reserved".
+#: A line of running text that starts with the word stays.
+COPYRIGHT_LINE = r"(^|\n)[^\pL\n]*(copyright[^\n]*([0-9][0-9][0-9][0-9]|\(c\)|©|[<\[{]|all rights reserved)|\(c\)|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
@@ -86,7 +87,7 @@ def reference_texts() -> list[tuple[str, str]]:
             forms |= {f"{title}\n\n{x}" for title in TITLES[name] for x in forms}
         else:
             forms |= {x.split("\n\n", 1)[1] for x in forms}
-        # a line that starts with "copyright" drops out of the canonical form, so line ends inside paragraphs matter
+        # lines of running text may state a year or a sign, so line ends inside paragraphs can matter
         forms |= {"\n\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", form)) for form in forms}
         out += [(name, form) for form in sorted(forms)]
     return out
@@ -123,7 +124,7 @@ def scan_sql() -> str:
     """The same in DuckDB's SQL."""
 
     def form(text: str) -> str:
-        lines = rf"regexp_replace(lower(coalesce({text}, '')), '(^|\n)[^\pL\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*', '\1', 'g')"
+        lines = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '\\1', 'g')"
         words = rf"(' ' || regexp_replace({lines}, '[^\pL\pN]+', '  ', 'g') || ' ')"
         for word, other in SPELLINGS.items():
             words = f"replace({words}, ' {word} ', ' {other} ')"

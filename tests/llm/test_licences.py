@@ -115,3 +115,11 @@ def test_whole_licences_written_apart(spark):
     rows += [(name, p.read_text()) for name, p in found.items() if p.exists()]
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     assert [r.licence for r in scan(df).orderBy("doc_id").collect()] == [n for n, _ in rows]
+
+
+def test_running_text_that_starts_with_copyright_stays(spark):
+    one, two, three = KNOWN["MIT"].split("\n\n")
+    wrapped = three.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    rows = [(1, f"MIT License\n\nCopyright (c) 2020 Jane Doe\n\n{one}\n\n{two}\n\n{wrapped}"), (2, f"{one}\n{two}\n{wrapped}"), (3, f"Copyright Jane Doe 1999\n{one}\n{two}")]
+    got = {r.doc_id: r.licence for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None}
