@@ -315,3 +315,19 @@ def test_frontier_reaches_the_end_of_a_chain(spark, tmp_path):
     assert {r.url: r.depth for r in crawl_frontier(spark, str(tmp_path)).collect()} == want
     edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(10)], "src string, dst string")
     assert {r.url: r.depth for r in crawl.frontier(spark.createDataFrame([("u0",)], "url string"), edges, None, checkpointed).collect()} == {f"u{i}": i for i in range(11)}
+
+
+def test_suggestions_labels_and_verdicts(spark):
+    parts = spark.createDataFrame([(1, "AB-12", "Acme"), (2, "AB-123", "Acme"), (3, "ZZ-9", "Abtec"), (4, "Q-1", None)], "part_id long, part_number string, manufacturer string")
+    got = [(r.label, r.type, r.score) for r in search.suggestions(parts, " ab12").collect()]
+    assert got == [("AB-12", "part", 300)]
+    got = [(r.label, r.type, r.score) for r in search.suggestions(parts, "ab").collect()]
+    assert got == [("AB-12", "part", 250), ("AB-123", "part", 250), ("ZZ-9", "part", 200), ("Abtec", "manufacturer", 80)]
+    assert search.suggestions(parts, "a").count() == 0
+    docs = spark.createDataFrame([(1, "Specifications\n3 kg\n> **Payload:**\n5 kg\nSKU\n12\n[Reach](https://x/(a))\n9 mm")], "doc_id long, text string")
+    assert [(r.attribute, r.value) for r in extract.adjacent_pairs(extract.bare_lines(docs, "doc_id")).collect()] == [("Payload", "5 kg")]
+    bases = spark.createDataFrame([(1,), (2,), (3,)], "base_id long")
+    states = spark.createDataFrame([(1, 9, "compatible"), (2, 9, "compatible"), (2, 8, "review")], "base_id long, candidate_id long, display string")
+    counted = spark.createDataFrame([(2, 9, 0, 3)], "base_id long, candidate_id long, equal long, different long")
+    got = {r.base_id: (r.verdict, r.alternatives) for r in compare.verdict(bases, states, counted).collect()}
+    assert got == {1: ("compatible_found", 1), 2: ("review_required", 1), 3: ("insufficient", 0)}
