@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -137,23 +138,31 @@ def _encoder(file: str) -> Cached:
     wide = {chr(i): as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x180)}
     table = str.maketrans(wide)
 
-    def piece(text: str) -> list[int]:
-        ids = known.get(text)
+    def piece(data: bytes) -> bytes:
+        ids = known.get(data)
         if ids is None:
             if len(known) > 400_000:
                 known.clear()
-            ids = known[text] = [t.id for t in model.tokenize(text if text.isascii() else text.translate(table))]
+            text = data.decode()
+            ids = known[data] = array("i", [t.id for t in model.tokenize(text if data.isascii() else text.translate(table))]).tobytes()
         return ids
 
-    def word(data: bytes) -> list[int]:
+    marks = {m: piece(m) for m in (b".", b",", b";", b":")}
+
+    def word(data: bytes) -> bytes:
         if data.isalpha():
-            return piece(data.lower().decode())
-        if data[:-1].isalpha() and data[-1:] in b".,;:":
-            return [*piece(data[:-1].lower().decode()), *piece(data[-1:].decode())]
+            return piece(data.lower())
+        mark = marks.get(data[-1:], b"")
+        letters = data[:-1] if mark else data
+        if letters.isalpha():
+            return piece(letters.lower()) + mark
+        text = letters.decode()
+        if text.isalpha() and plain.fullmatch(text):
+            return piece(text.lower().encode()) + mark
         text = data.decode()
         if plain.fullmatch(text) and "<|" not in text:
-            return [i for p in split.findall(text.lower()) for i in piece(p)]
-        return whole.encode(text, add_special_tokens=False).ids
+            return b"".join(piece(p.encode()) for p in split.findall(text.lower()))
+        return array("i", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     return Cached(word, 250_000)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -50,27 +49,27 @@ class Ragged:
 
 
 class Cached:
-    """encode(piece) -> ids for many pieces, most of which come again.
+    """encode(piece) -> ids, as bytes of int32, for many pieces, most of which come again.
 
     Remembers between `limit` and twice as many pieces: those seen since the last but one time the newer half was full.
     """
 
-    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = 120_000):
+    def __init__(self, encode: Callable[[bytes], bytes], limit: int = 120_000):
         self.encode, self.limit, self.new, self.old = encode, limit, {}, {}
 
     def __call__(self, pieces: list[bytes]) -> Ragged:
-        out = []
-        for p in pieces:
-            ids = self.new.get(p)
+        out = list(map(self.new.get, pieces))
+        for i, ids in enumerate(out):
             if ids is None:
+                p = pieces[i]
                 ids = self.old.get(p)
                 if ids is None:
-                    ids = array("i", self.encode(p)).tobytes()
+                    ids = self.encode(p)
                 if len(p) <= 64:
                     if len(self.new) >= self.limit:
                         self.old, self.new = self.new, {}
                     self.new[p] = ids
-            out.append(ids)
+                out[i] = ids
         return Ragged(out)
 
 
