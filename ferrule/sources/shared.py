@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where no folder is set, as in tests."""
+    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where no folder is set and Spark runs in one process, as in tests."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-checkpoint-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="ferrule-checkpoint-"))
     return df.checkpoint()
