@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -76,6 +76,21 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_key", plain: boo
     return saved(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "numbered") -> DataFrame:
+    """df with `pos`, a row's number from 0 in its `group` by ascending `order`, and `size`, the rows of the group; group is not null.
+
+    Rows are dealt out by ranges of (group, order) and counted in each task, so that a group of any size is spread; what
+    is added up per group is a row for each task that has rows of it. Rows equal in group and order may lie either way.
+    """
+    ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    rows = saved(ranged.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_task", F.shiftright("_at", 33))
+    parts = rows.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    all_of = Window.partitionBy(group)
+    before = F.sum("_rows").over(all_of.orderBy("_task")) - F.col("_rows")
+    parts = parts.select(group, "_task", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(all_of).alias("size"))
+    return rows.join(parts, [group, "_task"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): one row (id, component) per vertex of an edge,
     component being the smallest id reachable.

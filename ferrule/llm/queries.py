@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, cross_polytope, dac, fertility, licences, mixing, rlz, suffix_array, transcripts
+from . import bagminhash, bpe, cross_polytope, dac, fertility, licences, merkle, mixing, rlz, suffix_array, transcripts
 from .common import documents
 
 
@@ -50,12 +50,16 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_tokeniser_fertility, op2_transcript_hmm, op3_suffix_array, op4_temperature_mixing, op5_cross_polytope, op6_directly_addressable, op7_licence_digests, op8_relative_lz, op9_prefix_bpe, op10_bagminhash)
+    own = (op1_tokeniser_fertility, op2_transcript_hmm, op3_suffix_array, op4_temperature_mixing, op5_cross_polytope, op6_directly_addressable, op7_licence_digests, op8_relative_lz, op9_prefix_bpe, op10_bagminhash, op13_merkle_manifest)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licence_digests": licences.scan_sql()}
+    return {"op7_licence_digests": licences.scan_sql(), "op13_merkle_manifest": merkle.audited_sql()}
