@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import djb2
 from ..functions.text import trimmed
+from .containment import held
 
 #: Evidence classes from strong to weak.
 CLASSES = ("cross_validated", "grammar_validated", "literal_occurrence", "inferred", "unknown")
@@ -111,17 +112,20 @@ def evidence_errors(segments: Column) -> Column:
     return F.concat(none, F.coalesce(each, F.array().cast("array<string>")), F.coalesce(twice, F.array().cast("array<string>")))
 
 
-def alias_matches(labels: DataFrame, aliases: DataFrame, label_col: str = "label") -> DataFrame:
-    """label, property: the best alias of each distinct label - equal, then inside the label, then around it (labels of
-    eight letters or more), longer ones first, then in order.
+def alias_matches(labels: DataFrame, aliases: DataFrame, checkpoint, label_col: str = "label") -> DataFrame:
+    """label, property, score: the best alias of each distinct label - equal, then inside the label, then around it (labels of
+    eight letters or more), longer ones first, then in order. aliases: alias, property.
 
-    aliases (alias, property) is a curated dimension; Spark broadcasts it while it is small, and distinct labels are few.
+    Labels and aliases that contain one another are found by the index of grams, in either direction. Labels whose
+    normal form is empty and nulls have no alias.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
-    rows = labels.select(F.col(label_col).alias("label")).distinct().withColumn("_l", norm(F.col("label")))
-    al = aliases.select("property", norm(F.col("alias")).alias("_a")).filter("_a <> ''").distinct()
-    hit = F.col("_l").contains(F.col("_a")) | ((F.length("_l") >= 8) & F.col("_a").contains(F.col("_l")))
-    score = F.when(F.col("_l") == F.col("_a"), 10000).when(F.col("_l").contains(F.col("_a")), 5000).otherwise(4000) + F.length("_a")
-    found = rows.join(al, hit).withColumn("score", score)
-    best = Window.partitionBy("label").orderBy(F.desc("score"), F.asc("property"))
-    return found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("label", "property", "score")
+    rows = labels.select(F.col(label_col).alias("label")).filter("label is not null").distinct().withColumn("_l", norm(F.col("label")))
+    names = aliases.select("property", norm(F.col("alias")).alias("_a")).filter("_a <> ''").distinct()
+    of_labels, of_aliases = rows.select("_l").distinct(), names.select("_a").distinct()
+    inside = held(of_labels, of_aliases, checkpoint, "_l", "_l", "_a", "_a")
+    around = held(of_aliases, of_labels.filter("length(_l) >= 8"), checkpoint, "_a", "_a", "_l", "_l").select("_l", "_a")
+    score = F.when(F.col("_l") == F.col("_a"), 10000).when(F.col("_in"), 5000).otherwise(4000) + F.length("_a")
+    either = inside.withColumn("_in", F.lit(True)).unionByName(around.withColumn("_in", F.lit(False))).groupBy("_l", "_a").agg(F.bool_or("_in").alias("_in"))
+    best = either.withColumn("score", score).join(names, "_a").groupBy("_l").agg(F.min(F.struct((-F.col("score")).alias("score"), "property")).alias("best"))
+    return rows.join(best, "_l").select("label", "best.property", (-F.col("best.score")).alias("score"))

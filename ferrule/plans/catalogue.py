@@ -171,7 +171,7 @@ def crossref_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = spark.createDataFrame(ALIASES, "alias string, property string")
-    out = gates.alias_matches(parts(spark, sf_dir), aliases, "description")
+    out = gates.alias_matches(parts(spark, sf_dir), aliases, checkpointed, "description")
     return out.withColumn("score", long("score"))
 
 
