@@ -48,11 +48,11 @@ class Cache:
         out = rows.join(self.rows(), "cache_key").join(new, "cache_key", "left")
         return out.withColumn("cache_hit", F.col("_first").isNull() | (F.col("_first") != F.col(order))).drop("_first")
 
-    def metrics(self, out: DataFrame, area: str, status: str, batch: int) -> DataFrame:
-        """One row: processed, cache_hits, classified, shadow_review, batches, cache_size."""
+    def metrics(self, out: DataFrame, area: str, status: str, batch: int) -> dict[str, int]:
+        """processed, cache_hits, classified, shadow_review, batches, cache_size of a run's rows."""
         sums = out.agg(F.count("*").alias("processed"), F.count_if("cache_hit").alias("cache_hits"), F.count(area).alias("classified"), F.count_if(F.col(status) == "shadow_review").alias("shadow_review"))
-        size = self.rows().agg(F.count("*").alias("cache_size"))
-        return sums.join(size).withColumn("batches", F.ceil(F.col("processed") / batch).cast("long"))
+        found = sums.first().asDict()
+        return found | {"batches": -(-found["processed"] // batch), "cache_size": self.rows().count()}
 
     def forget_others(self) -> None:
         """Delete the results of all other versions in the folder."""

@@ -23,10 +23,16 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
-    """id_col, allowed: the longest rule that the path starts with decides; ties and no rule allow."""
+    """id_col, allowed: the longest rule that the path starts with decides; ties and no rule allow.
+
+    Every beginning of the path that is as long as some rule of that length is looked up by (host, path), so a host's rules
+    never meet all its addresses.
+    """
     path = F.coalesce(F.try_parse_url(F.col(url_col), F.lit("PATH")), F.lit("/"))
     rows = urls.select(id_col, host(F.col(url_col)).alias("host"), F.when(path == "", "/").otherwise(path).alias("_path"))
-    hit = rows.join(rules, "host").filter(F.col("_path").startswith(F.col("path")))
+    lengths = [r[0] for r in rules.filter("path <> ''").select(F.length("path")).distinct().collect()]
+    begins = F.filter(F.transform(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: F.when(F.length("_path") >= n, F.substring("_path", F.lit(1), n))), lambda p: p.isNotNull())
+    hit = rows.select(id_col, "host", F.explode(begins).alias("path")).join(rules.select("host", "kind", "path"), ["host", "path"])
     longest = lambda k: F.max(F.when(F.col("kind") == k, F.length("path")))
     best = hit.groupBy(id_col).agg(longest("allow").alias("_a"), longest("disallow").alias("_d"))
     ok = F.coalesce(F.col("_a"), F.lit(0)) >= F.coalesce(F.col("_d"), F.lit(0))

@@ -90,7 +90,7 @@ def test_classified_once_across_runs(spark, tmp_path):
     for _ in range(2):
         cache = Cache(spark, str(tmp_path / "c"), "shadow-evidence-v3", columns)
         out = cache.classified(rows, print_, "row", run, checkpointed)
-        results.append(cache.metrics(out, "area", "status", 1000).first().asDict())
+        results.append(cache.metrics(out, "area", "status", 1000))
     assert results[0] == {"processed": 100_000, "cache_hits": 99_993, "classified": 100_000, "shadow_review": 0, "batches": 100, "cache_size": 7}
     assert results[1] == results[0] | {"cache_hits": 100_000}
     assert asked == [7, 0]
