@@ -1,33 +1,43 @@
 """Cells and tables out of text fragments with coordinates (doc, page, idx, text, x, y, w, h).
 
-Grouping into bands depends on each band's first fragment, so it is sequential inside a page; a page is small and is the
-unit of a group. All the rest are window functions.
+Grouping into bands, lines and columns depends on what came first, so it is a fold over a page's fragments in order. A page
+is small and is the unit of a group; the folds are expressions over its array and stay in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADERS = {"attribute": r"(?i)^(?:parameter|attribute|property|description|caracter[ií]stica|denominaci[oó]n)", "value": r"(?i)^(?:value|valor|data|datos)", "unit": r"(?i)^(?:unit|unidad)s?$"}
 GAP = 10.0
 
 
+def on_pages(fragments: DataFrame, order: list[str]) -> DataFrame:
+    """doc, page, items: a page's fragments as one array of structs; order: columns by which they come, a minus before those that fall."""
+    key = lambda c: (-F.col(c[1:])).alias(f"_{c[1:]}") if c.startswith("-") else F.col(c).alias(f"_{c}")
+    rest = [c for c in fragments.columns if c not in ("doc", "page")]
+    items = F.array_sort(F.collect_list(F.struct(*(key(c) for c in order), F.struct(*rest).alias("item"))))
+    return fragments.groupBy("doc", "page").agg(F.transform(items, lambda x: x["item"]).alias("items"))
+
+
+def spread(pages: DataFrame, numbers: Column, name: str) -> DataFrame:
+    """The fragments of on_pages() again, each with its number."""
+    both = F.transform(F.col("items"), lambda x, i: F.struct(x.alias("item"), F.get(numbers, i).alias("n")))
+    rows = pages.select("doc", "page", F.explode(both).alias("_x"))
+    return rows.select("doc", "page", "_x.item.*", F.col("_x.n").alias(name))
+
+
 def banded(fragments: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """fragments with `band`: from top to bottom, a fragment further than `tolerance` from its band's first starts a new one."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "idx"], ascending=[False, True, True])
-        band, first, out = -1, None, []
-        for y in page["y"]:
-            if first is None or abs(first - y) > tolerance:
-                band, first = band + 1, y
-            out.append(band)
-        page["band"] = out
-        return page
+    def step(s: Column, x: Column) -> Column:
+        new = s["first"].isNull() | (F.abs(s["first"] - x["y"]) > tolerance)
+        n = s["n"] + new.cast("int")
+        return F.struct(F.when(new, x["y"]).otherwise(s["first"]).alias("first"), n.alias("n"), F.array_append(s["of"], n).alias("of"))
 
-    return fragments.groupBy("doc", "page").applyInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fragments.schema)}, band int")
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
+    pages = on_pages(fragments.withColumn("y", F.col("y").cast("double")), ["-y", "x", "idx"])
+    return spread(pages.withColumn("_of", F.aggregate("items", start, step, lambda s: s["of"])), F.col("_of"), "band").select(*fragments.columns, "band")
 
 
 def cells(bands: DataFrame, gap: float = GAP) -> DataFrame:
@@ -49,13 +59,6 @@ def tables(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.join(numbered.select("doc", "page", "band", "table"), ["doc", "page", "band"])
 
 
-def header_roles(table_cells: DataFrame) -> DataFrame:
-    """table cells with `role` by the patterns of headers, for the first three bands of a table."""
-    role = F.coalesce(*(F.when(F.col("text").rlike(p), F.lit(r)) for r, p in HEADERS.items()))
-    place = F.dense_rank().over(Window.partitionBy("doc", "page", "table").orderBy("band"))
-    return table_cells.withColumn("role", F.when(place <= 3, role))
-
-
 def nearest_column(values: DataFrame, columns: DataFrame) -> DataFrame:
     """values (doc, page, value_id, x) with the column (doc, page, column_id, x) of their page nearest in x."""
     rows = values.join(columns.withColumnRenamed("x", "_cx"), ["doc", "page"])
