@@ -39,6 +39,8 @@ ROWS = 4
 DEVIATIONS = 6
 #: Buckets of up to so many members are compared pair by pair.
 FEW = 16
+#: Rounds in which members of a large bucket are compared with some that they share a part with; what is left is compared in any case.
+ROUNDS, CENTRES = 2, 16
 #: Slack of comparisons in double precision.
 SLACK = 1e-12
 SEED = 0x5851F42D4C957F2D
@@ -241,23 +243,36 @@ def _hubs(large: DataFrame) -> DataFrame:
     return large.join(main.join(leaders, "component").select("bucket", "hub"), "bucket").filter("key <> hub").select("hub", "key").distinct()
 
 
-def _sharing(differences: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different classes that have the same hub and a part in common among those for which each is indexed.
+def _prefixes(held: DataFrame, component: DataFrame) -> DataFrame:
+    """hub, part, key, component, cost, room, rest, one, two: the parts for which each member is indexed.
 
-    Parts are ordered by how many of the hub's members have them; those seen in one class only come first, and no pair needs them.
-    A pair must still be able to share enough from the common part on, as the first one of a similar pair is. The end that
-    costs less can't share more than it has, which bounds its cost from below.
+    held: a row for each part of each difference. Parts are ordered by how many of the hub's members have them; those seen in one class
+    only come first, and no pair needs them.
     """
-    classed = differences.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    far = differences.filter("large > 0").select("hub").distinct()
-    held = saved(classed.join(far, "hub", "left_semi").select("hub", "key", "component", "cost", "room", "size", "small", "large", F.explode("parts").alias("part")), "parts")
-    shared = held.groupBy("hub", "part").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("hub", "part", "n")
-    live = held.join(shared, ["hub", "part"])
+    classed = held.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    shared = classed.groupBy("hub", "part").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("hub", "part", "n")
+    live = classed.join(shared, ["hub", "part"])
     mine = Window.partitionBy("hub", "key")
     # a text's parts are no more than its words and the hub's
     place = F.row_number().over(mine.orderBy("n", "part")) + F.col("size") - F.count("*").over(mine)
     placed = live.withColumn("place", place).filter("place <= small or place <= large")
-    placed = saved(placed.select("hub", "part", "key", "component", "cost", "room", (F.col("size") - F.col("place")).alias("rest"), (F.col("place") <= F.col("small")).alias("one"), (F.col("place") <= F.col("large")).alias("two")), "prefixes")
+    return saved(placed.select("hub", "part", "key", "component", "cost", "room", (F.col("size") - F.col("place")).alias("rest"), (F.col("place") <= F.col("small")).alias("one"), (F.col("place") <= F.col("large")).alias("two")), "prefixes")
+
+
+def _starred(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): of each part up to CENTRES members, others in each turn, with the members of other classes. As many as CENTRES times the rows at most."""
+    by = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "component")
+    some = placed.groupBy("hub", "part", F.pmod(F.xxhash64("key", F.lit(-1 - turn)), F.lit(CENTRES)).alias("_slot")).agg(F.min(by).alias("m"))
+    met = placed.join(some.select("hub", "part", F.col("m.key").alias("centre"), F.col("m.component").alias("of")), ["hub", "part"]).filter("component <> of")
+    return met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+
+
+def _sharing(placed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that have the same hub and a part in common among those for which each is indexed.
+
+    A pair must still be able to share enough from the common part on, as the first one of a similar pair is. The end that
+    costs less can't share more than it has, which bounds its cost from below.
+    """
     side = lambda end, x: placed.filter(end).select("hub", "part", "room", F.col("key").alias(x), F.col("component").alias(f"c{x}"), F.col("cost").alias(f"e{x}"), F.col("rest").alias(f"r{x}"))
     one, two = side("one", "x"), side("two", "y").drop("room")
     enough = F.expr(f"1 + least(rx, ry) >= (ex + ey - room) / {1 + threshold} - 1e-6 and ex >= {threshold} * (ey - room) - 1e-6")
@@ -336,9 +351,21 @@ def classified(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     differences = saved(_with_bags(saved(pairs, "hubs"), rows).mapInArrow(_differing(threshold), DIFFERENCE), "differences")
     ends = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     component = _merged(component, _linked(close, rows, threshold).unionByName(ends(differences.filter("near"), "hub", "key")))
-    met = saved(_sharing(differences, component, threshold).join(tried, ["a", "b"], "left_anti"), "met")
-    met = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long")
-    component = _merged(component, _linked(saved(met, "close"), rows, threshold))
+    far = differences.filter("large > 0").select("hub").distinct()
+    held = saved(differences.join(far, "hub", "left_semi").select("hub", "key", "cost", "room", "size", "small", "large", F.explode("parts").alias("part")), "parts")
+    signed_pairs = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(agreeing, "a long, b long")
+    # members that share a part are first compared with some of them, and classes merged: what many copies have in common then
+    # lies in one class, and only what is left is compared pair by pair
+    placed = _prefixes(held, component)
+    for turn in range(ROUNDS):
+        met = saved(_starred(placed, turn).join(tried, ["a", "b"], "left_anti"), "star")
+        if met.isEmpty():
+            break
+        tried = tried.unionByName(met)
+        component = _merged(component, _linked(saved(signed_pairs(met), "close"), rows, threshold))
+        placed = _prefixes(held, component)
+    met = saved(_sharing(placed, threshold).join(tried, ["a", "b"], "left_anti"), "met")
+    component = _merged(component, _linked(saved(signed_pairs(met), "close"), rows, threshold))
     of_bag = same.join(component, same["key"] == component["id"], "left").select("digest1", "digest2", F.coalesce("component", "key").alias("class_id"))
     found = signed.select("key", "digest1", "digest2").join(of_bag, ["digest1", "digest2"]).select(F.col("key").alias("_key"), "class_id")
     return rows.select("_key").join(found, "_key", "left").select("_key", F.coalesce("class_id", "_key").alias("class_id"))
