@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidied(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Delete tables that saved() wrote, once all that reads them is itself written."""
     for df in tables:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import keyed, plain_ids, saved
+from .common import keyed, plain_ids, saved, tidied
 from .repeats import minimisers, ragged
 
 FACTORS = "array<struct<start: int, words: int, source_key: long, source_start: int>>"
@@ -198,6 +198,8 @@ def _parsed(docs: DataFrame, window: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("_key"), *(pa.array(x, t) for x, (_, t) in zip(out, FIELDS, strict=True))], names=["_key", *names])
 
     checked = saved(joined.select("_key", "text", "phrases").mapInArrow(check, f"{OPEN}, {RESULT}"), "checked")
+    del joined
+    tidied(docs.sparkSession)
     waiting = checked.filter("text is not null")
     windows = waiting.select("_key", F.explode("open").alias("o")).select("_key", "o.*")
     least = windows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_key").alias("key"), "start")).alias("least")).filter("n > 1").select("high", "low", "least")
