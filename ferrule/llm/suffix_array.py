@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import keyed, saved
+from .common import keyed, saved, tidied
 from .repeats import minimisers, ragged
 
 SPANS = "array<struct<start: int, end: int, first_doc: long>>"
@@ -219,9 +219,12 @@ def deduplicated(docs: DataFrame, window: int, k: int, finish: Callable[[Text],
 
     joined = docs.join(_retained(docs, window, k), "_key", "left").select("_key", "text", "suffixes", *extra)
     texts = saved(joined.mapInArrow(cut, ", ".join(["_key long, text string", f"suffixes {SUFFIX_SQL}", result, *passed])), "texts")
+    del joined
+    tidied(docs.sparkSession)
     suffixes = texts.filter("text is not null").select("_key", F.explode("suffixes").alias("s")).select("_key", "s.*")
     order = ["after", "_key", "place"]
     matches = saved(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, k), MATCHES), "matches")
+    tidied(docs.sparkSession)
     unsettled = matches.filter("words is not null")
     several = unsettled.filter("not lead").select("gram").distinct()
     windows = saved(unsettled.join(several, "gram", "left_semi").mapInArrow(_unsettled(window), "one long, two long, _key long, start int"), "windows")
