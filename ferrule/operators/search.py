@@ -12,6 +12,15 @@ SCORES = {"exact": 1000, "key": 950, "prefix": 900, "contains": 800, "maker": 70
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
 
 
+#: How sure a state is, above and below unknown ones, and the collation in which part numbers come.
+STATES = {"published": 3, "validated": 2, "incomplete": 1, "processed": 0, "rejected": -1}
+LOCALE = "UNICODE"
+
+
+def state_rank(state: Column) -> Column:
+    return F.coalesce(*(F.when(state == k, F.lit(n)) for k, n in STATES.items()), F.lit(0))
+
+
 def clamp(limit: int | None, default: int = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> int:
     """The limit a caller gets: the default without one, at least 1, at most `most`."""
     return min(max(int(limit or default), 1), most)
@@ -77,13 +86,13 @@ def spec_hits(specs: DataFrame, query: str) -> DataFrame:
 
 
 def ranked(parts: DataFrame, query: str, limit: int | None = None, offset: int = 0, specs: DataFrame | None = None, state_rank: Column | None = None) -> DataFrame:
-    """The page of best matches: score, then state, then part number. Top-k per task, so nothing is sorted whole."""
+    """The page of best matches: score, then state, then part number in the order of its letters, not of its bytes. Top-k per task, so nothing is sorted whole."""
     rows = parts
     if specs is not None:
         rows = parts.join(spec_hits(specs, query), "part_id", "left")
     s = score(query, F.coalesce(F.col("spec_hits"), F.lit(0)) if specs is not None else None)
     rows = rows.withColumn("_s", s).filter("_s.score > 0").withColumn("_state", state_rank if state_rank is not None else F.lit(0))
-    out = rows.select(*parts.columns, "_s.score", "_s.match", "_state").orderBy(F.desc("score"), F.desc("_state"), F.asc("part_number"))
+    out = rows.select(*parts.columns, "_s.score", "_s.match", "_state").orderBy(F.desc("score"), F.desc("_state"), F.collate("part_number", LOCALE).asc(), F.asc("part_number"))
     return (out.offset(offset) if offset else out).limit(clamp(limit)).drop("_state")
 
 

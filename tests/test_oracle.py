@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from ferrule.plans import acquisition, catalogue, evidence, oracle, pages, shown
+from ferrule.plans import acquisition, catalogue, evidence, identity, oracle, pages, shown
 
 SF = "/root/testdata/sf0.001"
-queries = lambda: catalogue.queries() | evidence.queries() | shown.queries() | acquisition.queries() | pages.queries()
-oracle_sql = lambda: oracle.oracle_sql() | evidence.oracle_sql() | shown.oracle_sql() | acquisition.oracle_sql() | pages.oracle_sql()
+queries = lambda: catalogue.queries() | evidence.queries() | shown.queries() | acquisition.queries() | pages.queries() | identity.queries()
+oracle_sql = lambda: oracle.oracle_sql() | evidence.oracle_sql() | shown.oracle_sql() | acquisition.oracle_sql() | pages.oracle_sql() | identity.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
