@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.urls import host
-from ..operators import classify, containment, discover
+from ..operators import classify, containment, crawl, discover, extract
 from ..operators.cache import Cache
 from ..operators.claims import Claims
 from ..sources.shared import checkpointed, shared_folder
@@ -134,6 +134,27 @@ def sitemap_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+#: Pages as five sites, each a tree in which page k links to 2k + 1 and 2k + 2, to itself, to another site and to a picture; every ninth page lies too deep.
+SITE_PATH = "case when {0} % 9 = 8 then '/c/x/y/z/w/v/' else '/c/' end || {0}"
+SITE_RULES = [("disallow", "/c/2"), ("allow", "/c/21"), ("disallow", "/c/x/y/z/w/v/1")]
+
+
+def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of five sites that a crawl reaches from their first pages, with the least number of steps."""
+    path = lambda k: F.expr(SITE_PATH.format(k))
+    p = table(spark, sf_dir, "pages").select("page_id", "html", F.expr("page_id div 5").alias("k"), F.concat(F.lit("https://s"), (F.col("page_id") % 5).cast("string"), F.lit(".example")).alias("site"))
+    anchors = [F.concat(F.lit('<a href="'), link, F.lit('">x</a>')) for link in (path("(2 * k + 1)"), F.concat("site", path("(2 * k + 2)")), path("k"), F.concat(F.lit("https://other.example"), path("(k + 1)")), F.lit("/c/a.png"))]
+    pages = p.select("page_id", F.concat("site", path("k")).alias("url"), F.concat(*anchors).alias("html"), "site")
+    edges = checkpointed(crawl.link_edges(pages, extract.links(pages, "page_id")).join(pages.select(F.col("url").alias("dst")), "dst", "left_semi"))
+    seeds = pages.filter("page_id < 5").select("url")
+    rules = pages.select(host(F.col("site")).alias("host")).distinct().crossJoin(F.broadcast(spark.createDataFrame(SITE_RULES, "kind string, path string")))
+    allowed = crawl.robots_allowed(pages.select("url"), rules, "url").filter("allowed")
+    edges = checkpointed(edges.join(allowed.select(F.col("url").alias("dst")), "dst", "left_semi"))
+    root = lambda seed: F.concat(F.regexp_extract(seed, "^(https://[^/]+)", 1), F.lit("/c"))
+    out = crawl.frontier(seeds, edges, None, checkpointed, lambda url, seed: crawl.in_scope(url, root(seed), 5))
+    return out.select("url", F.col("depth").cast("long").alias("depth"))
+
+
 RUNS, TARGET = 4, 3
 
 
@@ -156,7 +177,7 @@ def category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (numbers_in_documents, makers_in_documents, cached_classes, cache_metrics, queue_claims, sitemap_urls, sitemap_maps, category_runs)
+    own = (numbers_in_documents, makers_in_documents, cached_classes, cache_metrics, queue_claims, sitemap_urls, sitemap_maps, category_runs, site_crawl)
     return {f.__name__: f for f in own}
 
 
@@ -227,6 +248,10 @@ r(run, source, found, seen, n_new, n_known, n_rejected, n_error, n_budget) as (
     from (select r.run, r.source, r.found, t.key, t.n, case when t.key is null then null when list_contains(r.found, t.key) or t.p_partkey % 7 = 0 then 'known' when t.p_partkey % 11 = 0 then 'error' when t.p_size % 5 = 0 then 'rejected' else 'new' end as what
       from r left join items t on t.source = r.source and t.page = r.run + 1 where r.run < {RUNS}) x) y group by run, source)
 select run, source, run as page, seen, n_new, n_known, n_rejected, n_error, n_budget, seen = n_new + n_known + n_rejected + n_error + n_budget as balanced, run + 1 as next_page from r where run >= 1""",
+        "site_crawl": f"""with recursive rules(kind, path) as ({_values(SITE_RULES)}), p as (select page_id % 5 as h, page_id // 5 as k, {SITE_PATH.format('(page_id // 5)')} as pth from pages),
+ok as (select h, k, pth, coalesce((select max(length(path)) from rules where kind = 'allow' and starts_with(pth, path)), 0) >= coalesce((select max(length(path)) from rules where kind = 'disallow' and starts_with(pth, path)), 0) as allowed, len(string_split(pth, '/')) - 2 <= 5 as near from p),
+r(h, k, depth) as (select h, k, 0::bigint from ok where k = 0 union all select o.h, o.k, r.depth + 1 from r join ok o on o.h = r.h and o.k in (2 * r.k + 1, 2 * r.k + 2) and o.allowed and o.near)
+select 'https://s' || h || '.example' || pth as url, depth from r join ok using (h, k)""",
         "makers_in_documents": f"with {PARTS}, {NOTED}, d as (select doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as text from noted), "
         "m as (select manufacturer, min(part_id) as first_part, regexp_replace(lower(manufacturer), '[^a-z0-9]', '', 'g') as bare from p group by 1) "
         "select doc_id, manufacturer, first_part from d join m on contains(d.text, bare)",

@@ -223,8 +223,18 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("depth", long("depth"))
 
 
+#: Lines of a data sheet behind a document, by the part of that number.
+SHEET_LINES = "chr(10) || p_name || ': ' || p_size || ' mm' || chr(10) || 'Price class: none' || chr(10) || 'a b c d e f ' || p_brand || ': 7' || chr(10) || '**Rated ' || p_name || '**' || chr(10) || p_size || case p_size % 4 when 0 then ' bar,' when 1 then ' and more' when 2 then '.5' else ' kg' end || chr(10) || case p_partkey % 3 when 0 then 'Mass' when 1 then 'Mass 2' else '- Notes:' end || chr(10) || p_partkey || ' g' || chr(10) || 'rated ' || p_name || chr(10) || p_size || ' kg'"
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: documents, with the lines of a data sheet behind those whose number is a part's."""
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(SHEET_LINES.replace("chr(10)", "'\\n'")).alias("sheet"))
+    return table(spark, sf_dir, "documents").join(lines, "doc_id", "left").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.coalesce("sheet", F.lit(""))).alias("text"))
+
+
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract.colon_pairs(extract.lines(table(spark, sf_dir, "documents"), "doc_id"))
+    out = extract.colon_pairs(extract.lines(_sheets(spark, sf_dir), "doc_id"))
     return out.select(F.col("id").alias("doc_id"), long("line_no").alias("line_no"), "attribute", "value")
 
 
@@ -236,7 +246,7 @@ def pipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.bare_lines(table(spark, sf_dir, "documents"), "doc_id")
+    rows = extract.bare_lines(_sheets(spark, sf_dir), "doc_id")
     out = extract.adjacent_pairs(rows)
     return out.select(F.col("id").alias("doc_id"), long("line_no").alias("line_no"), "attribute", "value")
 

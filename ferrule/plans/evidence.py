@@ -48,6 +48,23 @@ FRAGMENTS = (
 )
 
 
+#: Inputs of the rules below, in the SQL that Spark and DuckDB share: fields vary apart from each other, so that rules meet all their mixtures.
+MENTION = "'see ' || case part_id % 8 when 0 then ' ' when 1 then 'x' when 2 then '-' when 3 then '(' when 4 then '7' when 5 then '' when 6 then '/' else 'é' end || case when p_size % 2 = 0 then lower(p_brand) else p_brand end || '-' || part_id || case p_size % 7 when 0 then ',' when 1 then 'z' when 2 then ' ' when 3 then '-1' when 4 then '9' when 5 then '' else '.' end || case when p_size % 9 = 0 then ' or ' || p_brand || '-' || part_id else '' end"
+ROLE_INPUT = {
+    "label": "case part_id % 9 when 0 then ' Part  Number ' when 1 then 'MPN' when 2 then 'Revision' when 3 then 'drawing no' when 4 then 'Device' when 5 then 'component' when 6 then 'mpn code' when 7 then null else 'Note' end",
+    "value": "case p_size % 7 when 0 then part_id || ' mV' when 1 then '1.5kohm' when 2 then 'AB' || part_id when 3 then '24V' when 4 then '24 V x' when 5 then 'v 5' else '' end",
+    "context": "case part_id % 5 when 0 then 'see the Graph' when 1 then 'Figure 3' when 2 then null else 'text' end",
+}
+SPEC_INPUT = {
+    "attribute": "case part_id % 10 when 0 then '' when 1 then 'Price list' when 2 then repeat('long ', 12) when 3 then 'Protection class' when 4 then 'Supply  voltage' when 5 then 'Rated current (max)' when 6 then 'overvoltages' when 7 then 'Remark' when 8 then null else repeat('x', 101) end",
+    "value": "case p_size % 8 when 0 then p_size || ' V' when 1 then '<' || p_size || ',5mm' when 2 then 'IP67' when 3 then '' when 4 then 'order 5 V' when 5 then p_size || ' vx' when 6 then '+-' || p_size || ' mm/s' else '5' end",
+}
+LINK_INPUT = {
+    "link": "case part_id % 9 when 0 then 'HTTPS://a.example/x' when 1 then '//b.example/y' when 2 then '/z?q=1' when 3 then 'mailto:x@y' when 4 then '#top' when 5 then '' when 6 then '?p=2' when 7 then 'a/b:c' else 'img/i.png' end",
+    "base": "case p_size % 5 when 0 then 'http://h.example' when 1 then 'https://h.example/p/' when 2 then 'https://h.example/p/page.html?x=/y/z' when 3 then 'https://h.example/page#a/b' else 'https://h.example:8443/' || part_id || '/q/' end",
+}
+
+
 def markdown_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sheet(spark, sf_dir, SHEET).select("part_id", t.markdown_cleaned(F.col("text")).alias("text"))
 
@@ -133,9 +150,7 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir)
-    document = F.when(F.col("part_id") % 3 == 0, F.concat(F.lit("see "), F.lower("part_number"), F.lit(", ok"))).when(F.col("part_id") % 3 == 1, F.concat(F.lit("x"), F.col("part_number"))).otherwise(F.concat(F.col("part_number"), F.lit("7")))
-    return p.select("part_id", records.exact_token(document, F.col("part_number")).alias("found"))
+    return _part(spark, sf_dir).select("part_id", records.exact_token(F.expr(MENTION), F.expr("p_brand || '-' || part_id")).alias("found"))
 
 
 def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,11 +213,9 @@ def nearest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifier_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("part_id") % 7
-    label = F.when(n <= 1, " Part  Number ").when(n == 2, "Revision").when(n == 5, "Device").otherwise("Note")
-    value = F.when(n == 3, F.concat(F.col("part_id").cast("string"), F.lit(" mV"))).otherwise(F.concat(F.lit("AB"), F.col("part_id").cast("string")))
-    r = discovery.identifier_role(label, value, F.when(n == 4, "see the graph").otherwise("text"), n == 0, PART_LABELS, "revision|drawing", "graph|figure")
-    return parts(spark, sf_dir).select("part_id", r["role"].alias("role"), r["demonstrated"].alias("demonstrated"), r["reason"].alias("reason"))
+    label, value, context = (F.expr(ROLE_INPUT[c]) for c in ("label", "value", "context"))
+    r = discovery.identifier_role(label, value, context, F.expr("p_size % 3 = 0"), PART_LABELS, "revision|drawing", "graph|figure")
+    return _part(spark, sf_dir).select("part_id", r["role"].alias("role"), r["demonstrated"].alias("demonstrated"), r["reason"].alias("reason"))
 
 
 def spec_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +265,7 @@ def first_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technical_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("part_id") % 6
-    attribute = F.when(n == 0, "").when(n == 1, "Price list").when(n == 2, F.repeat(F.lit("long "), F.lit(12))).when(n == 3, "Protection class").when(n == 4, "Supply  voltage").otherwise("Remark")
-    r = discovery.technical_spec(attribute, F.concat(F.col("p_size").cast("string"), F.lit(" V")), "price|order", ["protection class"], "voltage|current", ["v", "mm"])
+    r = discovery.technical_spec(F.expr(SPEC_INPUT["attribute"]), F.expr(SPEC_INPUT["value"]), "price|order", ["protection class"], "voltage|current", ["v", "mm"])
     return _part(spark, sf_dir).select("part_id", r["ok"].alias("ok"), r["reason"].alias("reason"))
 
 
@@ -264,9 +275,7 @@ def domain_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("part_id") % 5
-    link = F.when(n == 0, "https://a.example/x").when(n == 1, "//b.example/y").when(n == 2, "/z?q=1").when(n == 3, "mailto:x@y").otherwise("img/i.png")
-    return parts(spark, sf_dir).select("part_id", urls.resolved(link, F.concat(F.lit("https://h.example/p"), F.col("part_id").cast("string"), F.lit("/page.html"))).alias("url"))
+    return _part(spark, sf_dir).select("part_id", urls.resolved(F.expr(LINK_INPUT["link"]), F.expr(LINK_INPUT["base"])).alias("url"))
 
 
 def djb2_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +313,11 @@ def attached_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gateway.known_part(parts(spark, sf_dir), "brand#13 / 0").select("part_id", "part_number")
+    """The part that each line of an order asks for, by a number written in its own way; every seventh number is of no part."""
+    asked = F.expr("case when l_partkey % 7 = 0 then '?' else '' end || case l_linenumber % 3 when 0 then lower(p_brand) when 1 then p_brand else upper(p_brand) end || '-' || l_partkey")
+    lines = table(spark, sf_dir, "lineitem").join(_part(spark, sf_dir), F.col("l_partkey") == F.col("part_id"))
+    found = gateway.known_parts(lines.select(asked.alias("asked")), parts(spark, sf_dir), "asked")
+    return found.groupBy("part_id").agg(F.countDistinct("asked").alias("n_writings"), F.count("*").alias("n_lines"))
 
 
 def use_case_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "part_sources": "with x as (select l_partkey as part_id, case when l_suppkey % 4 <> 0 then l_suppkey end as source_id, case when l_suppkey % 4 <> 0 and l_suppkey % 2 = 0 then lower(replace(s_name, '#', '-')) else 'https://x.example/' || (l_suppkey % 7) end as url, "
         "case when l_returnflag = 'R' then 0 else 1 end as o, l_orderkey * 10 + l_linenumber as ord from lineitem left join supplier on s_suppkey = l_suppkey), "
         "k as (select *, row_number() over (partition by part_id, coalesce(source_id::varchar, url) order by o, ord) as n from x) select part_id, source_id, url, case when o = 0 then 'link' else 'evidence' end as origin from k where n = 1",
-        "exact_tokens": "select p_partkey as part_id, p_partkey % 3 = 0 as found from part",
+        "exact_tokens": f"with q as (select *, p_partkey as part_id from part) select part_id, regexp_matches(lower({MENTION}), '(^|[^a-z0-9])' || lower(p_brand || '-' || part_id) || '($|[^a-z0-9])') as found from q",
         "html_table_rows": "select p_partkey as part_id, 0::bigint as row_no, 'Size' as attribute, p_size || ' mm' as value from part union all select p_partkey, 2, 'Brand & make', p_brand from part",
         "compact_labels": "select p_partkey as part_id, 'Bore diameter' as attribute, p_size || ' mm' as value from part union all select p_partkey, 'Stroke', p_size || ',5 cm' from part",
         "value_first": "select p_partkey as part_id, 'Piston' as attribute, p_size || ' mm' as value from part union all select p_partkey, 'Rod thread', 'M10x1.5' from part union all select p_partkey, 'Port and', 'G 1/8' from part",
@@ -383,8 +396,11 @@ def oracle_sql() -> dict[str, str]:
         "y as (select *, dense_rank() over (partition by doc order by g) - 1 as tab from z where size >= 2) select distinct d.doc, d.band, d.cell::bigint as cell, y.tab as \"table\" from d join y on y.doc = d.doc and y.band = d.band",
         "fragment_boxes": f"with {FRAGMENTS} select doc, min(x)::double as x0, min(y)::double as y0, max(x + w)::double as x1, max(y + 6)::double as y1 from f group by 1",
         "nearest_columns": f"with {FRAGMENTS}, c(column_id, cx) as (values (0, 8.0), (1, 24.0), (2, 60.0)) select doc, idx as value_id, arg_min(column_id, abs(x + w - cx) * 10 + column_id)::bigint as column_id from f cross join c group by 1, 2",
-        "identifier_roles": "select p_partkey as part_id, ['PART_NUMBER', 'IDENTIFIER_CANDIDATE', 'DOCUMENT_REFERENCE', 'ELECTRICAL_VALUE', 'DOCUMENT_REFERENCE', 'IDENTIFIER_CANDIDATE', 'UNKNOWN'][p_partkey % 7 + 1] as role, p_partkey % 7 = 0 as demonstrated, "
-        "['explicit_part_number_label', 'part_label_not_structurally_bound', 'negative_identifier_label', 'value_shape_not_identifier', 'excluded_document_context', 'contextual_label_requires_corroboration', 'insufficient_semantic_evidence'][p_partkey % 7 + 1] as reason from part",
+        "identifier_roles": f"with q as (select *, p_partkey as part_id from part), n as (select part_id, p_size % 3 = 0 as bound, {', '.join(f"lower(trim(regexp_replace(coalesce({x}, ''), '[ ]+', ' ', 'g'))) as {c}" for c, x in ROLE_INPUT.items())} from q), "
+        "r as (select part_id, case when label in ('part number', 'mpn') then case when bound then 1 else 2 end when regexp_matches(label, 'revision|drawing') then 3 when regexp_matches(value, '^[0-9]+([.][0-9]+)? *(v|mv|kv|a|ma|ua|hz|khz|mhz|ohm|kohm|mohm|w|mw)$') then 4 "
+        "when regexp_matches(context, 'graph|figure') then 5 when label in ('device', 'component') then 6 else 7 end as k from n) "
+        "select part_id, ['PART_NUMBER', 'IDENTIFIER_CANDIDATE', 'DOCUMENT_REFERENCE', 'ELECTRICAL_VALUE', 'DOCUMENT_REFERENCE', 'IDENTIFIER_CANDIDATE', 'UNKNOWN'][k] as role, k = 1 as demonstrated, "
+        "['explicit_part_number_label', 'part_label_not_structurally_bound', 'negative_identifier_label', 'value_shape_not_identifier', 'excluded_document_context', 'contextual_label_requires_corroboration', 'insufficient_semantic_evidence'][k] as reason from r",
         "spec_gates": "with c as (select p_partkey as part_id, array_to_string(list_filter([case when p_partkey % 5 = 0 then 'empty original_value' end, case when p_partkey % 4 = 0 then 'missing evidence_text' end, case when p_partkey % 2 <> 0 and p_size - 3 < 1 then 'missing evidence_locator' end, "
         "case when p_partkey % 6 = 0 then 'technical_specification_role_not_demonstrated' end, case when p_partkey % 7 = 0 then 'non_technical_document_attribute' end, case when p_partkey % 7 <> 0 and p_partkey % 11 = 0 then 'graph_or_document_context' end], lambda x: x is not null), ',') as causes from part) "
         "select part_id, causes = '' as passes, causes from c",
@@ -396,9 +412,14 @@ def oracle_sql() -> dict[str, str]:
         "decision_states": "select p_partkey as part_id, case when p_partkey % 4 = 0 then 'replace' when p_partkey % 3 = 0 then 'review' when p_partkey % 5 = 0 then 'open' when p_partkey % 2 = 0 then 'eligible' else 'not_eligible' end as status from part",
         "score_rings": "select p_partkey as part_id, case when p_size % 9 <> 0 then floor((p_size % 7) * 100 / (p_size % 9) + 0.5)::bigint end as ring from part",
         "first_levels": "select p_partkey as part_id, case when p_size % 2 = 0 then p_size || '.0 V' when p_size % 3 <> 0 then p_size || ' V' end as shown from part",
-        "technical_specs": "select p_partkey as part_id, p_partkey % 6 in (3, 4) as ok, ['missing_attribute_or_value', 'non_technical_document_or_graph_context', 'attribute_too_long', 'demonstrated_qualitative_technical_attribute', 'technical_attribute_and_engineering_value', 'insufficient_technical_semantics'][p_partkey % 6 + 1] as reason from part",
+        "technical_specs": f"with q as (select *, p_partkey as part_id from part), n as (select part_id, lower(trim(regexp_replace(coalesce({SPEC_INPUT['attribute']}, ''), '[ ]+', ' ', 'g'))) as a, trim({SPEC_INPUT['value']}) as v from q), "
+        "r as (select part_id, case when a = '' or v = '' then 1 when regexp_matches(a, 'price|order') or regexp_matches(lower(v), 'price|order') then 2 when length(a) > 100 or len(string_split(a, ' ')) > 8 then 3 when a = 'protection class' then 4 "
+        "when regexp_matches(a, '(^|[^a-z])(voltage|current)($|[^a-z])') and regexp_matches(v, '(?i)[0-9]([.,][0-9]+)? *(v|mm)($|[ ,;/])') then 5 else 6 end as k from n) "
+        "select part_id, k in (4, 5) as ok, ['missing_attribute_or_value', 'non_technical_document_or_graph_context', 'attribute_too_long', 'demonstrated_qualitative_technical_attribute', 'technical_attribute_and_engineering_value', 'insufficient_technical_semantics'][k] as reason from r",
         "domain_members": f"with u as (select page_id, {HOST} as host from pages) select page_id, true as own, host = 'example.com' or ends_with(host, '.example.com') as example from u",
-        "resolved_links": "select p_partkey as part_id, case p_partkey % 5 when 0 then 'https://a.example/x' when 1 then 'https://b.example/y' when 2 then 'https://h.example/z?q=1' when 4 then 'https://h.example/p' || p_partkey || '/img/i.png' end as url from part",
+        "resolved_links": f"with q as (select *, p_partkey as part_id from part), n as (select part_id, {LINK_INPUT['link']} as link, {LINK_INPUT['base']} as base from q), b as (select *, regexp_extract(base, '^(https?://[^/?#]+)', 1) as origin, regexp_extract(base, '^(https?://[^?#]*/)', 1) as folder from n) "
+        "select part_id, case when regexp_matches(link, '(?i)^https?://') then link when starts_with(link, '//') then split_part(base, '//', 1) || link when starts_with(link, '/') then origin || link when regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') or starts_with(link, '#') then null "
+        "else case when folder in ('', 'http://', 'https://') then origin || '/' else folder end || link end as url from b",
         "djb2_hashes": f"with {PARTS} select part_id, list_reduce(list_transform(string_split(part_number, ''), lambda c: ascii(c)::bigint), lambda h, x: xor((h * 33) % 4294967296, x), 5381::bigint) as hash from p",
         "invalid_numbers": f"with {PARTS}, v as (select part_id, case part_id % 6 when 0 then 'VREF2' when 1 then 'IEC-60947' when 2 then '24V' when 3 then 'ABC' when 4 then '' else part_number end as v from p) "
         "select part_id, part_id % 6 < 4 as invalid, part_id % 6 = 2 as weak, part_id % 6 < 3 as identifier, regexp_replace(regexp_replace(v, '[A-Za-z]', 'A', 'g'), '[0-9]', 'N', 'g') as signature from v",
@@ -407,7 +428,8 @@ def oracle_sql() -> dict[str, str]:
         "image_urls": "select p_partkey as part_id, 0::bigint as image_no, 'jsonld' as method, 'https://h.example/ld' || p_partkey || '.jpg' as url from part union all select p_partkey, 1, 'og', 'https://h.example/' || p_partkey || '.jpg' from part union all select p_partkey, 2, 'html', '/a' || p_partkey || '.png' from part",
         "attached_images": "with x as (select l_partkey, l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_quantity as url, row_number() over (partition by l_partkey order by l_returnflag = 'R' desc, case when l_linestatus = 'F' then l_shipdate end desc nulls last, l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 desc, l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_quantity desc) as n from lineitem) "
         "select p_partkey as part_id, url as image_url from part left join x on l_partkey = p_partkey and n = 1",
-        "known_numbers": f"with {PARTS} select part_id, part_number from p where part_key = 'BRAND#130'",
+        "known_numbers": "with a as (select case when l_partkey % 7 = 0 then '?' else '' end || case l_linenumber % 3 when 0 then lower(p_brand) when 1 then p_brand else upper(p_brand) end || '-' || l_partkey as asked from lineitem join part on l_partkey = p_partkey) "
+        "select p_partkey as part_id, count(distinct asked) as n_writings, count(*) as n_lines from a join part on lower(asked) = lower(p_brand || '-' || p_partkey) group by 1",
         "use_case_reach": "with c(use_case, category) as (values ('pumps', 'SMALL'), ('pumps', 'LARGE'), ('signs', 'PROMO'), ('none', 'UNUSED')) select use_case, count(p_partkey) as n_parts from c left join part on p_type = category group by 1",
         "industrial_queries": "select p_partkey as part_id, case p_partkey % 4 when 0 then true when 2 then false when 1 then regexp_matches(p_name, 'widget|gear|bolt') else true end as industrial from part",
     }

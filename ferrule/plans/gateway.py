@@ -82,3 +82,9 @@ def use_cases_mode(use_cases: DataFrame, parts: DataFrame) -> DataFrame:
 def known_part(parts: DataFrame, number: str) -> DataFrame:
     """Parts whose number is the same in the form in which numbers are compared."""
     return parts.filter(F.col("part_key") == part_key(F.lit(number)))
+
+
+def known_parts(asked: DataFrame, parts: DataFrame, number_col: str) -> DataFrame:
+    """asked with part_id of the part with that number, whatever its case; of several parts the one with the least id. Unknown and null numbers go."""
+    first = parts.groupBy(F.lower("part_number").alias("_number")).agg(F.min("part_id").alias("part_id"))
+    return asked.join(first, F.lower(number_col) == F.col("_number")).drop("_number")

@@ -66,6 +66,10 @@ BARE_LINES = (
 )
 
 
+#: Documents with the lines of a data sheet behind them.
+SHEETS = f"sheets as (select doc_id, coalesce(text, '') || coalesce({q.SHEET_LINES}, '') as text from documents left join part on p_partkey = doc_id)"
+
+
 def _search(query: str) -> str:
     """sr: part_id, score, match of the ladder."""
     words, low = query.lower().split(), query.lower()
@@ -149,10 +153,10 @@ def oracle_sql() -> dict[str, str]:
         f"(case when pp[1] = 'en' then len(pp) - 1 else -1 end)::bigint as depth, regexp_replace(lower({PATH}), '/+$', '') as image_key from b",
         "robots_longest_match": f"with ru(kind, path) as ({_values(q.ROBOTS)}), u as (select page_id, case when {PATH} = '' then '/' else {PATH} end as pth from pages), "
         "h as (select page_id, max(length(path)) filter (kind = 'allow') as a, max(length(path)) filter (kind = 'disallow') as d from u join ru on starts_with(pth, path) group by 1) select u.page_id, coalesce(a, 0) >= coalesce(d, 0) as allowed from u left join h using (page_id)",
-        "kv_lines": f"with {LINES}, m as (select doc_id, line_no, trim(regexp_extract(line, '^(.{{2,55}}?)\\s*[:：]\\s*([^\\n:]{{1,45}})$', 1)) as attribute, trim(regexp_extract(line, '^(.{{2,55}}?)\\s*[:：]\\s*([^\\n:]{{1,45}})$', 2)) as value from l where length(line) <= 140) "
+        "kv_lines": f"with {SHEETS}, {LINES.replace('from documents', 'from sheets')}, m as (select doc_id, line_no, trim(regexp_extract(line, '^(.{{2,55}}?)\\s*[:：]\\s*([^\\n:]{{1,45}})$', 1)) as attribute, trim(regexp_extract(line, '^(.{{2,55}}?)\\s*[:：]\\s*([^\\n:]{{1,45}})$', 2)) as value from l where length(line) <= 140) "
         "select * from m where attribute <> '' and regexp_matches(value, '[0-9]') and len(string_split_regex(attribute, '\\s+')) <= 6",
         "pipe_lines": "select p_partkey as part_id, 0::bigint as line_no, 'size' as attribute, p_size || ' mm' as value from part union all select p_partkey, 2, p_name, p_brand from part",
-        "adjacent_lines": f"with {BARE_LINES}, nx as (select *, lead(line) over (partition by doc_id order by line_no) as value from l), "
+        "adjacent_lines": f"with {SHEETS}, {BARE_LINES.replace('from documents', 'from sheets')}, nx as (select *, lead(line) over (partition by doc_id order by line_no) as value from l), "
         "f as (select doc_id, line_no, trim(regexp_replace(line, '[:：-]\\s*$', '')) as attribute, trim(regexp_replace(value, '[,;]$', '')) as value from nx where value is not null and length(line) between 2 and 60 and len(string_split_regex(line, '\\s+')) <= 5 "
         f"and not regexp_matches(line, '[0-9]|[.!?]$') and not regexp_matches(line, '(?i)^(?:{starts})([^A-Za-z0-9_]|$)') and not regexp_matches(line, '(?i)^(?:{heads})$') and length(value) <= 60 and len(string_split_regex(value, '\\s+')) <= 3 and regexp_matches(value, '^[0-9]') and not regexp_matches(value, '[.!?]$') "
         f"and not regexp_matches(value, '(?i)(^|[^A-Za-z0-9_])(?:{prose})([^A-Za-z0-9_]|$)')), g as (select *, row_number() over (partition by doc_id, lower(attribute), lower(value) order by line_no) as k from f), "
