@@ -14,16 +14,20 @@ EXCLUSION = 80
 def occurrences(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, area, term, kind, weight, position, negated: where the terms of the rules stand in the texts.
 
-    terms: area, term, kind (include, exclude), weight. Every token of a text is a row with the few words from it on and
-    the three before it, and meets the terms that start with it: linear in the text, and no text is copied per term.
+    terms: area, term, kind (include, exclude), weight. Every token of a text that some term starts with is a row with the few
+    words from it on and the three before it, and meets those terms: linear in the text, and no text is copied per term. The
+    terms' first words are collected; they are part of the rules, not of the texts.
     """
     words = terms.select("area", "term", "kind", "weight", F.split(folded(F.col("term")), " ").alias("words")).withColumn("head", F.get("words", 0)).filter("head <> ''")
-    longest = words.agg(F.max(F.size("words"))).first()[0] or 1
+    found = words.agg(F.max(F.size("words")), F.collect_set("head")).first()
+    longest, heads = found[0] or 1, sorted(found[1])
     rows = texts.select(F.col(id_col).alias("id"), F.filter(F.split(folded(F.col(text_col)), " "), lambda t: t != "").alias("tokens")).filter(F.size("tokens") > 0)
     seen = lambda i: F.struct(
         i.alias("position"), F.get("tokens", i).alias("head"), F.slice("tokens", i + 1, longest).alias("following"), F.slice("tokens", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3)) + 1).alias("context")
     )
-    each = rows.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), seen)).alias("t")).select("id", "t.*")
+    # only the tokens that some term starts with become rows, with the few words around them
+    begins = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i).isin(heads))
+    each = rows.select("id", F.explode(F.transform(begins, seen)).alias("t")).select("id", "t.*")
     hits = each.join(words, "head").filter(F.slice("following", 1, F.size("words")) == F.col("words"))
     return hits.select("id", "area", "term", "kind", "weight", "position", negated(F.col("context"), F.size("context") - 1).alias("negated"))
 
