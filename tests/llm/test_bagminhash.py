@@ -104,33 +104,6 @@ def test_large_buckets_equal_brute_force(spark):
     assert len(set(got.values())) > 20
 
 
-def test_pairs_grow_with_the_rows(spark, monkeypatch):
-    """Near copies of one text with 19 places of three variants each, so that many copies share each edit: one class in the end."""
-    from ferrule.llm import bagminhash
-
-    made = []
-    for name in ("_sharing", "_starred"):
-        monkeypatch.setattr(bagminhash, name, lambda *a, f=getattr(bagminhash, name): made.append((out := f(*a)).count()) or out)
-    sizes = {}
-    for n in (151, 1201):
-        rng = random.Random(7)
-        base = [f"w{rng.randrange(2000)}" for _ in range(400)]
-        rows = []
-        for i in range(n):
-            words = list(base)
-            for place in range(10, 390, 20):
-                words[place] = f"v{place}x{rng.randrange(3)}"
-            rows.append((i, " ".join(words)))
-        made.clear()
-        got = {r.doc_id: r.class_id for r in classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-        sizes[n] = sum(made)
-        if n < 200:
-            assert got == brute(rows)
-        assert len(set(got.values())) == 1 or n < 200
-    # each of the parts that a text is indexed for meets up to sixteen others in each of two turns
-    assert sizes[1201] <= 100 * 1201, sizes
-
-
 def test_differences_tell_which_pairs_are_similar():
     rng = np.random.default_rng(3)
     grams = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
