@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,21 +35,26 @@ def identifier_key(c: Column) -> Column:
 
 
 def _number(x: float | int) -> str:
-    """A number as JavaScript writes it."""
-    if isinstance(x, int) and abs(x) < 1 << 53:
-        return str(x)
-    x = float(x)
+    """A number as JavaScript reads and writes it: as a double, in the fewest digits, with an exponent from 1e21 and below 1e-6."""
+    try:
+        x = float(x)
+    except OverflowError:
+        return "null"
     if not math.isfinite(x):
         return "null"
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    digits, _, exponent = repr(x).partition("e")
-    if not exponent:
-        return digits
-    n = int(exponent)
-    if -7 <= n < 0:
-        return format(x, f".{len(digits.replace('-', '').replace('.', '')) - 1 - n}f")
-    return f"{digits.removesuffix('.0')}e{n:+d}"
+    sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+    text, point = "".join(map(str, digits)), len(digits) + exponent
+    if text == "0":
+        return "0"
+    if len(text) <= point <= 21:
+        out = text.ljust(point, "0")
+    elif 0 < point <= 21:
+        out = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        out = f"0.{'0' * -point}{text}"
+    else:
+        out = f"{text[0]}{'.' * (len(text) > 1)}{text[1:]}e{point - 1:+d}"
+    return "-" * sign + out
 
 
 def _ordered(keys: list[str]) -> list[str]:

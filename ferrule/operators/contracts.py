@@ -17,10 +17,10 @@ GRAMMAR = (("grammar_id", "grammar_id_missing"), ("grammar_version", "grammar_ve
 STRENGTH = ("grammar_validated", "literal_occurrence")
 
 SEGMENT = (
-    "segment_id string, token string, validity string, semantics string, evidence_class string, document_id string, document_edition string, page string, evidence_text string, "
-    "grammar_id string, grammar_version string, rule_id string, supporting_documents array<struct<document_id: string, edition: string>>"
+    "segment_id: string, token: string, validity: string, semantics: string, evidence_class: string, document_id: string, document_edition: string, page: string, evidence_text: string, "
+    "grammar_id: string, grammar_version: string, rule_id: string, supporting_documents: array<struct<document_id: string, edition: string>>"
 )
-CROSS_RULES = "evaluation_status string, reason string, results array<struct<rule_id: string, status: string>>"
+CROSS_RULES = "evaluation_status: string, reason: string, results: array<struct<rule_id: string, status: string>>"
 
 _NONE = "array<string>"
 
