@@ -34,7 +34,7 @@ def value_first_pairs(docs: DataFrame, id_col: str, text_col: str = "text") -> D
     part = lambda i: F.coalesce(*(F.when(F.col("kind") == j, F.regexp_extract("hit", p, i)) for j, p in enumerate((measure, metric, pipe))))
     unit = F.lower(part(2))
     value = F.when(F.col("kind") == 0, F.concat_ws(" ", part(1), unit)).otherwise(F.regexp_replace(part(1), r"\s+", " "))
-    out = rows.filter((F.col("kind") > 0) | unit.isin(*UNITS)).select("id", (F.col("kind") * 100_000 + F.col("n")).alias("line_no"), F.trim(part(3)).alias("attribute"), value.alias("value"))
+    out = rows.filter((F.col("kind") > 0) | unit.isin(*UNITS)).select("id", (F.shiftleft(F.col("kind").cast("long"), 32) + F.col("n")).alias("line_no"), F.trim(part(3)).alias("attribute"), value.alias("value"))
     out = out.filter(F.length("attribute").between(2, 50) & ~F.lower("attribute").isin(*TRAILING))
     return first_of(out, ["id", F.lower("attribute"), F.lower("value")], "line_no")
 

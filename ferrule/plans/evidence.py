@@ -65,6 +65,24 @@ LINK_INPUT = {
 }
 
 
+MIXED_LINES = (
+    "case p_size % 5 when 0 then 'Size: ' || p_size || ' mm' when 1 then 'Size   ' || p_size when 2 then 'Compare' when 3 then p_size || ',5' else 'Rated ' || p_name end || chr(10) || "
+    "case part_id % 4 when 0 then '12' when 1 then 'Brand name   ' || p_brand when 2 then ' share ' else p_brand || ' : ' || p_size end || chr(10) || chr(10) || "
+    "case part_id % 3 when 0 then repeat('long ', 40) || p_size when 1 then p_size || ' kg' else 'no pair here' end || chr(10) || "
+    "case p_size % 3 when 0 then 'Next' when 1 then part_id || ' V' else 'a: b' end || chr(10) || case part_id % 7 when 0 then 'Print' when 1 then '9' else 'tail: x: ' || p_size end"
+)
+NUMBER_INPUT = (
+    "case part_id % 7 when 0 then '' when 1 then ' ' when 2 then '-' when 3 then '+' when 4 then 'MIL_' when 5 then 'vref' else 'AB' end || "
+    "case p_size % 6 when 0 then '' || p_size when 1 then p_size || '.5' when 2 then 'iso' || p_size when 3 then '' when 4 then p_size || ',25' else 'β' || p_size end || case part_id % 9 when 0 then 'V' when 1 then ' mm' when 2 then 'kohm' when 3 then '%' when 4 then '/7' when 5 then ' x' else '' end"
+)
+HTML_TAG = "case p_size % 2 when 0 then 'th' else 'td' end"
+#: Cells as they are seen; the first and the last three are a row each, the first and the last but one a definition.
+HTML_CELLS = (
+    "case part_id % 5 when 0 then 'Size' when 1 then '' when 2 then 'Brand &amp; make' when 3 then '<i>Mass</i>' else 'Link' end", "case p_size % 4 when 0 then p_size || ' mm' when 1 then ' ' when 2 then 'https://x.example/' else '<b>' || p_size || '</b>&nbsp;kg' end",
+    "case part_id % 3 when 0 then p_brand when 1 then '' else '-' end", "case p_size % 3 when 0 then 'alone' else '' end", "case part_id % 4 when 0 then '' when 1 then 'logo.png' when 2 then '![a](b)' else p_name end",
+)
+
+
 def markdown_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sheet(spark, sf_dir, SHEET).select("part_id", t.markdown_cleaned(F.col("text")).alias("text"))
 
@@ -154,7 +172,7 @@ def exact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _sheet(spark, sf_dir, "concat('<table><tr><th>Size</th><td>', p_size, '</td><td>mm</td></tr><tr><td>alone</td></tr><tr><td>Link</td><td>https://x.example/</td></tr></table><dl><dt>Brand &amp; make</dt> <dd><b>', p_brand, '</b></dd></dl>')")
+    pages = _sheet(spark, sf_dir, f"concat('<table><tr>', {', '.join(f"'<' || {HTML_TAG} || ' x=1>' || {c} || '</' || {HTML_TAG} || '>'" for c in HTML_CELLS[:3])}, '</tr><TR class=a>', {', '.join(f"'<td>' || {c} || '</td>'" for c in HTML_CELLS[3:])}, '</TR></table><dl><dt>', {HTML_CELLS[0]}, '</dt> <dd><b>', {HTML_CELLS[4]}, '</b></dd></dl>')")
     return extract.html_rows(pages, "part_id", "text").select(F.col("id").alias("part_id"), long("row_no").alias("row_no"), "attribute", "value")
 
 
@@ -169,12 +187,12 @@ def value_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spaced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.lines(_sheet(spark, sf_dir, "concat('Size: ', p_size, ' mm', chr(10), 'Brand name   ', p_brand, chr(10), 'no pair here')"), "part_id")
+    rows = extract.lines(_sheet(spark, sf_dir, MIXED_LINES), "part_id")
     return readers.spaced_pairs(rows).select(F.col("id").alias("part_id"), long("line_no").alias("line_no"), "attribute", "value")
 
 
 def next_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.lines(_sheet(spark, sf_dir, "concat('Operating size', chr(10), 'Print', chr(10), p_size, ' mm', chr(10), '5', chr(10), 'tail')"), "part_id")
+    rows = extract.lines(_sheet(spark, sf_dir, MIXED_LINES), "part_id")
     return readers.next_line_pairs(rows).select(F.col("id").alias("part_id"), long("line_no").alias("line_no"), "attribute", "value")
 
 
@@ -283,9 +301,8 @@ def djb2_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invalid_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("part_id") % 6
-    value = F.when(n == 0, "VREF2").when(n == 1, "IEC-60947").when(n == 2, "24V").when(n == 3, "ABC").when(n == 4, "").otherwise(F.col("part_number"))
-    return parts(spark, sf_dir).select("part_id", discovery.invalid_part_number(value).alias("invalid"), t.is_weak_reference(value).alias("weak"), t.is_unicode_identifier(value).alias("identifier"), t.unicode_signature(value).alias("signature"))
+    value = F.expr(NUMBER_INPUT)
+    return _part(spark, sf_dir).select("part_id", discovery.invalid_part_number(value).alias("invalid"), t.is_weak_reference(value).alias("weak"), t.is_unicode_identifier(value).alias("identifier"), t.unicode_signature(value).alias("signature"))
 
 
 def notations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +361,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+COLON = r"^(.{2,120}?)\s*[:：]\s*(.{1,150})$"
+GAPPED = r"^([A-Za-z][A-Za-z0-9À-ÿ()/,.\-\s]{2,110}?)\s{2,}(.{1,150})$"
+
+
+def _mixed_lines() -> str:
+    return f"q as (select *, p_partkey as part_id from part), l as (select part_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from (select part_id, list_filter(list_transform(string_split({MIXED_LINES}, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from q))"
+
+
 def oracle_sql() -> dict[str, str]:
     from .oracle import HOST, PARTS, SPECS
 
@@ -381,11 +406,21 @@ def oracle_sql() -> dict[str, str]:
         "case when l_returnflag = 'R' then 0 else 1 end as o, l_orderkey * 10 + l_linenumber as ord from lineitem left join supplier on s_suppkey = l_suppkey), "
         "k as (select *, row_number() over (partition by part_id, coalesce(source_id::varchar, url) order by o, ord) as n from x) select part_id, source_id, url, case when o = 0 then 'link' else 'evidence' end as origin from k where n = 1",
         "exact_tokens": f"with q as (select *, p_partkey as part_id from part) select part_id, regexp_matches(lower({MENTION}), '(^|[^a-z0-9])' || lower(p_brand || '-' || part_id) || '($|[^a-z0-9])') as found from q",
-        "html_table_rows": "select p_partkey as part_id, 0::bigint as row_no, 'Size' as attribute, p_size || ' mm' as value from part union all select p_partkey, 2, 'Brand & make', p_brand from part",
+        "html_table_rows": "with q as (select *, p_partkey as part_id from part), "
+        + f"c as (select part_id, {', '.join(f"trim(regexp_replace(replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), ' +', ' ', 'g')) as c{i}" for i, x in enumerate(HTML_CELLS))} from q), "
+        "r as (select *, list_filter([c0, c1, c2], lambda x: x <> '') as one, list_filter([c3, c4], lambda x: x <> '') as two from c), "
+        "a as (select part_id, list_filter([one, two], lambda x: len(x) >= 2) as rows, c0, c4 from r), "
+        "k as (select part_id, unnest(list_append(list_transform(rows, lambda x: struct_pack(attribute := x[1], value := array_to_string(x[2:], ' '))), struct_pack(attribute := c0, value := c4))) as p, "
+        "generate_subscripts(list_append(list_transform(rows, lambda x: 1), 1), 1) - 1 as row_no from a) "
+        f"select part_id, row_no, p.attribute as attribute, p.value as value from k where p.attribute <> '' and p.value <> '' and not regexp_matches(p.attribute || ' ' || p.value, '{extract.UNSAFE}') and lower(p.value) not in ({', '.join(repr(x) for x in extract.NOTHING)})",
         "compact_labels": "select p_partkey as part_id, 'Bore diameter' as attribute, p_size || ' mm' as value from part union all select p_partkey, 'Stroke', p_size || ',5 cm' from part",
         "value_first": "select p_partkey as part_id, 'Piston' as attribute, p_size || ' mm' as value from part union all select p_partkey, 'Rod thread', 'M10x1.5' from part union all select p_partkey, 'Port and', 'G 1/8' from part",
-        "spaced_lines": "select p_partkey as part_id, 0::bigint as line_no, 'Size' as attribute, p_size || ' mm' as value from part union all select p_partkey, 1, 'Brand name', p_brand from part",
-        "next_lines": "select p_partkey as part_id, 0::bigint as line_no, 'Operating size' as attribute, p_size || ' mm' as value from part",
+        "spaced_lines": f"with {_mixed_lines()} select part_id, line_no, trim(case when regexp_matches(line, '{COLON}') then regexp_extract(line, '{COLON}', 1) else regexp_extract(line, '{GAPPED}', 1) end) as attribute, "
+        f"trim(case when regexp_matches(line, '{COLON}') then regexp_extract(line, '{COLON}', 2) else regexp_extract(line, '{GAPPED}', 2) end) as value from l where length(line) <= 260 and (regexp_matches(line, '{COLON}') or regexp_matches(line, '{GAPPED}'))",
+        "next_lines": f"with {_mixed_lines()}, n as (select *, lower(line) in ({', '.join(repr(x) for x in readers.NOISE)}) or length(line) <= 2 as noise, length(line) > 180 as long, regexp_matches(line, '[0-9]') as digit from l), "
+        "w as (select *, " + ", ".join(f"lead({c}, {i}) over v as {c}{i}" for i in (1, 2, 3) for c in ("line", "noise", "long", "digit")) + " from n window v as (partition by part_id order by line_no)), "
+        "u as (select *, case when not noise1 and not long1 and digit1 then line1 when not noise1 and long1 then null when not noise2 and not long2 and digit2 then line2 when not noise2 and long2 then null when not noise3 and not long3 and digit3 then line3 end as value from w) "
+        "select part_id, line_no, line as attribute, value from u where value is not null and length(line) between 2 and 120 and not noise and regexp_matches(line, '[A-Za-zÀ-ÿ]') and not regexp_matches(line, '^[0-9+\\-.,%\\s]+$')",
         "type_codes": "select p_partkey as part_id, (100000 + p_partkey)::varchar as part_number, 'DSNU-' || p_size as type_code from part union all select p_partkey, (300000 + p_partkey)::varchar, 'DSNU-' || p_size || '-P' from part",
         "section_rows": "with x as (select l_orderkey, l_linenumber, min(l_suppkey) as s from lineitem group by 1, 2), k as (select *, last_value(case when l_linenumber % 3 = 1 then 'S' || s end ignore nulls) over (partition by l_orderkey order by l_linenumber) as section from x) "
         "select l_orderkey as order_id, l_linenumber as row_no, section, s::varchar as value from k where l_linenumber % 3 <> 1",
@@ -421,8 +456,10 @@ def oracle_sql() -> dict[str, str]:
         "select part_id, case when regexp_matches(link, '(?i)^https?://') then link when starts_with(link, '//') then split_part(base, '//', 1) || link when starts_with(link, '/') then origin || link when regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') or starts_with(link, '#') then null "
         "else case when folder in ('', 'http://', 'https://') then origin || '/' else folder end || link end as url from b",
         "djb2_hashes": f"with {PARTS} select part_id, list_reduce(list_transform(string_split(part_number, ''), lambda c: ascii(c)::bigint), lambda h, x: xor((h * 33) % 4294967296, x), 5381::bigint) as hash from p",
-        "invalid_numbers": f"with {PARTS}, v as (select part_id, case part_id % 6 when 0 then 'VREF2' when 1 then 'IEC-60947' when 2 then '24V' when 3 then 'ABC' when 4 then '' else part_number end as v from p) "
-        "select part_id, part_id % 6 < 4 as invalid, part_id % 6 = 2 as weak, part_id % 6 < 3 as identifier, regexp_replace(regexp_replace(v, '[A-Za-z]', 'A', 'g'), '[0-9]', 'N', 'g') as signature from v",
+        "invalid_numbers": f"with q as (select *, p_partkey as part_id from part), v as (select part_id, {NUMBER_INPUT} as raw, trim({NUMBER_INPUT}) as v from q) "
+        "select part_id, v <> '' and (not regexp_matches(v, '[0-9]') or regexp_matches(v, '(?i)^VREF[0-9]*$') or regexp_matches(v, '(?i)^(JEP|JESD|IEC|ISO|MIL)[-_]?[0-9]') or regexp_matches(v, '(?i)^[0-9]+([.][0-9]+)?(V|MV|KV|A|MA|HZ|KHZ|MHZ|W|MW|OHM|KOHM)$')) as invalid, "
+        "regexp_matches(v, '(?i)^[-+]?[0-9]+([.,][0-9]+)? *(mm|cm|m|v|a|ma|w|kw|bar|mpa|psi|hz|kg|g|nm|n|rpm|°c|°f|%)?$') as weak, "
+        "length(v) between 2 and 40 and regexp_matches(v, '^[\\pL\\pN][\\pL\\pN/_.-]*$') and regexp_matches(v, '[0-9]') as identifier, regexp_replace(regexp_replace(raw, '\\pL', 'A', 'g'), '[0-9]', 'N', 'g') as signature from v",
         "notations": "select p_partkey as part_id, 'Ø' || p_size || ' × ' || p_size || ' × 3 µm' as shown from part",
         "ordering_parts": "with x as (select l_orderkey as doc, l_linenumber // 2 as row, 'X-' || (l_suppkey % 3) as token from lineitem), r as (select doc, row, count(distinct token) as n, min(token) as token from x group by 1, 2) select doc, min(row)::bigint as row, token from r where n = 1 group by doc, token",
         "image_urls": "select p_partkey as part_id, 0::bigint as image_no, 'jsonld' as method, 'https://h.example/ld' || p_partkey || '.jpg' as url from part union all select p_partkey, 1, 'og', 'https://h.example/' || p_partkey || '.jpg' from part union all select p_partkey, 2, 'html', '/a' || p_partkey || '.png' from part",
