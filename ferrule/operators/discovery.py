@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import is_part_number_query
 from ..functions.text import alnum_key, part_key, text, trimmed
 from ..functions.urls import base_token, host, in_domain
 
@@ -17,6 +18,45 @@ STRUCTURAL = r"(?<![A-Za-z0-9_])([A-Z]{1,4}-?[0-9][A-Z0-9\-]{1,18})(?![A-Za-z0-9
 LABELLED = r"(?i)(?<![A-Za-z0-9_])(?:part\s*(?:number|no\.?|#)|p/n|pn|model\s*(?:number|no\.?)?|mpn|order(?:ing)?\s*(?:number|no\.?|code)|article\s*(?:number|no\.?))\s*[:：]\s*([A-Za-z0-9][A-Za-z0-9\-/.]{2,30})"
 NO_PART = r"(?i)^VREF[0-9]*$|^(?:JEP|JESD|IEC|ISO|MIL)[-_]?[0-9]|^[0-9]+(?:\.[0-9]+)?(?:V|MV|KV|A|MA|HZ|KHZ|MHZ|W|MW|OHM|KOHM)$"
 
+#: What pages about a company say, what pages of products say, and what catalogues say.
+CORPORATE_HARD = (
+    r"(?i)(?:investor relations|investors?|financials?|earnings?|annual report|quarterly report|shareholders?|stock price|press release|newsroom|businesswire|headquarters|company profile|company size|specialties|public company|remote workstation|vpn|careers?|jobs?|"
+    r"employee\s*(?:count|number|size)|energy corporation|refining company|refinery company)"
+)
+CORPORATE_PAGE = (
+    r"(?i)(?:about us|about the company|a global manufacturer|global manufacturer|company profile|corporate|headquarters|locations?|careers?|jobs?|investor relations|investors|financials?|earnings?|annual report|quarterly report|shareholders?|stock price|press release|newsroom|contact us|"
+    r"our company|who we are|public company|company size|specialties|industry\s*[:\-]|website\s*[:\-]|employee|employees|linkedin|businesswire|remote workstation|vpn|energy corporation|refining company|refinery company)"
+)
+PRODUCT_RESULT = (
+    r"(?i)(?:product|products|catalog|catalogue|datasheet|data sheet|part number|order number|model|series|pneumatic|electromechanical|electrical|automation|actuator|cylinder|valve|sensor|gripper|drive|motor|controller|plc|connector|fitting|regulator|filter|vacuum|component|refaccion|repuesto|componente)"
+)
+NUMBER_IN_RESULT = r"[A-Za-z]{1,6}[-_]?[0-9][A-Za-z0-9_-]{2,}"
+CATALOGUE = (
+    r"(?i)(?:catalog(?:ue)?|product\s+(?:catalog|listing|overview|selector)|product\s+family|product\s+line|products?\s*(?:&|and)\s*components|products?\s+(?:selection|portfolio|range|overview|listing)|manufacturer\s+(?:products?|catalog)|\bseries\b|\bfamily\b|\brange\b)"
+)
+
+
+def brand_tokens(query: Column, generic: list[str]) -> Column:
+    """The different runs of three letters or more that aren't generic, in order."""
+    return F.array_distinct(F.filter(F.split(text(query), "[^A-Za-z]+"), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(*generic)))
+
+
+def is_maker_query(query: Column, generic: list[str]) -> Column:
+    """One word with one name in it that isn't built like a part number."""
+    words = F.filter(F.split(text(query), r"(?U)\s+"), lambda t: t != "")
+    return (F.size(words) == 1) & (F.size(brand_tokens(query, generic)) == 1) & ~is_part_number_query(query)
+
+
+def is_product_result(title: Column, snippet: Column, url: Column) -> Column:
+    """Whether a result for a maker's name is about a product: nothing corporate in it, and a product's word or number."""
+    every = F.concat_ws(" ", text(title), text(snippet), text(url))
+    return ~every.rlike(CORPORATE_PAGE) & ~every.rlike(CORPORATE_HARD) & (every.rlike(PRODUCT_RESULT) | every.rlike(NUMBER_IN_RESULT))
+
+
+def is_catalogue(title: Column, snippet: Column, url: Column) -> Column:
+    """Whether a result is about a catalogue, family or range, which is no part by itself."""
+    return F.concat_ws(" ", text(title), text(snippet), text(url)).rlike(CATALOGUE)
+
 
 @dataclass(frozen=True)
 class Vocabulary:

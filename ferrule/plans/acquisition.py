@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.urls import host
-from ..operators import classify, containment, crawl, discover, extract
+from ..operators import classify, containment, crawl, discover, discovery, extract
 from ..operators.cache import Cache
 from ..operators.claims import Claims
 from ..sources.shared import checkpointed, shared_folder
@@ -155,6 +155,25 @@ def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", F.col("depth").cast("long").alias("depth"))
 
 
+GENERIC = ["sensor", "valve", "the", "drive"]
+ASKED = "case p_partkey % 9 when 0 then 'Festo' when 1 then p_brand when 2 then ' AB-12' || p_size when 3 then 'Sensor' when 4 then 'Festo valve' when 5 then 'festo-SMC' when 6 then 'Wago' || p_size when 7 then '' else 'the_Wago' end || case p_size % 4 when 0 then ' ' when 1 then '-x' when 2 then '7/8' else '' end"
+RESULT = {
+    "title": "case p_partkey % 9 when 0 then 'About us' when 1 then 'DSNU series cylinder' when 2 then 'Careers' when 3 then p_name when 4 then 'Product  overview' when 5 then null when 6 then 'AB-1' || p_size when 7 then 'Serieses and families' else 'Website: home' end",
+    "snippet": "case p_size % 7 when 0 then 'a range of valves' when 1 then 'employee count' when 2 then 'order number ' || p_partkey when 3 then '' when 4 then 'ranges' when 5 then 'products & components' else 'nothing' end",
+    "url": "case (p_partkey + p_size) % 5 when 0 then 'https://x.example/investors' when 1 then 'https://x.example/catalogue' when 2 then 'https://x.example/p/ab-12' when 3 then '' else 'https://x.example/a' end",
+}
+
+
+def maker_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.expr(ASKED)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), discovery.is_maker_query(asked, GENERIC).alias("maker_only"), F.array_join(F.array_sort(discovery.brand_tokens(asked, GENERIC)), ",").alias("names"))
+
+
+def result_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.expr(RESULT[c]) for c in ("title", "snippet", "url")]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), discovery.is_product_result(*fields).alias("is_product"), discovery.is_catalogue(*fields).alias("is_catalogue"))
+
+
 RUNS, TARGET = 4, 3
 
 
@@ -177,7 +196,7 @@ def category_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (numbers_in_documents, makers_in_documents, cached_classes, cache_metrics, queue_claims, sitemap_urls, sitemap_maps, category_runs, site_crawl)
+    own = (numbers_in_documents, makers_in_documents, cached_classes, cache_metrics, queue_claims, sitemap_urls, sitemap_maps, category_runs, site_crawl, maker_queries, result_gates)
     return {f.__name__: f for f in own}
 
 
@@ -248,6 +267,12 @@ r(run, source, found, seen, n_new, n_known, n_rejected, n_error, n_budget) as (
     from (select r.run, r.source, r.found, t.key, t.n, case when t.key is null then null when list_contains(r.found, t.key) or t.p_partkey % 7 = 0 then 'known' when t.p_partkey % 11 = 0 then 'error' when t.p_size % 5 = 0 then 'rejected' else 'new' end as what
       from r left join items t on t.source = r.source and t.page = r.run + 1 where r.run < {RUNS}) x) y group by run, source)
 select run, source, run as page, seen, n_new, n_known, n_rejected, n_error, n_budget, seen = n_new + n_known + n_rejected + n_error + n_budget as balanced, run + 1 as next_page from r where run >= 1""",
+        "maker_queries": f"with q as (select p_partkey, {ASKED} as q, trim({ASKED}) as t from part), n as (select *, list_distinct(list_filter(string_split_regex(q, '[^A-Za-z]+'), lambda x: length(x) >= 3 and lower(x) not in ({', '.join(repr(g) for g in GENERIC)}))) as names, "
+        "not regexp_matches(t, '[ ]') and not regexp_matches(t, '[0-9]+ */ *[0-9]+') and length(t) between 3 and 40 and regexp_matches(t, '^[A-Za-z0-9][A-Za-z0-9/_.-]*$') and regexp_matches(t, '[A-Za-z]') and regexp_matches(t, '[0-9]') "
+        "and (regexp_matches(t, '^[A-Za-z]{1,8}[-_.]?[0-9][A-Za-z0-9/_.-]{1,30}$') or regexp_matches(t, '^[0-9][A-Za-z0-9/_.-]{2,39}$')) as number from q) "
+        "select p_partkey as part_id, t <> '' and not contains(t, ' ') and len(names) = 1 and not number as maker_only, array_to_string(list_sort(names, 'asc', 'nulls first'), ',') as names from n",
+        "result_gates": f"with r as (select p_partkey, concat_ws(' ', coalesce({RESULT['title']}, ''), {RESULT['snippet']}, {RESULT['url']}) as x from part) "
+        f"select p_partkey as part_id, not regexp_matches(x, '{discovery.CORPORATE_PAGE}') and not regexp_matches(x, '{discovery.CORPORATE_HARD}') and (regexp_matches(x, '{discovery.PRODUCT_RESULT}') or regexp_matches(x, '{discovery.NUMBER_IN_RESULT}')) as is_product, regexp_matches(x, '{discovery.CATALOGUE}') as is_catalogue from r",
         "site_crawl": f"""with recursive rules(kind, path) as ({_values(SITE_RULES)}), p as (select page_id % 5 as h, page_id // 5 as k, {SITE_PATH.format('(page_id // 5)')} as pth from pages),
 ok as (select h, k, pth, coalesce((select max(length(path)) from rules where kind = 'allow' and starts_with(pth, path)), 0) >= coalesce((select max(length(path)) from rules where kind = 'disallow' and starts_with(pth, path)), 0) as allowed, len(string_split(pth, '/')) - 2 <= 5 as near from p),
 r(h, k, depth) as (select h, k, 0::bigint from ok where k = 0 union all select o.h, o.k, r.depth + 1 from r join ok o on o.h = r.h and o.k in (2 * r.k + 1, 2 * r.k + 2) and o.allowed and o.near)
