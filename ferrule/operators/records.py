@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, number, text, trimmed
+from .compare import sided, stated
 from .extract import first_of
 from .readers import NOISE
 
@@ -70,21 +71,22 @@ def aligned(pairs: DataFrame, specs: DataFrame, cells: DataFrame, names: dict[st
     pairs (base_id, candidate_id), specs (part_id, property), cells (base_id, candidate_id, property, state)
     """
     keys = specs.select("part_id", canonical(F.col("property"), names).alias("attribute")).distinct()
-    base = pairs.join(keys.withColumnRenamed("part_id", "base_id"), "base_id")
+    base = pairs.join(keys.withColumnRenamed("part_id", "base_id").hint("merge"), "base_id")
     hit = cells.select("base_id", "candidate_id", canonical(F.col("property"), names).alias("attribute"), "state").groupBy("base_id", "candidate_id", "attribute").agg(F.min("state").alias("state"))
-    there = keys.select(F.col("part_id").alias("candidate_id"), "attribute", F.lit(True).alias("_there"))
-    rows = base.join(hit, ["base_id", "candidate_id", "attribute"], "left").join(there, ["candidate_id", "attribute"], "left")
+    there = stated(pairs, keys).withColumn("_there", F.lit(True))
+    rows = base.join(there, ["candidate_id", "attribute"], "left").join(hit.hint("merge"), ["base_id", "candidate_id", "attribute"], "left")
     return rows.select("base_id", "candidate_id", "attribute", F.coalesce("state", F.when(F.col("_there"), "not_comparable").otherwise("base_only")).alias("state"))
 
 
 def row_order(pairs: DataFrame, specs: DataFrame) -> DataFrame:
     """base_id, candidate_id, attribute, place: a base's attributes in their order, then those only the candidate has, in its
     order. specs: part_id, ord, attribute."""
-    one = pairs.join(specs.withColumnRenamed("part_id", "base_id"), "base_id").withColumn("_side", F.lit(0))
-    two = pairs.join(specs.withColumnRenamed("part_id", "candidate_id"), "candidate_id").withColumn("_side", F.lit(1))
-    first = one.unionByName(two).groupBy("base_id", "candidate_id", "attribute").agg(F.min(F.struct("_side", "ord")).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("base_id", "candidate_id").orderBy("_o", "attribute"))
-    return first.select("base_id", "candidate_id", "attribute", place.alias("place"))
+    rows = sided(pairs, specs.select("part_id", "ord", "attribute"))
+    side = lambda n, c: F.coalesce(F.transform(c, lambda x: F.struct(F.lit(n).alias("side"), x["ord"].alias("ord"), x["attribute"].alias("attribute"))), F.array())
+    rows = rows.select("base_id", "candidate_id", F.sort_array(F.concat(side(0, "base"), side(1, "candidate"))).alias("all"))
+    first = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: y["attribute"].eqNullSafe(x["attribute"])))
+    rows = rows.select("base_id", "candidate_id", F.posexplode(first).alias("n", "x"))
+    return rows.select("base_id", "candidate_id", F.col("x.attribute").alias("attribute"), (F.col("n") + 1).alias("place"))
 
 
 def has_real_word(c: Column) -> Column:
