@@ -33,6 +33,8 @@ SCORE = 1_000_000
 GATHERED, RANGE = 2_000_000, 2_000_000
 #: Bits of the map of frequent pairs: eight megabytes.
 BITS = 26
+#: Blocks of a Parquet row group: each holds some megabytes.
+BLOCKS_AT_ONCE = 4
 #: The top phrases of a language are taken in so many shares first.
 SHARES = 64
 UNKNOWN = "und"
@@ -99,22 +101,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(rows, names=["codes", "langs", "sizes", "of", "words", "counts"])
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams in the dictionary's codes: 0 for what isn't in it. A zero follows or leads no other."""
-    for batch in batches:
-        out = []
-        for i in range(batch.num_rows):
-            codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
-            to = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
-            found = batch.column("found")[i].values
-            if found is not None and len(found):
-                to[found.field("at").to_numpy()] = found.field("code").to_numpy()
-            stream = to[codes]
-            keep = stream > 0
-            keep[1:] |= stream[:-1] > 0
-            out.append(stream[keep].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["stream"])
-    w.released()
+def _looked_up(blocks: pa.Table, found: pa.Table) -> pa.Table:
+    """A block's stream in the dictionary's codes: 0 for what isn't in it. A zero follows or leads no other."""
+    out = []
+    for row in blocks.column("codes"):
+        codes = np.frombuffer(row.as_buffer(), np.int32)
+        to = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+        to[found.column("at").to_numpy()] = found.column("code").to_numpy()
+        stream = to[codes]
+        keep = stream > 0
+        keep[1:] |= stream[:-1] > 0
+        out.append(stream[keep].tobytes())
+    return pa.table({"stream": pa.array(out if found.num_rows else [], pa.binary())})
 
 
 def radix_order(*keys: np.ndarray) -> np.ndarray:
@@ -245,7 +243,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     """
     spark = docs.sparkSession
     rows = light(docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")))
-    blocks = saved(rows.mapInArrow(_cut, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = saved(rows.mapInArrow(_cut, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks", BLOCKS_AT_ONCE)
     totals = saved(blocks.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("n")), "totals")
     words = blocks.select("block", "langs", F.posexplode(F.arrays_zip("of", "words", "counts")).alias("at", "x"))
     words = words.select("block", F.expr("at + 1").alias("at"), F.expr("langs[x.of]").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
@@ -253,8 +251,10 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     coded = numbered(known.withColumn("all", F.lit("")), "all", ["lang", "word"], "dictionary")
     known = saved(coded.select("lang", "word", "f", F.expr("cast(pos + 1 as int)").alias("code")), "coded")
 
-    found = words.join(known, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "code")).alias("found"))
-    streams = saved(blocks.select("block", "codes").join(found, "block").select("codes", "found").mapInArrow(_looked_up, "stream binary"), "streams")
+    # one block at a time in Python: lists of a block's words would lie in the JVM's heap, for many blocks at once and unseen by Spark
+    found = words.join(known, ["lang", "word"]).select(F.col("block").alias("of_block"), "at", "code")
+    streams = blocks.select("block", "codes").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_looked_up, "stream binary")
+    streams = saved(streams, "streams", BLOCKS_AT_ONCE)
     forgotten(blocks)
     pairs = saved(streams.mapInArrow(_keys(False), KEYS), "pairs")
     two = saved(frequent(pairs, min_count).select("pair", F.col("n").alias("a")), "frequent-pairs")

@@ -23,11 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+def saved(df: DataFrame, name: str, rows_at_once: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    rows_at_once: rows of a Parquet row group. Writers and readers hold a group (a hundred rows at least, else), so rows of megabytes need few.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", rows_at_once) if rows_at_once else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -113,3 +113,16 @@ def test_sql_states_the_same(spark):
     want = sorted(out.fetchall())
     got = sorted(tuple(r) for r in co.phrases(spark.read.parquet(f"{folder}/documents.parquet")).select(*names).collect())
     assert got == want and got
+
+
+def test_few_blocks_lie_in_a_row_group(spark, monkeypatch):
+    """A writer or reader holds a row group: of blocks of megabytes there are few in one."""
+    import pyarrow.parquet as pq
+
+    kept = []
+    monkeypatch.setattr(co, "forgotten", lambda *tables: kept.extend(tables))
+    docs = spark.range(60).coalesce(1).selectExpr("repeat('ab cd ef ', 120000) as text", "'en' as lang")
+    assert co.phrases(docs).count() > 0
+    found = [f for df in kept if {"codes", "stream"} & set(df.columns) for f in df.inputFiles()]
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in found]
+    assert groups and max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 4
