@@ -175,16 +175,16 @@ def gridded(bands: DataFrame, within: float = GRID) -> DataFrame:
     xs = bands.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.col("x").cast("double"))).alias("_xs"))
     centres = xs.select("doc", "page", F.array_sort(F.aggregate("_xs", F.array().cast("array<double>"), step)).alias("_cs"))
     nearest = F.array_min(F.transform("_cs", lambda c, i: F.struct(F.abs(c - F.col("x")).alias("d"), i.alias("i"))))["i"]
-    return bands.join(centres, ["doc", "page"]).withColumn("col", nearest).drop("_cs")
+    return bands.join(centres.hint("merge"), ["doc", "page"]).withColumn("col", nearest).drop("_cs")
 
 
 def region(fragments: DataFrame, labels: DataFrame) -> DataFrame:
     """The fragments between two rows: from the lowest to the highest that carries the first or the last label (doc, page, first, last), one
     unit around. Pages where less than two fragments carry one have no region."""
     bare = F.regexp_replace("text", r"(?U)\s+", "")
-    marked = fragments.join(labels, ["doc", "page"]).filter(bare.isin(F.col("first"), F.col("last")))
+    marked = fragments.join(labels.hint("merge"), ["doc", "page"]).filter(bare.isin(F.col("first"), F.col("last")))
     ends = marked.groupBy("doc", "page").agg(F.min("y").alias("_low"), F.max("y").alias("_high"), F.count("*").alias("_n")).filter("_n >= 2")
-    return fragments.join(ends, ["doc", "page"]).filter((F.col("y") >= F.col("_low") - 1) & (F.col("y") <= F.col("_high") + 1)).select(*fragments.columns)
+    return fragments.join(ends.hint("merge"), ["doc", "page"]).filter((F.col("y") >= F.col("_low") - 1) & (F.col("y") <= F.col("_high") + 1)).select(*fragments.columns)
 
 
 def calibrated(grid: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -194,9 +194,9 @@ def calibrated(grid: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     bare = F.regexp_replace("text", r"(?U)\s+", "")
     page = ["doc", "page"]
-    rows = grid.withColumn("_bare", bare).join(anchors, page).filter(F.col("_bare") == F.col("label")).groupBy(*page, "ord").agg(F.min("band").alias("band"))
-    held = grid.withColumn("_number", F.regexp_replace("text", r"[^0-9.]", "")).join(rows, [*page, "band"]).join(anchors, [*page, "ord"]).filter(F.col("_number") == F.col("expected"))
-    per = anchors.join(rows.withColumn("_row", F.lit(True)), [*page, "ord"], "left").join(held.groupBy(*page, "ord").agg(F.collect_set("col").alias("_cols")), [*page, "ord"], "left")
+    rows = grid.withColumn("_bare", bare).join(anchors.hint("merge"), page).filter(F.col("_bare") == F.col("label")).groupBy(*page, "ord").agg(F.min("band").alias("band"))
+    held = grid.withColumn("_number", F.regexp_replace("text", r"[^0-9.]", "")).join(rows.hint("merge"), [*page, "band"]).join(anchors.hint("merge"), [*page, "ord"]).filter(F.col("_number") == F.col("expected"))
+    per = anchors.join(rows.withColumn("_row", F.lit(True)).hint("merge"), [*page, "ord"], "left").join(held.groupBy(*page, "ord").agg(F.collect_set("col").alias("_cols")).hint("merge"), [*page, "ord"], "left")
     why = F.when(F.col("_row").isNull(), "missing label").when(F.col("_cols").isNull(), "missing value")
     all_of = per.groupBy(*page).agg(F.min_by(why, F.when(why.isNotNull(), F.col("ord"))).alias("_why"), F.array_sort(F.collect_list(F.struct("ord", F.col("_cols").alias("cols")))).alias("_all"))
     common = F.aggregate(F.slice("_all", 2, 1_000_000), F.get("_all", F.lit(0))["cols"], lambda s, a: F.array_intersect(s, a["cols"]))

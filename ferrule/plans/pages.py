@@ -99,7 +99,7 @@ def grid_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = layout.region(pages, docs.withColumns({"first": F.lit("bore"), "last": F.lit("mass")}))
     anchors = docs.withColumn("a", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(x).alias("label"), F.lit("1").alias("expected")) for i, x in enumerate(("bore", "mass")))))).select("doc", "page", "a.*")
     grid = layout.gridded(geometry.banded(inside))
-    out = layout.calibrated(grid, anchors.join(inside.select("doc", "page").distinct(), ["doc", "page"]))
+    out = layout.calibrated(grid, anchors.join(inside.select("doc", "page").distinct().hint("merge"), ["doc", "page"]))
     return out.select(F.col("doc").alias("part_id"), "state", long("col").alias("col"))
 
 

@@ -1,10 +1,11 @@
-"""Tables that grow with the input are never sent whole to the driver, and pages stay in one shuffle."""
+"""Tables that grow with the input are never sent whole to the driver."""
 
 import re
 
 from pyspark.sql import functions as F
 
 from ferrule.operators import compare, records
+from ferrule.plans import pages
 
 
 def broadcasts(df, *columns):
@@ -13,10 +14,6 @@ def broadcasts(df, *columns):
     return [line for line in plan.splitlines() if "BroadcastHashJoin" in line and any(re.search(rf"\b{c}#", line) for c in columns)]
 
 
-def shuffles(df):
-    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
-
-
 def test_specs_are_not_broadcast_on_an_estimate(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("part_id"), F.lit("p").alias("property"), F.lit("v").alias("value"), F.lit(1).alias("ord"), F.lit("p").alias("attribute")).write.parquet(str(tmp_path / "s"))
     spark.range(100).select(F.col("id").alias("base_id"), (F.col("id") % 3).alias("candidate_id"), F.lit("f").alias("base_family")).write.parquet(str(tmp_path / "p"))
@@ -36,3 +33,7 @@ def test_cells_of_null_and_double_specs(spark):
         (3, 1, None, None, "n", "candidate_only"), (4, 3, "c", None, None, "not_comparable"), (None, 2, "a", None, "Y ", "candidate_only"), (None, 2, "b", None, "z", "candidate_only"),
     ]
     assert got == sorted(want, key=str)
+
+
+def test_a_grids_pages_are_not_broadcast(spark):
+    assert broadcasts(pages.grid_calibration(spark, "/root/testdata/sf0.001"), "doc") == []
