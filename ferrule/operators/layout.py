@@ -215,25 +215,33 @@ def sku_tables(bands: DataFrame) -> DataFrame:
     cell = F.struct("x", "idx", trimmed(F.col("text")).alias("text"))
     rows = bands.groupBy("doc", "page", "band").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     rows = rows.withColumn("full", F.filter("cells", lambda c: c["text"] != "")).withColumn("title", F.array_join(F.transform("cells", lambda c: c["text"]), ""))
-    first_page = lambda word, name: rows.filter(F.col("title") == word).groupBy("doc").agg(F.min("page").alias(name))
-    pages = first_page(MODELS, "_models").join(first_page(SHARED, "_shared"), "doc", "left").withColumn("_shared", F.coalesce("_shared", "_models"))
-    on_page = Window.partitionBy("doc", "page").orderBy("band")
-    here = rows.join(pages, "doc").withColumn("_next", F.lead("full").over(on_page))
+    in_doc, on_page = Window.partitionBy("doc"), Window.partitionBy("doc", "page").orderBy("band")
+    so_far = on_page.rowsBetween(Window.unboundedPreceding, 0)
+    # one pass over a document's bands in order: the windows share one sort, and no band is made twice
+    rows = rows.withColumn("_next", F.lead("full").over(on_page))
+    first_page = lambda word: F.min(F.when(F.col("title") == word, F.col("page"))).over(in_doc)
+    here = rows.withColumns({"_models": first_page(MODELS), "_shared": first_page(SHARED)}).filter("_models is not null and doc is not null")
+    here = here.withColumns({"_model": F.col("page") == F.col("_models"), "_block": F.col("page") == F.coalesce("_shared", "_models")})
     short = (F.size("_next") > 0) & F.forall("_next", lambda c: (F.length(c["text"]) <= 12) & ~c["text"].rlike(r"(?U)\s"))
-    models = here.filter("page = _models")
-    head = models.filter((F.col("title") == MODELS) & F.coalesce(short, F.lit(False))).groupBy("doc").agg(F.min_by(F.struct("band", F.col("_next").alias("options")), "band").alias("h")).select("doc", "h.*")
-    below = models.join(head.withColumnRenamed("band", "_head"), "doc").filter(F.col("band") > F.col("_head"))
-    below = below.withColumn("_i", F.row_number().over(on_page)).filter("_i > 1").withColumn("part_number", F.get("cells", F.lit(0))["text"])
-    ended = F.sum((~F.col("part_number").rlike(SKU)).cast("int")).over(on_page.rowsBetween(Window.unboundedPreceding, 0))
-    parts = below.withColumn("_ended", ended).filter("_ended = 0")
-    chosen = parts.select("doc", "part_number", "options", F.posexplode(F.slice("cells", 2, 1_000_000)).alias("_n", "c")).filter(~F.col("c.text").isin("", "—", "-"))
-    nearest = F.array_min(F.transform("options", lambda o, i: F.struct(F.abs(o["x"] - F.col("c.x")).alias("d"), i.alias("i"), o["text"].alias("text"))))["text"]
-    own = chosen.select("doc", "part_number", nearest.alias("attribute"), F.col("c.text").alias("value"), "_n").groupBy("doc", "part_number", "attribute").agg(F.max_by("value", "_n").alias("value"))
-    block = here.filter("page = _shared")
-    start = block.filter(F.col("title") == SHARED).groupBy("doc").agg(F.min("band").alias("_start"))
-    block = block.join(start, "doc").filter(F.col("band") > F.col("_start"))
-    over = F.sum(((F.size("full") == 1) & F.get("full", F.lit(0))["text"].rlike(SECTION_END)).cast("int")).over(on_page.rowsBetween(Window.unboundedPreceding, 0))
-    shared = block.withColumn("_over", over).filter("_over = 0 and size(full) >= 2")
-    shared = shared.select("doc", F.get("full", F.lit(0))["text"].alias("attribute"), F.array_join(F.transform(F.slice("full", 2, 1_000_000), lambda c: c["text"]), " ").alias("value"))
-    spread_ = parts.select("doc", "part_number").distinct().join(shared.distinct(), "doc")
-    return own.withColumn("shared", F.lit(False)).unionByName(spread_.select("doc", "part_number", "attribute", "value", F.lit(True).alias("shared")))
+    head = F.when(F.col("_model") & (F.col("title") == MODELS) & F.coalesce(short, F.lit(False)), F.col("band"))
+    start = F.when(F.col("_block") & (F.col("title") == SHARED), F.col("band"))
+    here = here.withColumns({"_head": F.min(head).over(in_doc), "options": F.min_by("_next", head).over(in_doc), "_start": F.min(start).over(in_doc)})
+    here = here.withColumns({"part_number": F.get("cells", F.lit(0))["text"], "_below": F.coalesce(F.col("_model") & (F.col("band") > F.col("_head")), F.lit(False)), "_block": F.coalesce(F.col("_block") & (F.col("band") > F.col("_start")), F.lit(False))})
+    here = here.withColumn("_i", F.sum(F.col("_below").cast("int")).over(so_far))
+    ended = F.col("_below") & (F.col("_i") > 1) & ~F.col("part_number").rlike(SKU)
+    over = F.col("_block") & (F.size("full") == 1) & F.get("full", F.lit(0))["text"].rlike(SECTION_END)
+    here = here.withColumns({"_ended": F.sum(ended.cast("int")).over(so_far), "_over": F.sum(over.cast("int")).over(so_far)})
+    part = F.when(F.col("_below") & (F.col("_i") > 1) & (F.col("_ended") == 0), F.struct("part_number", "options", "cells"))
+    fact = F.struct(F.get("full", F.lit(0))["text"].alias("attribute"), F.array_join(F.transform(F.slice("full", 2, 1_000_000), lambda c: c["text"]), " ").alias("value"))
+    fact = F.when(F.col("_block") & (F.col("_over") == 0) & (F.size("full") >= 2), fact)
+    docs = here.select("doc", part.alias("_part"), fact.alias("_fact")).filter("_part is not null or _fact is not null").groupBy("doc").agg(F.collect_list("_part").alias("_parts"), F.collect_set("_fact").alias("_facts"))
+    parts = docs.select("doc", "_facts", F.explode("_parts").alias("p"))
+    cells = F.transform(F.slice("p.cells", 2, 1_000_000), lambda c, i: F.struct(i.alias("n"), c["x"].alias("x"), c["text"].alias("text")))
+    near = lambda c: F.array_min(F.transform("p.options", lambda o, i: F.struct(F.abs(o["x"] - c["x"]).alias("d"), i.alias("i"), o["text"].alias("text"))))["text"]
+    row = lambda attribute, value, n, shared: F.struct(attribute.alias("attribute"), value.alias("value"), n.alias("n"), F.lit(shared).alias("shared"))
+    own = F.transform(F.filter(cells, lambda c: ~c["text"].isin("", "—", "-")), lambda c: row(near(c), c["text"], c["n"], False))
+    every = F.concat(own, F.transform("_facts", lambda f: row(f["attribute"], f["value"], F.lit(0), True)))
+    rows = parts.select("doc", "p.part_number", F.explode(every).alias("r")).select("doc", "part_number", "r.*")
+    # an option's last cell counts; shared specifications differ by their value too
+    kept = rows.groupBy("doc", "part_number", "attribute", "shared", F.when(F.col("shared"), F.col("value")).alias("_of")).agg(F.max_by("value", "n").alias("value"))
+    return kept.select("doc", "part_number", "attribute", "value", "shared")

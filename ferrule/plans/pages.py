@@ -79,7 +79,8 @@ def selection_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [[(0, model(n)), pick(n, 60 + 7 * (n - 2)), pick(n, 145)] for n in (1, 2, 3)]
     tail = [[(0, "case when doc % 5 > 0 then 'Especificaciones' end")], [(0, "'Fluido'"), (80, "'Aire'"), (140, "'' || doc")], [(0, "'solo'")], [(0, "case when doc % 4 = 0 then 'Forma de pedido' end")], [(0, "'Rosca'"), (80, "'G1'")]]
     late = [[(0, "'Modelo'")], [(60, "'a long heading'")]]
-    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_suppkey")
+    docs = geometry.dealt(lines, "doc").groupBy("doc").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
     pages = _pages(docs, "doc", [("doc % 7 = 0", late), ("doc % 2 = 0", [*late, *head, *rows, *tail]), ("true", [*head, *rows, *tail])])
     return layout.sku_tables(geometry.banded(pages)).withColumnRenamed("doc", "order_id")
 
