@@ -12,15 +12,6 @@ from pyspark.sql import functions as F
 GAP = 10.0
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows by their keys in as many tasks as a shuffle is set to have.
-
-    For rows that become many fragments: Spark puts small partitions together by their bytes before they grow, and what then meets in
-    a task grows with the input.
-    """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def on_pages(fragments: DataFrame, order: list[str]) -> DataFrame:
     """doc, page, items: a page's fragments as one array of structs; order: columns by which they come, a minus before those that fall."""
     key = lambda c: (-F.col(c[1:])).alias(f"_{c[1:]}") if c.startswith("-") else F.col(c).alias(f"_{c}")

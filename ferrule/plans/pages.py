@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, geometry, layout
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .catalogue import long
 
 SCATTERED = "with g as (select l_orderkey as doc, l_linenumber as idx, min(l_suppkey) as s from lineitem group by 1, 2), f as (select doc, idx, s, case when s % 3 = 0 then 'T' || s else 'word' || s end as text, ((s * 5) % 40)::double as x, ((s * 7 + idx * 3) % 23)::double as y, ((s % 14) + 2)::double as h from g)"
@@ -67,7 +67,7 @@ def page_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("p_partkey % 5 = 3", [[(0, f"p_name || ': ' || {v} || ' ' || {u}")], [(0, f"p_name || ' ' || {v} || ' ' || {u}")], [(0, f"'Rated ' || p_name || ' ' || {v} || {u}")]]),
         ("true", [[(0, "'Part number'"), (200, "'Colour'")], [(0, "p_brand || '-' || p_partkey"), (200, "'red'")], [(0, "p_name"), (200, v)]]),
     ]
-    return layout.structured_specs(_pages(table(spark, sf_dir, "part"), "p_partkey", choices)).select(F.col("doc").alias("part_id"), "source", "attribute", "value")
+    return layout.structured_specs(_pages(dealt(table(spark, sf_dir, "part"), "p_partkey"), "p_partkey", choices)).select(F.col("doc").alias("part_id"), "source", "attribute", "value")
 
 
 def selection_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def selection_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = [[(0, "case when doc % 5 > 0 then 'Especificaciones' end")], [(0, "'Fluido'"), (80, "'Aire'"), (140, "'' || doc")], [(0, "'solo'")], [(0, "case when doc % 4 = 0 then 'Forma de pedido' end")], [(0, "'Rosca'"), (80, "'G1'")]]
     late = [[(0, "'Modelo'")], [(60, "'a long heading'")]]
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_suppkey")
-    docs = geometry.dealt(lines, "doc").groupBy("doc").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    docs = dealt(lines, "doc").groupBy("doc").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
     pages = _pages(docs, "doc", [("doc % 7 = 0", late), ("doc % 2 = 0", [*late, *head, *rows, *tail]), ("true", [*head, *rows, *tail])])
     return layout.sku_tables(geometry.banded(pages)).withColumnRenamed("doc", "order_id")
 

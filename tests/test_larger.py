@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ferrule.operators import compare, geometry, layout, records
-from ferrule.plans import pages
+from ferrule.plans import catalogue, evidence, pages
 
 
 def broadcasts(df, *columns):
@@ -54,3 +54,9 @@ def test_selection_tables_of_several_pages(spark):
     got = {tuple(r) for r in layout.sku_tables(geometry.banded(spark.createDataFrame(items, "doc int, page int, idx int, text string, x double, y double, w double, h double"))).collect()}
     got = {r for r in got if r[:2] != (1, "SKU-1") or r[4]}  # two bands of one part choose as they come
     assert got == {(1, "SKU-1", "Fluido", "Aire", True), (1, "SKU-2", "Fluido", "Aire", True), (2, "SKU-3", "M5", "o", False)}
+
+
+def test_parts_are_dealt_before_they_are_put_together(spark):
+    sf = "/root/testdata/sf0.001"
+    for df in (catalogue.compare_counts(spark, sf), evidence.spec_row_order(spark, sf)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
