@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 GAP = 10.0
 
 
@@ -51,18 +53,22 @@ def cells(bands: DataFrame, gap: float = GAP) -> DataFrame:
 
 def tables(cell_rows: DataFrame) -> DataFrame:
     """cells of two or more bands in a row that have two cells or more, with `table` numbered per page."""
-    sizes = cell_rows.groupBy("doc", "page", "band").agg(F.count("*").alias("n"))
-    by_band = Window.partitionBy("doc", "page").orderBy("band")
-    wide = sizes.filter("n >= 2").withColumn("_i", F.col("band") - F.row_number().over(by_band))
-    islands = wide.withColumn("_size", F.count("*").over(Window.partitionBy("doc", "page", "_i"))).filter("_size >= 2")
-    numbered = islands.withColumn("table", F.dense_rank().over(Window.partitionBy("doc", "page").orderBy("_i")) - 1)
-    return cell_rows.join(numbered.select("doc", "page", "band", "table"), ["doc", "page", "band"])
+    on_page = Window.partitionBy("doc", "page")
+    n = F.count("*").over(Window.partitionBy("doc", "page", "band"))
+    wide = cell_rows.filter("doc is not null and page is not null and band is not null").withColumn("n", n).filter("n >= 2")
+    wide = wide.withColumn("_i", F.col("band") - F.dense_rank().over(on_page.orderBy("band")))
+    island = Window.partitionBy("doc", "page", "_i")
+    islands = wide.withColumn("_more", F.min("band").over(island) < F.max("band").over(island)).filter("_more")
+    numbered = islands.withColumn("table", F.dense_rank().over(on_page.orderBy("_i")) - 1)
+    return numbered.select("doc", "page", "band", *(c for c in cell_rows.columns if c not in ("doc", "page", "band")), "table")
 
 
 def nearest_column(values: DataFrame, columns: DataFrame) -> DataFrame:
     """values (doc, page, value_id, x) with the column (doc, page, column_id, x) of their page nearest in x."""
-    rows = values.join(columns.withColumnRenamed("x", "_cx"), ["doc", "page"])
-    return rows.groupBy("doc", "page", "value_id").agg(F.min_by("column_id", F.struct(F.abs(F.col("x") - F.col("_cx")), "column_id")).alias("column_id"))
+    held = columns.groupBy("doc", "page").agg(F.collect_list(F.struct("column_id", F.col("x").alias("cx"))).alias("_columns"))
+    rows = dealt(values, "doc", "page").join(held.hint("merge"), ["doc", "page"])
+    near = F.array_min(F.transform("_columns", lambda c: F.struct(F.abs(F.col("x") - c["cx"]).alias("d"), c["column_id"].alias("column_id"))))
+    return rows.withColumn("_near", near).groupBy("doc", "page", "value_id").agg(F.min("_near")["column_id"].alias("column_id"))
 
 
 def merged_box(fragments: DataFrame, keys: list[str]) -> DataFrame:

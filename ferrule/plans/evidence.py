@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, urls
 from ..functions import text as t
 from ..operators import compare, discovery, extract, gates, geometry, images, ingest, readers, records, search
-from ..sources.tables import parts, specs, table
+from ..sources.tables import dealt, parts, specs, table
 from . import gateway
 from .catalogue import long
 
@@ -37,7 +37,8 @@ def _sheet(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fragments a band, the second of a pair half a unit lower and 30 to the right; doc is the order."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx")).agg(F.min("l_suppkey").alias("s"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx"), "l_suppkey")
+    li = dealt(li, "doc").groupBy("doc", "idx").agg(F.min("l_suppkey").alias("s"))
     pair, second = F.floor((F.col("idx") - 1) / 2), F.col("idx") % 2 == 0
     return li.select("doc", F.lit(1).alias("page"), "idx", F.concat(F.lit("t"), F.col("s").cast("string")).alias("text"), F.when(second, 40.0).otherwise(10.0).alias("x"), (700 - 10 * pair - F.when(second, 0.5).otherwise(0.0)).cast("double").alias("y"), F.when(F.col("s") % 2 == 0, 25.0).otherwise(8.0).alias("w"), F.lit(6.0).alias("h"))
 
@@ -225,7 +226,7 @@ def fragment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _fragments(spark, sf_dir)
     columns = spark.createDataFrame([(1, 0, 8.0), (1, 1, 24.0), (1, 2, 60.0)], "page int, column_id int, x double")
-    docs = f.select("doc").distinct().withColumn("page", F.lit(1)).join(columns, "page").select("doc", "page", "column_id", "x")
+    docs = f.select("doc").distinct().withColumn("page", F.lit(1)).join(F.broadcast(columns), "page").select("doc", "page", "column_id", "x")
     out = geometry.nearest_column(f.select("doc", "page", F.col("idx").alias("value_id"), (F.col("x") + F.col("w")).alias("x")), docs)
     return out.select("doc", long("value_id").alias("value_id"), long("column_id").alias("column_id"))
 

@@ -60,3 +60,9 @@ def test_parts_are_dealt_before_they_are_put_together(spark):
     sf = "/root/testdata/sf0.001"
     for df in (catalogue.compare_counts(spark, sf), evidence.spec_row_order(spark, sf)):
         assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
+def test_fragments_are_dealt_and_tables_found_in_one_pass(spark):
+    assert shuffles(evidence.fragment_tables(spark, "/root/testdata/sf0.001")) == 1
+    plan = evidence.nearest_columns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "REPARTITION_BY_NUM" in plan
