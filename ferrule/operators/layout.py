@@ -119,11 +119,12 @@ def headed(columned: DataFrame) -> DataFrame:
     """
     table = ["doc", "page", "table"]
     rows = columned.withColumn("_role", role_of(F.col("text"))).withColumn("row_no", F.dense_rank().over(Window.partitionBy(*table).orderBy("band")) - 1)
-    per_row = rows.filter("row_no < 3").groupBy(*table, "row_no").agg(F.count_if(F.col("_role") != "").alias("_n"), F.bool_or(F.col("_role") == "PART_NUMBER").alias("_pn"))
-    header = per_row.filter("_n >= 2 or _pn").groupBy(*table).agg(F.min("row_no").alias("_header"))
-    rows = rows.join(header, table, "left").withColumn("is_header", F.coalesce(F.col("row_no") == F.col("_header"), F.lit(False)))
-    names = rows.filter("is_header").groupBy(*table, "col").agg(F.max_by("_role", "cell").alias("header"))
-    return rows.drop("_role", "_header").join(names, [*table, "col"], "left").withColumn("header", F.coalesce("header", F.lit("")))
+    in_row, in_table, in_column = (Window.partitionBy(*table, *more) for more in (["row_no"], [], ["col"]))
+    names = (F.count_if(F.col("_role") != "").over(in_row) >= 2) | F.bool_or(F.col("_role") == "PART_NUMBER").over(in_row)
+    rows = rows.withColumn("_names", names).withColumn("_header", F.min(F.when((F.col("row_no") < 3) & F.col("_names"), F.col("row_no"))).over(in_table))
+    rows = rows.withColumn("is_header", F.coalesce(F.col("row_no") == F.col("_header"), F.lit(False)))
+    rows = rows.withColumn("header", F.coalesce(F.max_by("_role", F.when(F.col("is_header"), F.col("cell"))).over(in_column), F.lit("")))
+    return rows.select(*table, "col", *(c for c in columned.columns if c not in (*table, "col")), "row_no", "is_header", "header")
 
 
 def spec_rows(headed_cells: DataFrame) -> DataFrame:

@@ -66,3 +66,7 @@ def test_fragments_are_dealt_and_tables_found_in_one_pass(spark):
     assert shuffles(evidence.fragment_tables(spark, "/root/testdata/sf0.001")) == 1
     plan = evidence.nearest_columns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_headed_tables_are_found_in_one_pass(spark):
+    assert shuffles(pages.page_specifications(spark, "/root/testdata/sf0.001")) <= 3
