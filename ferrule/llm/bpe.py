@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from . import words as w
 from .common import light, with_column
-from .vocabularies import Ragged, distinct, path, ranks
+from .vocabularies import Ragged, Remembered, alike, path, ranks, strings
 from .words import mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,8 @@ PAIRS = 50_000
 MANY_PAIRS = 3_000_000
 #: Bytes of the pieces that are encoded many at once.
 LONGEST = 16
+#: Bytes of the chunks whose ids are remembered from block to block.
+BRIEF = 64
 
 
 class Vocabulary:
@@ -136,6 +138,7 @@ class Tables:
                 order = np.argsort(key, kind="stable")
                 self.by_length[k] = key[order], low[order], high[order], ids[order].astype(np.int64)
         self.pairs, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.lengths = np.array([len(v.bytes.get(i, b"")) for i in range(max(v.bytes) + 1)])
 
     def follow(self, pairs: np.ndarray) -> np.ndarray:
         """Whether each pair (a << 20 | b) of tokens is the encoding of its bytes."""
@@ -197,7 +200,6 @@ class Tables:
             out[i] = int(whole[i]).to_bytes(4, "little")
         for i in np.flatnonzero((whole < 0) & (sizes > LONGEST)):
             out[i] = np.array(Prefixes(v, pieces[i]).ids(), np.int32).tobytes()
-        lengths = np.array([len(v.bytes.get(i, b"")) for i in range(max(v.bytes) + 1)])
         short = short[np.argsort(sizes[short], kind="stable")]
         for part in np.array_split(short, max(1, len(short) // 20_000)) if len(short) else []:
             width = int(sizes[part[-1]])
@@ -208,7 +210,7 @@ class Tables:
             while len(rows):
                 token = last[rows, at[rows] - 1]
                 steps.append((rows, token))
-                at[rows] -= lengths[token]
+                at[rows] -= self.lengths[token]
                 rows = rows[at[rows] > 0]
             row, token = np.concatenate([r for r, _ in steps]), np.concatenate([t for _, t in steps])
             step = np.concatenate([np.full(len(r), i) for i, (r, _) in enumerate(steps)])
@@ -229,20 +231,35 @@ def _tables(file: str) -> Tables:
     return Tables(vocabulary(file))
 
 
+@lru_cache(4)
+def _remembered(file: str, pattern: str) -> Remembered:
+    return Remembered()
+
+
 def encoded(buf: np.ndarray, bounds: np.ndarray, file: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, and their bounds: distinct chunks are split, distinct pieces encoded once."""
+    """Ids of all texts end to end, and their bounds: distinct chunks that were not met before are split, their distinct pieces encoded once."""
     cuts, counts = chunk_bounds(buf, bounds)
-    chunks, at = distinct(buf, cuts)
+    if len(cuts) < 2:
+        return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
+    first, one, two, at = alike(buf, cuts)
+    known = _remembered(file, pattern)
+    row = known.find(one, two)
+    new = np.flatnonzero(row < 0)
+    starts, ends = cuts[:-1][first[new]], cuts[1:][first[new]]
     split, number, places, sizes = regex.compile(pattern), {}, [], []
-    for c in chunks:
+    for c in strings(buf, starts, ends):
         found = split.findall(c.decode())
         sizes.append(len(found))
         places += [number.setdefault(p, len(number)) for p in found]
     ids = _tables(file).encode([p.encode() for p in number])
     values, each = ids.take(np.array(places, np.int64))
-    edge = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
-    of_chunk = Ragged.of(values, edge)
-    out, sizes_ = of_chunk.take(at)
+    fresh = Ragged.of(values, np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])])
+    row[new] = len(known.met) + np.arange(len(new))
+    both = Ragged.of(np.append(known.ids.values, fresh.values), np.append(known.ids.bounds, known.ids.bounds[-1] + fresh.bounds[1:]))
+    out, sizes_ = both.take(row[at])
+    brief = np.flatnonzero(ends - starts <= BRIEF)
+    kept, each = fresh.take(brief)
+    known.add(one[new[brief]], two[new[brief]], Ragged.of(kept, np.concatenate([[0], np.cumsum(each)])))
     return out, np.concatenate([[0], np.cumsum(sizes_)])[np.concatenate([[0], np.cumsum(counts)])]
 
 

@@ -73,10 +73,40 @@ class Cached:
         return Ragged(out)
 
 
-def distinct(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Distinct byte strings among data[bounds[i]:bounds[i + 1]], and the index of each. Told apart by 128-bit hashes."""
-    if len(bounds) < 2:
-        return [], np.zeros(0, np.int64)
+class Remembered:
+    """Ids of strings met before, by 128-bit hashes, as arrays (about 50 bytes a string); the least recently met go when there are more than `limit`."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit, self.now, self.ids = limit, 0, Ragged([])
+        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.row, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The row of each string in `ids`, -1 where it isn't known."""
+        self.now += 1
+        if not len(self.one):
+            return np.full(len(one), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        row = np.where((self.one[at] == one) & (self.two[at] == two), self.row[at], -1)
+        self.met[row[row >= 0]] = self.now
+        return row
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: Ragged) -> None:
+        """Strings that find() didn't know, in ascending order of `one`."""
+        at, row = np.searchsorted(self.one, one), np.arange(len(one)) + len(self.met)
+        self.one, self.two, self.row = np.insert(self.one, at, one), np.insert(self.two, at, two), np.insert(self.row, at, row)
+        self.met = np.append(self.met, np.full(len(one), self.now))
+        self.ids = Ragged.of(np.append(self.ids.values, ids.values), np.append(self.ids.bounds, self.ids.bounds[-1] + ids.bounds[1:]))
+        if len(self.met) > self.limit:
+            keep = self.met > np.partition(self.met, -(self.limit // 2))[-(self.limit // 2)]
+            values, sizes = self.ids.take(np.flatnonzero(keep))
+            self.ids, left = Ragged.of(values, np.concatenate([[0], np.cumsum(sizes)])), keep[self.row]
+            self.one, self.two, self.row = self.one[left], self.two[left], (np.cumsum(keep) - 1)[self.row[left]]
+            self.met = self.met[keep]
+
+
+def alike(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct byte string among data[bounds[i]:bounds[i + 1]] comes first, its two hashes (ascending), and the index of each string."""
     starts, ends = bounds[:-1], bounds[1:]
     one, two = (w.word_hashes(data, starts, ends, seed) for seed in (0, 1))
     _, first, at = np.unique(one, return_index=True, return_inverse=True)
@@ -85,5 +115,17 @@ def distinct(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndar
         new = np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
         first, at = order[new], np.empty(len(order), np.int64)
         at[order] = np.cumsum(new) - 1
+    return first, one[first], two[first], at
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], at
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def distinct(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct byte strings among data[bounds[i]:bounds[i + 1]], and the index of each. Told apart by 128-bit hashes."""
+    if len(bounds) < 2:
+        return [], np.zeros(0, np.int64)
+    first, _, _, at = alike(data, bounds)
+    return strings(data, bounds[:-1][first], bounds[1:][first]), at

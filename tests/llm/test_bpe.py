@@ -2,14 +2,16 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ferrule.llm import bpe
 from ferrule.llm.bpe import Prefixes, decode, encode, round_trip, vocabulary
-from ferrule.llm.vocabularies import path
+from ferrule.llm.vocabularies import Ragged, Remembered, path
 
 FILE = path("byte_bpe_50k.tiktoken")
 
@@ -68,3 +70,37 @@ def test_other_columns_and_empty_table(spark):
     assert encode(df).columns == ["doc_id", "text", "decoded", "ids"]
     assert decode(encode(df)).collect()[0].decoded == b"a b"
     assert round_trip(df.limit(0)).count() == 0
+
+
+def split(rows):
+    data = [t.encode() for t in rows]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+
+
+def test_a_later_block_encodes_only_new_chunks(monkeypatch):
+    seen, encode_ = [], bpe.Tables.encode
+    monkeypatch.setattr(bpe.Tables, "encode", lambda self, pieces: seen.append(pieces) or encode_(self, pieces))
+    first, second = ["qwzx uvvwq xqzzk!", "uvvwq"], ["xqzzk! uvvwq", "a qwzx uvvwq xqzzk!", "zzqqy uvvwq"]
+    bpe.encoded(*split(first), FILE, P.PATTERN)
+    bpe.encoded(*split(second), FILE, P.PATTERN)
+    assert sorted(seen[1]) == [b" qwzx", b"!", b"a", b"xqzzk", b"zzqqy"] and b" uvvwq" in seen[0]
+
+
+def test_blocks_equal_the_library_while_what_is_remembered_goes(library, monkeypatch):
+    known = Remembered(60)
+    monkeypatch.setattr(bpe, "_remembered", lambda file, pattern: known)
+    rows = texts(7, 600)
+    for i in range(0, 600, 20):
+        values, edge = bpe.encoded(*split(rows[i : i + 20]), FILE, P.PATTERN)
+        assert [values[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)] == [library.encode_ordinary(t) for t in rows[i : i + 20]]
+        assert len(known.met) <= 60
+
+
+def test_remembered_tells_equal_first_hashes_apart():
+    known = Remembered(4)
+    u = lambda *x: np.array(x, np.uint64)
+    known.add(u(1, 5), u(10, 50), Ragged.of(np.array([7, 8, 9], np.int32), np.array([0, 2, 3])))
+    assert known.find(u(1, 5, 5), u(10, 50, 51)).tolist() == [0, 1, -1]
+    known.add(u(0), u(0), Ragged.of(np.array([4], np.int32), np.array([0, 1])))
+    row = known.find(u(0, 1), u(0, 10))
+    assert known.ids.take(row)[0].tolist() == [4, 7, 8]
