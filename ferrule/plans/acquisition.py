@@ -25,7 +25,9 @@ WRITTEN = "case l_linenumber % 4 when 0 then p_brand || '-' || p_partkey when 1
 
 def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: documents, with the part numbers of the order of that number behind them."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.expr(WRITTEN).alias("written"))
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    lines = table(spark, sf_dir, "lineitem").join(ids, F.col("l_orderkey") == F.col("doc_id"), "left_semi")
+    lines = lines.join(table(spark, sf_dir, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.expr(WRITTEN).alias("written"))
     notes = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "written"))), lambda x: x["written"]), ", ").alias("note"))
     return table(spark, sf_dir, "documents").join(notes, "doc_id", "left").select("doc_id", F.concat_ws(" ", "text", "note").alias("text"))
 

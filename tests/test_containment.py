@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def test_nothing(spark):
     assert pairs(spark, [], [(1, "a")]) == [] and pairs(spark, [(1, "a")], []) == [] and pairs(spark, [(1, "bcd")], [(1, "a")]) == []
 
 
+def test_needles_that_cannot_occur_are_left_out_before_any_shuffle(spark):
+    texts = spark.createDataFrame([(1, "see BRAND-00007 and BRAND-00123 here")], "t long, body string")
+    needles = spark.range(3000).select(F.col("id").alias("n"), F.format_string("BRAND-%05d", "id").alias("word"))
+    written = []
+    found = containment.held(texts, needles, lambda df: written.append(checkpointed(df)) or written[-1], "t", "body", "n", "word")
+    kept = [{r._needle_id for r in df.collect()} for df in written if "_needle_id" in df.columns]
+    assert len(kept) == 1 and {7, 123} <= kept[0] and len(kept[0]) < 10
+    assert {tuple(r) for r in found.collect()} == {(1, 7), (1, 123)}
+
+
+def test_grams_of_a_batch_of_mixed_needles():
+    needles = pa.array(["skipped", "é", "ab", "abcdefgh", "a", "abcdef"])[1:]
+    got = sorted((o, p, int(g)) for gram, of, place in containment._grams(needles) for g, o, p in zip(gram, of.tolist(), place.tolist(), strict=True))
+    of = lambda x: len(x) << 48 | int.from_bytes(x, "big")
+    want = [(0, 0, of("é".encode())), (1, 0, of(b"ab")), *((2, i, of(b"abcdefgh"[i : i + 6])) for i in range(3)), (3, 0, of(b"a")), (4, 0, of(b"abcdef"))]
+    assert got == want
+
+
 def test_hot_grams_meet_by_key_and_without_nested_loops(spark):
     texts = spark.range(3000).select(F.col("id").alias("t"), F.concat(F.lit("PART-NUMBER-PART-NUMBER-"), "id").alias("body"))
     needles = spark.range(300).select(F.col("id").alias("n"), F.concat(F.lit("PART-NUMBER-"), "id").alias("word"))

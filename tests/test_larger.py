@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ferrule.operators import compare, geometry, layout, records
-from ferrule.plans import catalogue, evidence, pages
+from ferrule.plans import acquisition, catalogue, evidence, pages
 
 
 def broadcasts(df, *columns):
@@ -70,3 +70,9 @@ def test_fragments_are_dealt_and_tables_found_in_one_pass(spark):
 
 def test_headed_tables_are_found_in_one_pass(spark):
     assert shuffles(pages.page_specifications(spark, "/root/testdata/sf0.001")) <= 3
+
+
+def test_lines_of_orders_without_a_document_are_not_grouped(spark):
+    plan = acquisition._noted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "LeftSemi" in below
