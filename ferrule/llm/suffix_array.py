@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import keyed, saved, tidied
+from .common import forgotten, keyed, saved, tidied
 from .repeats import minimisers, ragged
 
 SPANS = "array<struct<start: int, end: int, first_doc: long>>"
@@ -50,14 +50,16 @@ def _positions(window: int, k: int) -> Callable:
     return run
 
 
-def _retained(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Per text (_key) its minimisers whose k-gram begins several suffixes; lead marks the earliest of a k-gram."""
+def _retained(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Per text (_key) its minimisers whose k-gram begins several suffixes (lead marks the earliest of a k-gram), and the written
+    table of those k-grams."""
     rows = docs.select("_key", "text").mapInArrow(_positions(window, k), POSITIONS)
     shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("_key", "place")).alias("least")).filter("n > 1").select("gram", "least")
     # written, so that the join can be split where a k-gram is in very many texts
     shared = saved(shared, "shared")
+    tidied(docs.sparkSession)
     kept = rows.join(shared, "gram").withColumn("lead", (F.col("least._key") == F.col("_key")) & (F.col("least.place") == F.col("place")))
-    return kept.groupBy("_key").agg(F.collect_list(F.struct("gram", "lead", "place", "first", "last")).alias("suffixes"))
+    return kept.groupBy("_key").agg(F.collect_list(F.struct("gram", "lead", "place", "first", "last")).alias("suffixes")), shared
 
 
 def _words_of(column: pa.Array, width: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -217,9 +219,11 @@ def deduplicated(docs: DataFrame, window: int, k: int, finish: Callable[[Text],
                 runs.append(mine[np.lexsort((mine[:, 2], -mine[:, 1], mine[:, 0]))])
             yield pa.RecordBatch.from_arrays([block.column("_key"), *finished(block, buf, bounds, w.spans(buf, bounds), runs)], names=["_key", *names, *extra])
 
-    joined = docs.join(_retained(docs, window, k), "_key", "left").select("_key", "text", "suffixes", *extra)
+    retained, shared = _retained(docs, window, k)
+    joined = docs.join(retained, "_key", "left").select("_key", "text", "suffixes", *extra)
     texts = saved(joined.mapInArrow(cut, ", ".join(["_key long, text string", f"suffixes {SUFFIX_SQL}", result, *passed])), "texts")
-    del joined
+    del joined, retained
+    forgotten(shared)
     tidied(docs.sparkSession)
     suffixes = texts.filter("text is not null").select("_key", F.explode("suffixes").alias("s")).select("_key", "s.*")
     order = ["after", "_key", "place"]
@@ -228,9 +232,15 @@ def deduplicated(docs: DataFrame, window: int, k: int, finish: Callable[[Text],
     unsettled = matches.filter("words is not null")
     several = unsettled.filter("not lead").select("gram").distinct()
     windows = saved(unsettled.join(several, "gram", "left_semi").mapInArrow(_unsettled(window), "one long, two long, _key long, start int"), "windows")
+    tidied(docs.sparkSession)
     least = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("_key", "start")).alias("least")).filter("n > 1").select("one", "two", "least")
     late = windows.join(least, ["one", "two"]).filter((F.col("least._key") != F.col("_key")) | (F.col("least.start") != F.col("start")))
-    runs = matches.filter("high >= low").select("_key", "low", "high", "source_key").unionByName(late.select("_key", F.col("start").alias("low"), F.col("start").alias("high"), F.col("least._key").alias("source_key")))
+    # written, so that the shuffles of windows are gone before the texts are shuffled once more
+    late = saved(late.select("_key", F.col("start").alias("low"), F.col("start").alias("high"), F.col("least._key").alias("source_key")), "late")
+    del least
+    forgotten(windows)
+    tidied(docs.sparkSession)
+    runs = matches.filter("high >= low").select("_key", "low", "high", "source_key").unionByName(late)
     runs = runs.groupBy("_key").agg(F.collect_list(F.struct("low", "high", "source_key")).alias("runs"))
     last = texts.filter("text is not null").select("_key", "text", *extra).join(runs, "_key", "left").mapInArrow(end, ", ".join(["_key long", result, *passed]))
     return texts.filter("text is null").select("_key", *names, *extra).unionByName(last)

@@ -131,3 +131,16 @@ def test_minimisers_in_parts():
     whole, parts = minimisers(hashes, counts, 20, 5), minimisers(hashes, counts, 20, 5, most=64)
     at = lambda found: {(int(t), a): int(m) for t, f, e, m in zip(*found[:4]) for a in range(int(f), int(e) + 1)}
     assert at(whole) == at(parts) and len(at(whole)) == 101 + 351
+
+
+def test_tables_of_steps_that_are_done_are_gone_before_the_last(spark):
+    from pathlib import Path
+
+    from ferrule.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / spark.sparkContext.applicationId
+    there = lambda: set(folder.iterdir()) if folder.exists() else set()
+    before = there()
+    out = repeated_spans(spark.createDataFrame(corpus(3), "doc_id long, text string"))
+    assert sorted(x.name.split("-")[0] for x in there() - before) == ["late", "matches", "texts"]
+    assert out.count() == len(corpus(3))
