@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .common import keyed, plain_ids, saved
-from .vocabularies import Cached, distinct, path
+from .vocabularies import Ragged, Remembered, alike, path, strings
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -116,9 +116,69 @@ PRE_TOKENIZER = {
 LATIN = "\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f"
 
 
+#: Bytes that a word which is cut into pieces doesn't have: white space, controls, the apostrophe, and leads of characters beyond LATIN's blocks.
+OTHER = np.ones(256, bool)
+OTHER[0x21:0x7F] = OTHER[0x80:0xC0] = OTHER[0xC3:0xC6] = False
+OTHER[ord("'")] = True
+#: Kinds of bytes: letters (those of LATIN too), digits, symbols.
+KIND = np.full(256, 2, np.uint8)
+KIND[0x80:] = KIND[0x41:0x5B] = KIND[0x61:0x7B] = 0
+KIND[0x30:0x3A] = 1
+CAPITAL = np.zeros(256, bool)
+CAPITAL[0x41:0x5B] = True
+#: Longer pieces are not remembered.
+BRIEF = 64
+
+
+def pieces(data: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, which are data[solid[i]:solid[i + 1]], cut where the file's rules cut them: the data with A-Z in lower case there, the
+    pieces' bounds, and how many pieces lie before each word and in all.
+
+    Only words of ASCII and Latin letters, digits and symbols without an apostrophe or "<|" are cut up; others stay whole.
+    No piece of the former has the bytes of one of the latter, so bytes alone tell what a piece's ids are.
+    """
+    if not len(data):
+        return data, np.zeros(1, np.int64), np.zeros(1, np.int64)
+    other = OTHER[data]
+    this, then = data[:-1], data[1:]
+    other[:-1] |= ((this == 0xC3) & ((then == 0x97) | (then == 0xB7))) | ((this == 0xC4) & (then == 0xB0)) | ((this == ord("<")) & (then == ord("|")))
+    plain = np.repeat(~np.logical_or.reduceat(other, solid[:-1]), np.diff(solid))
+    kind = KIND[data]
+    edge = np.ones(len(data), bool)
+    edge[1:] = plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 1))
+    edge[solid[:-1]] = True
+    starts = np.flatnonzero(edge)
+    return data + (0x20 * (CAPITAL[data] & plain)).astype(np.uint8), np.append(starts, len(data)), np.searchsorted(starts, solid)
+
+
+class Encoder:
+    """Ids of pieces; the library's model encodes those that were not met before."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        self.encode, self.known = encode, Remembered()
+
+    def __call__(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of data[cuts[i]:cuts[i + 1]] end to end, and how many each has."""
+        if len(cuts) < 2:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        first, one, two, at = alike(data, cuts)
+        row = self.known.find(one, two)
+        new = np.flatnonzero(row < 0)
+        starts, ends = cuts[:-1][first[new]], cuts[1:][first[new]]
+        fresh = Ragged([self.encode(p) for p in strings(data, starts, ends)])
+        known = self.known.ids
+        row[new] = len(known.sizes) + np.arange(len(new))
+        both = Ragged.of(np.append(known.values, fresh.values), np.append(known.bounds, known.bounds[-1] + fresh.bounds[1:]))
+        out = both.take(row[at])
+        brief = np.flatnonzero(ends - starts <= BRIEF)
+        kept, each = fresh.take(brief)
+        self.known.add(one[new[brief]], two[new[brief]], Ragged.of(kept, np.concatenate([[0], np.cumsum(each)])))
+        return out
+
+
 @lru_cache(2)
-def _encoder(file: str) -> Cached:
-    """Ids of a word without ASCII white space. In this vocabulary nothing crosses white space.
+def _encoder(file: str) -> Encoder:
+    """Ids of pieces() of words without ASCII white space. In this vocabulary nothing crosses white space.
 
     Words of ASCII and Latin letters are cut up here as the file's own rules say, and the library's model encodes the
     pieces; other words go to the library whole. A file with other rules is refused.
@@ -130,7 +190,7 @@ def _encoder(file: str) -> Cached:
         rules = json.load(f)
     if rules["normalizer"] != NORMALIZER or rules["pre_tokenizer"] != PRE_TOKENIZER:
         raise ValueError(f"{file} has other rules than {VOCABULARY}: words can't be encoded one by one")
-    model, known = whole.model, {}
+    model = whole.model
     split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+")
     plain = regex.compile(rf"[!-~{LATIN}]+")
     # how the model spells the bytes of UTF-8
@@ -138,33 +198,20 @@ def _encoder(file: str) -> Cached:
     wide = {chr(i): as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x180)}
     table = str.maketrans(wide)
 
-    def piece(data: bytes) -> bytes:
-        ids = known.get(data)
-        if ids is None:
-            if len(known) > 400_000:
-                known.clear()
-            text = data.decode()
-            ids = known[data] = array("i", [t.id for t in model.tokenize(text if data.isascii() else text.translate(table))]).tobytes()
-        return ids
-
-    marks = {m: piece(m) for m in (b".", b",", b";", b":")}
+    def piece(text: str) -> list[int]:
+        return [t.id for t in model.tokenize(text if text.isascii() else text.translate(table))]
 
     def word(data: bytes) -> bytes:
-        if data.isalpha():
-            return piece(data.lower())
-        mark = marks.get(data[-1:], b"")
-        letters = data[:-1] if mark else data
-        if letters.isalpha():
-            return piece(letters.lower()) + mark
-        text = letters.decode()
-        if text.isalpha() and plain.fullmatch(text):
-            return piece(text.lower().encode()) + mark
         text = data.decode()
-        if plain.fullmatch(text) and "<|" not in text:
-            return b"".join(piece(p.encode()) for p in split.findall(text.lower()))
-        return array("i", whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if data.isalpha():
+            ids = piece(text.lower())
+        elif plain.fullmatch(text) and "<|" not in text:
+            ids = [i for p in split.findall(text.lower()) for i in piece(p)]
+        else:
+            ids = whole.encode(text, add_special_tokens=False).ids
+        return array("i", ids).tobytes()
 
-    return Cached(word, 250_000)
+    return Encoder(word)
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None, end: int = END) -> DataFrame:
@@ -191,9 +238,9 @@ def _segments(rows: DataFrame, file: str, end: int) -> DataFrame:
             buf, bounds = w.buffer(block.column("text"))
             starts, ends, counts = w.spans(buf, bounds)
             solid = np.concatenate([[0], np.cumsum(ends - starts)])
-            pieces, at = distinct(buf[~w.SPACE[buf]], solid)
-            values, sizes = code(pieces).take(at) if pieces else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            total = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+            data, cuts, before = pieces(buf[~w.SPACE[buf]], solid)
+            values, sizes = code(data, cuts)
+            total = np.concatenate([[0], np.cumsum(sizes)])[before[np.cumsum(counts)]]
             ids = np.insert(values, total, end)
             held.append((ids, np.diff(np.concatenate([[0], total])) + 1, block.column("_key").to_numpy()))
             if sum(len(x) for x, _, _ in held) >= SEGMENT:

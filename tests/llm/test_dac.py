@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from ferrule.llm import dac
 from ferrule.llm.dac import Codes, coded, digests, read, segments, tokens_at
 from ferrule.llm.vocabularies import path
 
@@ -48,3 +49,31 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in digests(df).collect())
     assert got == [(0, None, 2), (2, 3, 1), (3, 3, 3), (6, 3, 3)]
     assert digests(df.limit(0)).count() == 0
+
+
+def ids_of(code, words):
+    data = [x.encode() for x in words]
+    solid = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+    found, cuts, before = dac.pieces(np.frombuffer(b"".join(data), np.uint8), solid)
+    values, sizes = code(found, cuts)
+    edge = np.concatenate([[0], np.cumsum(sizes)])[before]
+    return [values[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def test_pieces_of_odd_words_equal_the_library():
+    rng, library = random.Random(9), Tokenizer.from_file(path("word_bpe_49k.json"))
+    parts = ["H\u0331", "I\u0307", "\u0130", "\u00d7", "\u00f7", "\u00c9", "\u017f", "\u0149", "'S", "'", "'re", "<|", "|>", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "12", "\u0661", ".", ",,", "##", "a", "Bc", "\x7f", "\x1c", "\u00a0", "\u03a3", "\u2014", "\U0001f600", "z" * 70]
+    words = [*parts, *("".join(rng.choice(parts) for _ in range(rng.randint(2, 6))) for _ in range(3000))]
+    code = dac._encoder.__wrapped__(path("word_bpe_49k.json"))
+    for _ in range(2):  # new pieces, then remembered ones
+        for word, ids in zip(words, ids_of(code, words), strict=True):
+            assert ids == library.encode(word, add_special_tokens=False).ids, repr(word)
+
+
+def test_forms_of_a_word_are_encoded_once():
+    code = dac._encoder.__wrapped__(path("word_bpe_49k.json"))
+    asked, encode = [], code.encode
+    code.encode = lambda p: asked.append(p) or encode(p)
+    ids_of(code, ["Thatén", "thatén,", "THATén.", "thatén###", "thatén12"])
+    ids_of(code, ["thatén", "thatén2"])
+    assert sorted(asked) == sorted(x.encode() for x in ["thatén", ",", ".", "###", "1", "2"])
